@@ -6,10 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.functions import stopwords
 from corpusloom.functions import text as tx
+from corpusloom.sources.tables import scan
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(
+    spark: SparkSession, sf_dir: str, name: str, key: str | None = None, columns=None
+) -> DataFrame:
+    return scan(spark, f"{sf_dir}/{name}.parquet", columns, key=key)
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text columns of ``documents``, ready for CPU-heavy work."""
+    return table(spark, sf_dir, "documents", "doc_id", ["doc_id", "text", "lang"])
 
 
 def quoted(value: str) -> str:

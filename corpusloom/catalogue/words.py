@@ -11,12 +11,8 @@ from corpusloom.functions import text as tx
 from corpusloom.operators import words as ops
 
 
-def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return c.table(spark, sf_dir, "documents")
-
-
 def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.doc_terms(_documents(spark, sf_dir))
+    return ops.doc_terms(c.documents(spark, sf_dir))
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +44,7 @@ def tfidf_dense(spark, sf_dir):
 
 def tokenise_documents(spark, sf_dir):
     tokens = tx.tokenise(F.col("text"), F.col("lang"))
-    return _documents(spark, sf_dir).select("doc_id", "lang", tokens.alias("tokens")).select(
+    return c.documents(spark, sf_dir).select("doc_id", "lang", tokens.alias("tokens")).select(
         "doc_id",
         "lang",
         F.size("tokens").cast("bigint").alias("n_tokens"),
@@ -59,29 +55,29 @@ def tokenise_documents(spark, sf_dir):
 def _term_totals(docs: DataFrame, rule) -> DataFrame:
     counts = tx.term_counts(F.col("text"), F.col("lang"), rule(F.col("lang")) if rule else None)
     return (
-        docs.select("lang", F.explode(counts).alias("e"))
-        .groupBy("lang", F.col("e.term").alias("term"))
-        .agg(F.count(F.lit(1)).alias("documents"), F.sum("e.n").alias("count"))
+        ops.expand(docs.select("lang", counts.alias("terms")), "terms", "lang")
+        .groupBy("lang", "term")
+        .agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("count"))
     )
 
 
 def tokens_by_lang(spark, sf_dir):
-    return _term_totals(_documents(spark, sf_dir), None)
+    return _term_totals(c.documents(spark, sf_dir), None)
 
 
 def stopwords_removed(spark, sf_dir):
-    return _term_totals(_documents(spark, sf_dir), tx.not_stopword)
+    return _term_totals(c.documents(spark, sf_dir), tx.not_stopword)
 
 
 def stopword_table(spark, sf_dir):
-    totals = _term_totals(_documents(spark, sf_dir), None)
+    totals = _term_totals(c.documents(spark, sf_dir), None)
     rows = [(lang, w) for lang, words in stopwords.DEFAULTS.items() for w in words]
     listed = spark.createDataFrame(rows, "lang string, word string")
     return ops.drop_stopwords(totals, listed)
 
 
 def stem_vocab(spark, sf_dir):
-    totals = _term_totals(_documents(spark, sf_dir), tx.index_rule)
+    totals = _term_totals(c.documents(spark, sf_dir), tx.index_rule)
     return (
         ops.stem_counts(totals)
         .groupBy("lang", "stem")
@@ -90,12 +86,12 @@ def stem_vocab(spark, sf_dir):
 
 
 def surface_words(spark, sf_dir):
-    return _term_totals(_documents(spark, sf_dir), tx.index_rule)
+    return _term_totals(c.documents(spark, sf_dir), tx.index_rule)
 
 
 def shingle_stats(spark, sf_dir):
     grams = tx.count_terms(tx.shingles(tx.tokenise(F.col("text"), F.col("lang"))))
-    counts = _documents(spark, sf_dir).select(F.explode(grams).alias("e")).select("e.term", "e.n")
+    counts = ops.expand(c.documents(spark, sf_dir).select(grams.alias("grams")), "grams")
     return ops.corpus_word_stats(counts).where(F.col("count") >= ops.MIN_COUNT)
 
 
@@ -111,9 +107,7 @@ def token_filters(spark, sf_dir):
         *[F.struct(F.lit(name).alias("rule"), rule(F.col("term")).alias("keep")) for name, rule in rules.items()]
     )
     return (
-        _documents(spark, sf_dir)
-        .select(F.explode(counts).alias("e"))
-        .select("e.term", "e.n")
+        ops.expand(c.documents(spark, sf_dir).select(counts.alias("terms")), "terms")
         .groupBy("term")
         .agg(F.sum("n").alias("n"))
         .select("n", F.explode(kept).alias("r"))
@@ -128,7 +122,7 @@ def word_count_by_doc(spark, sf_dir):
 
 
 def word_count_digits_rule(spark, sf_dir):
-    terms = ops.doc_terms(_documents(spark, sf_dir), lambda lang: tx.every(tx.not_a_number, tx.not_stopword(lang)))
+    terms = ops.doc_terms(c.documents(spark, sf_dir), lambda lang: tx.every(tx.not_a_number, tx.not_stopword(lang)))
     return ops.corpus_word_stats(ops.word_count_by_doc(terms))
 
 

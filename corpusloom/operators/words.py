@@ -24,23 +24,43 @@ def doc_terms(
     text: str = "text",
     lang: str | None = "lang",
 ) -> DataFrame:
-    """One row per document: ``doc_id, terms``; documents without terms drop out.
+    """One row per document: ``doc_id, terms``.
+
+    ``terms`` is empty for a document without kept words; every operator below
+    expands it, which drops that document. No filter is placed here: pushed
+    below the projection it would make every document be tokenised twice.
 
     ``rule`` takes the language column and returns a test on one token; ``lang``
     may be a column name or ``None`` for the language-neutral chain.
     """
     lang_col = F.col(lang) if lang else None
     keep = rule(lang_col if lang_col is not None else F.lit(None).cast("string")) if rule else None
-    return (
-        docs.where(F.col(text).isNotNull())
-        .select(F.col(doc_id).alias("doc_id"), tx.term_counts(F.col(text), lang_col, keep).alias("terms"))
-        .where(F.size("terms") > 0)
+    return docs.where(F.col(text).isNotNull()).select(
+        F.col(doc_id).alias("doc_id"), tx.term_counts(F.col(text), lang_col, keep).alias("terms")
     )
 
 
+def expand(df: DataFrame, array: str, *keep: str) -> DataFrame:
+    """``keep`` columns and the fields of each struct in ``array``, one row each.
+
+    The outer form is deliberate: for a plain explode the optimizer infers a
+    filter on the array's size and pushes it to the scan, which would evaluate
+    the whole token chain a second time. The null rows it adds are dropped here.
+    """
+    rows = df.select(*keep, F.explode_outer(array).alias("entry"))
+    return rows.where(F.col("entry").isNotNull()).select(*keep, "entry.*")
+
+
+def term_entries(terms: DataFrame) -> DataFrame:
+    """``(doc_id, distinct_terms, term, n)``; the size is taken before the
+    expansion so that the array itself is not copied to every row."""
+    sized = terms.select("doc_id", F.size("terms").alias("distinct_terms"), "terms")
+    return expand(sized, "terms", "doc_id", "distinct_terms")
+
+
 def word_count_by_doc(terms: DataFrame) -> DataFrame:
-    """``(doc_id, term, n)`` from :func:`doc_terms`; a plain explode."""
-    return terms.select("doc_id", F.explode("terms").alias("e")).select("doc_id", "e.term", "e.n")
+    """``(doc_id, term, n)`` from :func:`doc_terms`; no shuffle."""
+    return expand(terms, "terms", "doc_id")
 
 
 def drop_stopwords(tokens: DataFrame, words: DataFrame, token: str = "term") -> DataFrame:
@@ -82,7 +102,7 @@ def total_docs(terms: DataFrame, mode: str = "exact") -> DataFrame:
     ``mode="2n_plus_1"`` reproduces a counter that steps twice per document and
     once more when the input ends.
     """
-    n = F.count(F.lit(1))
+    n = F.count_if(F.size("terms") > 0)
     if mode == "2n_plus_1":
         n = n * 2 + 1
     elif mode != "exact":
@@ -112,7 +132,8 @@ def vocabulary_with_total(
     marker = F.array(
         F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).cast("bigint").alias("n"))
     )
-    entries = terms.select(F.explode(F.concat(marker, "terms")).alias("e")).select("e.term", "e.n")
+    marked = F.when(F.size("terms") > 0, F.concat(marker, "terms"))
+    entries = expand(terms.select("terms").select(marked.alias("marked")), "marked")
     first = (
         corpus_word_stats(entries)
         .orderBy(F.col("term").isNotNull(), F.desc("count"), F.asc("term"))
@@ -138,9 +159,7 @@ def tfidf(
     ``vocab`` comes from :func:`vocabulary_with_total`; it never holds more than
     its ``size`` rows, which bounds the broadcast.
     """
-    entries = terms.select(
-        "doc_id", F.size("terms").alias("distinct_terms"), F.explode("terms").alias("e")
-    ).select("doc_id", "distinct_terms", "e.term", "e.n")
+    entries = term_entries(terms)
     total = F.col("total_docs")
     if total_docs_mode == "2n_plus_1":
         total = total * 2 + 1
@@ -195,9 +214,7 @@ def dense_lines(terms: DataFrame, vocab: DataFrame, sep: str = "\t") -> DataFram
         .alias("column"),
     )
     width = numbered.agg(F.count(F.lit(1)).alias("width")).scalar()
-    entries = terms.select(
-        "doc_id", F.size("terms").alias("distinct_terms"), F.explode("terms").alias("e")
-    ).select("doc_id", "distinct_terms", "e.term", "e.n")
+    entries = term_entries(terms)
     value = (
         F.col("n") / F.col("distinct_terms") * F.log10(F.col("total_docs") / F.col("documents"))
     )

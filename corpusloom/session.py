@@ -56,3 +56,26 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = work_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def planned_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate; for a file scan, the bytes of its files."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+SPLIT_BYTES = 128 * 1024 * 1024
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores for a small input that would be read in a few tasks.
+
+    A file is never split below its row groups, so CPU-heavy work on a small
+    table can end up in one task. Inputs under one scan split per core are
+    hashed on ``key`` (a unique id); larger ones already have enough splits and
+    are returned unchanged, so nothing big is ever moved by this.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if planned_bytes(df) >= cores * SPLIT_BYTES:
+        return df
+    return df.repartition(cores, key)
