@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("words",)
+MODULES = ("words", "language", "pages")
 
 
 def all_queries() -> dict:

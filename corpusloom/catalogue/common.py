@@ -31,9 +31,13 @@ def in_list(words: list[str]) -> str:
 # --- the token chain in SQL ---------------------------------------------------
 
 
+# the token pattern without possessive quantifiers, which the SQL side lacks
+TOKEN_SQL = r"[\p{L}\p{N}]+(?:[''’][\p{L}\p{N}]+)*"
+
+
 def words_sql(text: str) -> str:
     cleaned = f"lower(replace(replace({text}, '_', ' '), '.pdf', ''))"
-    return f"regexp_extract_all({cleaned}, {quoted(tx.TOKEN)})"
+    return f"regexp_extract_all({cleaned}, '{TOKEN_SQL}')"
 
 
 def stopword_sql(token: str, lang: str) -> str:

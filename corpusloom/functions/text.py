@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import stopwords
 
-# Letters and digits, with apostrophes allowed inside a word.
-TOKEN = r"[\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)*"
+# Letters and digits, with apostrophes allowed inside a word. The possessive
+# quantifiers change no match; they keep the regex engine from recursing once
+# per apostrophe.
+TOKEN = r"[\p{L}\p{N}]++(?:['’][\p{L}\p{N}]++)*+"
 
 # The articles that French elision joins to the next word.
 ELISIONS = "l m t qu n s j d c jusqu quoiqu lorsqu puisqu".split()
