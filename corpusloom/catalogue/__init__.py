@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("words", "language", "pages")
+MODULES = ("words", "language", "pages", "search", "facets")
 
 
 def all_queries() -> dict:

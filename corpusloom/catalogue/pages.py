@@ -9,6 +9,7 @@ from corpusloom.functions import display as d
 from corpusloom.functions import html as h
 from corpusloom.operators import records as rec
 from corpusloom.operators import titles as tit
+from corpusloom.operators.words import expand
 
 
 def _pages(spark, sf_dir):
@@ -31,14 +32,15 @@ def page_records(spark, sf_dir):
 
 
 def page_metadata(spark, sf_dir):
-    return _records(spark, sf_dir).select("page_id", F.explode("metadata").alias("name", "value"))
+    pairs = _records(spark, sf_dir).select("page_id", F.explode_outer("metadata").alias("name", "value"))
+    return pairs.where(F.col("name").isNotNull())
 
 
 def page_links(spark, sf_dir):
     links = _pages(spark, sf_dir).select("page_id", h.links(F.col("html")).alias("link"))
     return (
-        links.select("page_id", F.explode("link").alias("l"))
-        .groupBy("l.url", "l.text")
+        expand(links, "link", "page_id")
+        .groupBy("url", "text")
         .agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first_page"))
     )
 

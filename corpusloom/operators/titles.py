@@ -28,7 +28,7 @@ def spans_from_html(pages: DataFrame, doc_id: str = "page_id", html: str = "html
     visible = F.regexp_replace(F.col(html), h.INVISIBLE, " ")
     marked = F.regexp_replace(visible, h.BLOCK, f"{START}$1{INSIDE}")
     blocks = pages.select(
-        F.col(doc_id).alias("doc_id"), F.posexplode(F.split(marked, START)).alias("paragraph", "block")
+        F.col(doc_id).alias("doc_id"), F.posexplode_outer(F.split(marked, START)).alias("paragraph", "block")
     ).where(F.col("paragraph") > 0)
     run = rf"(?s)(?:{INSIDE}|<(/?[A-Za-z0-9]+)[^>]*>)([^<]*)"
     blocks = blocks.select(
@@ -45,7 +45,7 @@ def spans_from_html(pages: DataFrame, doc_id: str = "page_id", html: str = "html
     bold = F.lower(F.col("tag")) == "b"
     return (
         blocks.select(
-            "doc_id", "paragraph", "element", F.posexplode(F.arrays_zip("tags", "texts")).alias("pos", "run")
+            "doc_id", "paragraph", "element", F.posexplode_outer(F.arrays_zip("tags", "texts")).alias("pos", "run")
         )
         .select("doc_id", "paragraph", "element", "pos", F.col("run.tags").alias("tag"), F.col("run.texts").alias("text"))
         .where(F.col("text") != "")
