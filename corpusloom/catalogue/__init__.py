@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("words", "language", "pages", "search", "facets")
+MODULES = ("words", "language", "pages", "search", "facets", "tables", "files")
 
 
 def all_queries() -> dict:
