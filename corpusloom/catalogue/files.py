@@ -51,7 +51,7 @@ def binary_scan(spark, sf_dir):
 
 
 def tsv_roundtrip(spark, sf_dir):
-    terms = ops.doc_terms(c.documents(spark, sf_dir))
+    terms = ops.shared(ops.doc_terms(c.documents(spark, sf_dir)))
     vocab = ops.vocabulary_with_total(terms)
     path = work_path(spark, "matrix")
     io.write_lines(ops.header_line(vocab).unionByName(ops.dense_lines(terms, vocab).select("line")), path)
@@ -75,7 +75,7 @@ def cluster_column(spark, sf_dir):
 
 
 def corpus_stats_json(spark, sf_dir):
-    terms = ops.doc_terms(c.documents(spark, sf_dir))
+    terms = ops.shared(ops.doc_terms(c.documents(spark, sf_dir)))
     stats = ops.corpus_word_stats(ops.word_count_by_doc(terms))
     return io.corpus_stats_json(stats, ops.total_docs(terms))
 
@@ -136,10 +136,10 @@ def stream_corpus_stats(spark, sf_dir):
 
 
 def stream_tfidf(spark, sf_dir):
-    terms = ops.doc_terms(c.documents(spark, sf_dir))
+    terms = ops.shared(ops.doc_terms(c.documents(spark, sf_dir)))
     vocab_path = work_path(spark, "vocabulary")
     ops.vocabulary_with_total(terms).write.parquet(vocab_path)
-    counted = terms.where(F.get("terms", F.lit(0)).isNotNull()).select(
+    counted = terms.where(F.size("terms") > 0).select(
         F.col("doc_id").alias("path"), F.map_from_entries("terms").alias("count")
     )
     path, third = _dropped(spark, sf_dir, counted)

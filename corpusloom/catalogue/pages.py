@@ -9,7 +9,7 @@ from corpusloom.functions import display as d
 from corpusloom.functions import html as h
 from corpusloom.operators import records as rec
 from corpusloom.operators import titles as tit
-from corpusloom.operators.words import expand
+from corpusloom.functions.rows import expand
 
 
 def _pages(spark, sf_dir):

@@ -11,6 +11,7 @@ from corpusloom.functions import highlight as hl
 from corpusloom.functions import html as h
 from corpusloom.functions import match as m
 from corpusloom.functions import text as tx
+from corpusloom.functions.rows import once
 from corpusloom.operators import relevance as rel
 from corpusloom.operators import words as ops
 from corpusloom.operators.facets import Facet
@@ -194,12 +195,10 @@ def fields_returned(spark, sf_dir):
 def highlight(spark, sf_dir):
     words = ["that", "nicht", "por", "dans"]
     docs = _texts(spark, sf_dir).where(m.may_contain(F.col("text"), words, "OR"))
-    marked = docs.select(
-        "doc_id",
-        hl.fragment(F.col("text"), words).alias("fragment"),
-        hl.mark(F.col("source"), ["src3"], "<b>", "</b>").alias("path"),
+    marked = once(docs, hl.fragment(F.col("text"), words), "fragment", "doc_id", "source")
+    return marked.where(F.col("fragment").isNotNull()).select(
+        "doc_id", "fragment", hl.mark(F.col("source"), ["src3"], "<b>", "</b>").alias("path")
     )
-    return marked.where(F.col("fragment").isNotNull())
 
 
 def _places(spark, sf_dir, table, key):

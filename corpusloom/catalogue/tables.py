@@ -110,16 +110,8 @@ def train_assign(spark, sf_dir):
     """Train, then check every document against all centres of the model."""
     tokens = _tokens(spark, sf_dir)
     model = km.train(tokens, CLUSTERS, iterations=5)
-    rows = [(i, [float(x) for x in v]) for i, v in enumerate(model.stages[-1].clusterCenters())]
-    centres = spark.createDataFrame(rows, "cluster bigint, centre array<double>")
-    from pyspark.ml.functions import vector_to_array
-
-    vectors = model.transform(tokens).select(
-        "doc_id", F.col("cluster").cast("bigint").alias("given"), vector_to_array("tfidf").alias("v")
-    )
-    near = cl.nearest_centre(vectors, centres, "doc_id", "v", "cluster")
-    placed = vectors.select("doc_id", "given").join(near, "doc_id")
-    return placed.select("doc_id", (F.col("given") == F.col("cluster")).alias("nearest"))
+    found = km.distances(model, tokens)
+    return found.select("doc_id", (F.col("own") <= F.col("nearest") * (1 + 1e-9)).alias("nearest"))
 
 
 def wssse(spark, sf_dir):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.catalogue import common as c
 from corpusloom.functions import stopwords
 from corpusloom.functions import text as tx
+from corpusloom.functions.rows import expand
 from corpusloom.operators import words as ops
 
 
@@ -16,7 +17,7 @@ def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = _terms(spark, sf_dir)
+    terms = ops.shared(_terms(spark, sf_dir))
     return ops.tfidf(terms, ops.vocabulary_with_total(terms))
 
 
@@ -33,7 +34,7 @@ def tfidf_sparse(spark, sf_dir):
 
 
 def tfidf_dense(spark, sf_dir):
-    terms = _terms(spark, sf_dir)
+    terms = ops.shared(_terms(spark, sf_dir))
     lines = ops.dense_lines(terms, ops.vocabulary_with_total(terms))
     return lines.select(
         "doc_id",
@@ -55,7 +56,7 @@ def tokenise_documents(spark, sf_dir):
 def _term_totals(docs: DataFrame, rule) -> DataFrame:
     counts = tx.term_counts(F.col("text"), F.col("lang"), rule(F.col("lang")) if rule else None)
     return (
-        ops.expand(docs.select("lang", counts.alias("terms")), "terms", "lang")
+        expand(docs.select("lang", counts.alias("terms")), "terms", "lang")
         .groupBy("lang", "term")
         .agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("count"))
     )
@@ -91,7 +92,7 @@ def surface_words(spark, sf_dir):
 
 def shingle_stats(spark, sf_dir):
     grams = tx.count_terms(tx.shingles(tx.tokenise(F.col("text"), F.col("lang"))))
-    counts = ops.expand(c.documents(spark, sf_dir).select(grams.alias("grams")), "grams")
+    counts = expand(c.documents(spark, sf_dir).select(grams.alias("grams")), "grams")
     return ops.corpus_word_stats(counts).where(F.col("count") >= ops.MIN_COUNT)
 
 
@@ -107,7 +108,7 @@ def token_filters(spark, sf_dir):
         *[F.struct(F.lit(name).alias("rule"), rule(F.col("term")).alias("keep")) for name, rule in rules.items()]
     )
     return (
-        ops.expand(c.documents(spark, sf_dir).select(counts.alias("terms")), "terms")
+        expand(c.documents(spark, sf_dir).select(counts.alias("terms")), "terms")
         .groupBy("term")
         .agg(F.sum("n").alias("n"))
         .select("n", F.explode(kept).alias("r"))
@@ -143,7 +144,7 @@ def vocabulary(spark, sf_dir):
 
 
 def idf_natural(spark, sf_dir):
-    terms = _terms(spark, sf_dir)
+    terms = ops.shared(_terms(spark, sf_dir))
     idf = ops.idf_natural(ops.word_count_by_doc(terms), ops.total_docs(terms))
     return idf.withColumn("idf", F.round("idf", 6))
 

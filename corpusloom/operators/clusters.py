@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.functions import text as tx
-from corpusloom.operators.words import TokenRule, expand
+from corpusloom.functions.rows import expand
+from corpusloom.operators.words import TokenRule
 
 TOP_WORDS = 50
 

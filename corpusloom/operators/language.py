@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.functions import text as tx
-from corpusloom.operators.words import expand
+from corpusloom.functions.rows import expand_values
 
 PROFILE_SIZE = 1000
 
@@ -30,7 +30,7 @@ def trigrams(text: Column) -> Column:
         grams = F.transform(F.sequence(F.lit(1), F.size(chars) - 2), gram)
         return F.when(F.size(chars) > 2, grams).otherwise(F.array().cast("array<string>"))
 
-    return tx.let(F.regexp_extract_all(padded, F.lit("(?s)."), F.lit(0)), runs)
+    return tx.let(F.split(padded, ""), runs)
 
 
 def language_profiles(
@@ -42,17 +42,20 @@ def language_profiles(
     ``size`` per language before the final ranking.
     """
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = labelled.select(
-        F.col(lang).alias("lang"), tx.count_terms(trigrams(F.col(text))).alias("grams")
+    rows = labelled.select(F.col(lang).alias("lang"), trigrams(F.col(text)).alias("grams"))
+    # few distinct trigrams per language: each task folds its rows to those
+    summed = (
+        expand_values(rows, "grams", "gram", "lang")
+        .groupBy("lang", "gram")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
-    summed = expand(counts, "grams", "lang").groupBy("lang", "term").agg(F.sum("n").alias("n"))
-    best = Window.partitionBy("lang").orderBy(F.desc("n"), F.asc("term"))
+    best = Window.partitionBy("lang").orderBy(F.desc("n"), F.asc("gram"))
     return (
         summed.withColumn("rank", F.row_number().over(best))
         .where(F.col("rank") <= size)
         .select(
             "lang",
-            F.col("term").alias("gram"),
+            "gram",
             "n",
             F.sum("n").over(Window.partitionBy("lang")).alias("total"),
         )
@@ -89,16 +92,15 @@ def detect_language(
             ]
         )
     ).scalar()
-    counts = docs.where(F.col(text).isNotNull()).select(
-        F.col(doc_id).alias("doc_id"), tx.count_terms(trigrams(F.col(text))).alias("grams")
+    rows = docs.where(F.col(text).isNotNull()).select(
+        F.col(doc_id).alias("doc_id"), F.explode_outer(trigrams(F.col(text))).alias("gram")
     )
-    rows = counts.select("doc_id", F.explode_outer("grams").alias("g")).select("doc_id", "g.term", "g.n")
     sums = (
-        rows.join(F.broadcast(wide), rows["term"] == wide["gram"], "left")
+        rows.join(F.broadcast(wide), "gram", "left")
         .groupBy("doc_id")
         .agg(
-            F.sum("n").alias("grams"),
-            *[F.sum(F.col("n") * F.col(f"w_{i}")).alias(f"s_{i}") for i in range(len(codes))],
+            F.count("gram").alias("grams"),
+            *[F.sum(f"w_{i}").alias(f"s_{i}") for i in range(len(codes))],
         )
         .withColumn("floors", floors)
     )
@@ -106,7 +108,10 @@ def detect_language(
         *[
             F.struct(
                 (
-                    -(F.coalesce(F.col(f"s_{i}"), F.lit(0.0)) / F.col("grams") + F.col(f"floors.f_{i}"))
+                    -(
+                        F.try_divide(F.coalesce(F.col(f"s_{i}"), F.lit(0.0)), F.col("grams"))
+                        + F.col(f"floors.f_{i}")
+                    )
                 ).alias("loss"),
                 F.lit(code).alias("lang"),
             )

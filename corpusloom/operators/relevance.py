@@ -9,18 +9,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.functions import match as m
+from corpusloom.functions.rows import once
 
 
 def relevance(terms: DataFrame, words: Sequence[str], k: int | None = 10) -> DataFrame:
     """``(doc_id, score)``, best first: the sum of tf-idf over the query's words.
 
-    The formula is this library's own. Document counts of the few query words and
-    the number of documents are one global aggregation; the score itself needs no
-    shuffle, and the top ``k`` no sort of the rest.
+    The formula is this library's own. Per document only its size and the entries
+    of the few query words are kept and hashed by id; the document counts of those
+    words (one global aggregation) and the scores both read that small shuffle, so
+    texts are tokenised once. The top ``k`` needs no sort of the rest.
     """
     words = sorted(set(words))
     entry = F.filter("terms", lambda e: e["term"].isin(words))
     hits = terms.select("doc_id", F.size("terms").alias("distinct_terms"), entry.alias("hits"))
+    hits = hits.repartition("doc_id")
 
     def count_of(word: str) -> Column:
         found = F.filter("hits", lambda e: e["term"] == word)
@@ -32,7 +35,7 @@ def relevance(terms: DataFrame, words: Sequence[str], k: int | None = 10) -> Dat
             *[F.count_if(count_of(w) > 0).alias(f"df_{i}") for i, w in enumerate(words)],
         )
     ).scalar()
-    weighted = hits.where(F.size("hits") > 0).withColumn("freq", frequencies)
+    weighted = hits.withColumn("freq", frequencies)
     score = sum(
         (
             count_of(w)
@@ -42,7 +45,9 @@ def relevance(terms: DataFrame, words: Sequence[str], k: int | None = 10) -> Dat
         ),
         F.lit(0.0),
     )
-    scored = weighted.select("doc_id", score.alias("score"))
+    scored = weighted.select("doc_id", "hits", score.alias("score"))
+    scored = once(scored, F.when(F.size("hits") > 0, F.col("score")), "score", "doc_id")
+    scored = scored.where(F.col("score").isNotNull())
     if k is None:
         return scored
     return scored.orderBy(F.desc("score"), F.asc("doc_id")).limit(k)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.functions import text as tx
+from corpusloom.functions.rows import expand
 
 TokenRule = Callable[[Column], Callable[[Column], Column]]
 
@@ -40,15 +41,14 @@ def doc_terms(
     )
 
 
-def expand(df: DataFrame, array: str, *keep: str) -> DataFrame:
-    """``keep`` columns and the fields of each struct in ``array``, one row each.
+def shared(terms: DataFrame) -> DataFrame:
+    """Hash the counted documents by id, for plans that use them twice.
 
-    The outer form is deliberate: for a plain explode the optimizer infers a
-    filter on the array's size and pushes it to the scan, which would evaluate
-    the whole token chain a second time. The null rows it adds are dropped here.
+    Both uses then read one shuffle instead of tokenising every text again, which
+    costs far more than moving its distinct words. The partitioning also serves
+    later rankings per document.
     """
-    rows = df.select(*keep, F.explode_outer(array).alias("entry"))
-    return rows.where(F.col("entry").isNotNull()).select(*keep, "entry.*")
+    return terms.repartition("doc_id")
 
 
 def term_entries(terms: DataFrame) -> DataFrame:
@@ -133,7 +133,7 @@ def vocabulary_with_total(
         F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).cast("bigint").alias("n"))
     )
     marked = F.when(F.size("terms") > 0, F.concat(marker, "terms"))
-    entries = expand(terms.select("terms").select(marked.alias("marked")), "marked")
+    entries = expand(terms.select(marked.alias("marked")), "marked")
     first = (
         corpus_word_stats(entries)
         .orderBy(F.col("term").isNotNull(), F.desc("count"), F.asc("term"))

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import IDF, HashingTF
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
-from corpusloom.operators.clusters import squared_distance
+from corpusloom.functions.rows import once
 
 FEATURES = 10_000
 ITERATIONS = 20
@@ -18,14 +21,12 @@ SEED = 42
 
 
 def document_tokens(docs: DataFrame) -> DataFrame:
-    """``(doc_id, tokens)`` under the index rule; a document without tokens drops
-    out. Distinct terms are repeated by their count, as term frequencies need."""
+    """``(doc_id, tokens)`` under the index rule, duplicates kept; a document
+    without tokens drops out."""
     keep = tx.index_rule(F.col("lang"))
-    kept = docs.where(F.col("text").isNotNull()).select(
-        "doc_id", F.filter(tx.tokenise(F.col("text"), F.col("lang")), keep).alias("tokens")
-    )
-    # the first element decides, so the chain is not pushed down a second time
-    return kept.withColumn("_first", F.get("tokens", F.lit(0))).where("_first is not null").drop("_first")
+    tokens = F.filter(tx.tokenise(F.col("text"), F.col("lang")), keep)
+    kept = once(docs.where(F.col("text").isNotNull()), tokens, "tokens", "doc_id")
+    return kept.where(F.size("tokens") > 0)
 
 
 def pipeline(k: int, features: int = FEATURES, iterations: int = ITERATIONS, seed: int = SEED) -> Pipeline:
@@ -67,14 +68,35 @@ def assign(model: PipelineModel, tokens: DataFrame, predict_space: str = "tfidf"
     return plain.transform(hashing.transform(tokens)).select("doc_id", "cluster")
 
 
+def distances(model: PipelineModel, tokens: DataFrame) -> DataFrame:
+    """``(doc_id, cluster, own, nearest)``: squared distance to the assigned
+    centre and to the closest one.
+
+    Vectors stay sparse: only the non-zero entries meet the centres, of which
+    there are as many as the model was asked for.
+    """
+    placed = model.transform(tokens).select("doc_id", "cluster", "tfidf")
+    centres = np.array(model.stages[-1].clusterCenters())
+    shared = tokens.sparkSession.sparkContext.broadcast(centres)
+
+    def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        by_feature = np.ascontiguousarray(shared.value.T)
+        norms = (by_feature**2).sum(axis=0)
+        for frame in frames:
+            rows = []
+            for vector in frame["tfidf"]:
+                at, x = np.asarray(vector["indices"]), np.asarray(vector["values"])
+                rows.append((x**2).sum() - 2 * x @ by_feature[at] + norms)
+            found = np.maximum(np.array(rows).reshape(len(frame), len(norms)), 0.0)
+            own = found[np.arange(len(frame)), frame["cluster"].to_numpy()]
+            yield frame[["doc_id", "cluster"]].assign(own=own, nearest=found.min(axis=1))
+
+    return placed.mapInPandas(measure, "doc_id bigint, cluster int, own double, nearest double")
+
+
 def cost(model: PipelineModel, tokens: DataFrame) -> DataFrame:
     """One row ``wssse`` for any documents: squared distance to the own centre."""
-    rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.stages[-1].clusterCenters())]
-    centres = tokens.sparkSession.createDataFrame(rows, "cluster int, centre array<double>")
-    placed = model.transform(tokens).select("cluster", vector_to_array("tfidf").alias("v"))
-    return placed.join(F.broadcast(centres), "cluster").agg(
-        F.sum(squared_distance(F.col("v"), F.col("centre"))).alias("wssse")
-    )
+    return distances(model, tokens).agg(F.sum("own").alias("wssse"))
 
 
 def save(model: PipelineModel, path: str) -> None:
