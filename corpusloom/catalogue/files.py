@@ -13,7 +13,7 @@ from corpusloom.catalogue import words as wd
 from corpusloom.operators import index as ix
 from corpusloom.operators import records as rec
 from corpusloom.operators import words as ops
-from corpusloom.session import work_path
+from corpusloom.session import stage, work_path
 from corpusloom.sources import files as io
 from corpusloom.streaming import flows
 
@@ -136,7 +136,7 @@ def stream_corpus_stats(spark, sf_dir):
 
 
 def stream_tfidf(spark, sf_dir):
-    terms = ops.shared(ops.doc_terms(c.documents(spark, sf_dir)))
+    terms = stage(ops.doc_terms(c.documents(spark, sf_dir)), "terms")
     vocab_path = work_path(spark, "vocabulary")
     ops.vocabulary_with_total(terms).write.parquet(vocab_path)
     counted = terms.where(F.size("terms") > 0).select(

@@ -50,10 +50,10 @@ def read_stopword_file(spark: SparkSession, path: str, lang: str) -> DataFrame:
     Returns distinct ``(lang, word)`` rows; a line may hold several words.
     """
     before_comment = F.substring_index("value", "|", 1)
-    words = F.explode(F.split(F.trim(F.regexp_replace(before_comment, r"\s+", " ")), " "))
+    words = F.split(F.lower(F.trim(F.regexp_replace(before_comment, r"\s+", " "))), " ")
     return (
         spark.read.text(path)
-        .select(F.lit(lang).alias("lang"), F.lower(words).alias("word"))
+        .select(F.lit(lang).alias("lang"), F.explode(words).alias("word"))
         .where(F.col("word") != "")
         .distinct()
     )

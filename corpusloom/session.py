@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # The settings only make the defaults explicit; a cluster's own values (shuffle
 # partitions, memory, checkpoint folder) come from spark-submit and are kept.
@@ -78,4 +79,4 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     cores = spark.sparkContext.defaultParallelism
     if planned_bytes(df) >= cores * SPLIT_BYTES:
         return df
-    return df.repartition(cores, key)
+    return df.repartition(cores, F.xxhash64(key))
