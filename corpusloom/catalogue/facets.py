@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from corpusloom.catalogue import common as c
+from corpusloom.catalogue.pages import LINK, decode_sql
+from corpusloom.functions import html as h
 from corpusloom.functions import match as m
-from corpusloom.functions import text as tx
-from corpusloom.operators.facets import Facet, facet_date as by_date, facet_field, facet_range as by_range, facet_terms
+from corpusloom.operators import facets as fc
+from corpusloom.operators.facets import Facet, facet_field, facet_terms
 from corpusloom.operators.search import Choice, SearchRequest, search
 
 
@@ -41,8 +45,6 @@ def facet_orders(spark, sf_dir):
 
 
 def facet_nested(spark, sf_dir):
-    from corpusloom.functions import html as h
-
     pages = c.table(spark, sf_dir, "pages", "page_id").select(
         "page_id", F.transform(h.links(F.col("html")), lambda e: e["text"]).alias("link_text")
     )
@@ -69,12 +71,12 @@ def facet_zero_counts(spark, sf_dir):
 
 def facet_range(spark, sf_dir):
     orders = c.table(spark, sf_dir, "orders")
-    return by_range(orders, "o_totalprice", 50000.0, 400000.0, 60000.0, other=("all",))
+    return fc.facet_range(orders, "o_totalprice", 50000.0, 400000.0, 60000.0, other=("all",))
 
 
 def facet_range_hardend(spark, sf_dir):
     items = c.table(spark, sf_dir, "lineitem")
-    return by_range(
+    return fc.facet_range(
         items, "l_quantity", 5.0, 47.0, 10.0, hardend=True, other=("before", "after", "between"),
         include=("lower", "upper"),
     )
@@ -82,20 +84,20 @@ def facet_range_hardend(spark, sf_dir):
 
 def facet_range_edge(spark, sf_dir):
     items = c.table(spark, sf_dir, "lineitem")
-    return by_range(
+    return fc.facet_range(
         items, "l_quantity", 10.0, 40.0, 10.0, other=("all",), include=("upper", "edge", "outer")
     )
 
 
 def facet_date(spark, sf_dir):
-    return by_date(
+    return fc.facet_date(
         c.table(spark, sf_dir, "orders"), "o_orderdate", "1996-01-01", "1998-01-01", 1, "month",
         other=("all",),
     )
 
 
 def facet_date_hours(spark, sf_dir):
-    return by_date(
+    return fc.facet_date(
         c.table(spark, sf_dir, "events"), "ts", "2024-01-02", "2024-01-04 10:00:00", 6, "hour",
         hardend=True, other=("before", "after"),
     )
@@ -121,8 +123,6 @@ def facet_scopes(spark, sf_dir):
 
 
 def facet_post_filter(spark, sf_dir):
-    from dataclasses import replace
-
     items, request, cheap = _scoped(spark, sf_dir)
     with_post = replace(request, post=cheap)
     totals = [
@@ -134,7 +134,7 @@ def facet_post_filter(spark, sf_dir):
 
 def total_hits(spark, sf_dir):
     docs = c.table(spark, sf_dir, "documents", "doc_id", ["doc_id", "text", "lang"])
-    request = SearchRequest(text=m.free_text([tx.tokenise(F.col("text"), F.col("lang"))], "that"), start=30)
+    request = SearchRequest(text=m.text_query(F.col("text"), F.col("lang"), "that"), start=30)
     return search(docs, request).total
 
 
@@ -147,8 +147,6 @@ QUERIES = {
     )
 }
 
-from corpusloom.catalogue.pages import _LINK, decode_sql  # noqa: E402
-
 
 def _facet_sql(facet: str, value: str, source: str, order: str, size: int, where: str = "TRUE") -> str:
     return f"""SELECT * FROM (
@@ -192,7 +190,7 @@ ORACLES = {
 {_facet_sql('text', 'token', 't', _BY_COUNT, 10)}""",
     "facet_orders": " UNION ALL ".join(_facet_sql(o, "p_name", "part", k, 7) for o, k in _PART_ORDERS.items()),
     "facet_nested": f"""WITH t AS (
-  SELECT DISTINCT page_id, unnest([{decode_sql('t')} FOR t IN regexp_extract_all(html, {_LINK}, 2)]) AS v FROM pages)
+  SELECT DISTINCT page_id, unnest([{decode_sql('t')} FOR t IN regexp_extract_all(html, {LINK}, 2)]) AS v FROM pages)
 {_facet_sql('link_text', 'v', 't', _BY_COUNT, 15)}""",
     "facet_options": """SELECT 'brand' AS facet, * FROM (
   SELECT p_brand AS value, count(*) FILTER (WHERE p_size > 25) AS n FROM part

@@ -153,18 +153,18 @@ def decode_sql(text: str) -> str:
 _TITLE = decode_sql("trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1))")
 _BARE = f"""regexp_replace(regexp_replace(regexp_replace(html, '(?is)^.*?</head>', ''),
   '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g')"""
-_BODY = f"trim(regexp_replace({decode_sql(_BARE)}, '[ \\t\\r\\n]+', ' ', 'g'))"
+BODY = f"trim(regexp_replace({decode_sql(_BARE)}, '[ \\t\\r\\n]+', ' ', 'g'))"
 _CHARSET = """nullif(regexp_extract(html, '(?i)<meta[^>]* charset="([^"]*)"', 1), '')"""
 _LANG = """nullif(regexp_extract(html, '(?i)<html[^>]* lang="([^"]*)"', 1), '')"""
-_LINK = """'(?is)<a href="([^"]*)"[^>]*>([^<]*)</a>'"""
+LINK = """'(?is)<a href="([^"]*)"[^>]*>([^<]*)</a>'"""
 
 RECORDS = f"""records AS (
   SELECT page_id, url AS path, split_part(url, '/', -1) AS file, nullif({_TITLE}, '') AS title,
-    {_BODY} AS body, 'text/html' || coalesce('; charset=' || {_CHARSET}, '') AS content_type,
+    {BODY} AS body, 'text/html' || coalesce('; charset=' || {_CHARSET}, '') AS content_type,
     {_LANG} AS lang, len(regexp_extract_all(html, '(?i)<article'))::BIGINT AS pages,
     {_CHARSET} AS charset,
-    regexp_extract_all(html, {_LINK}, 1) AS link_urls,
-    [{decode_sql('t')} FOR t IN regexp_extract_all(html, {_LINK}, 2)] AS link_texts,
+    regexp_extract_all(html, {LINK}, 1) AS link_urls,
+    [{decode_sql('t')} FOR t IN regexp_extract_all(html, {LINK}, 2)] AS link_texts,
     CASE WHEN html IS NULL THEN 'missing content'
          WHEN NOT contains(lower(html), '</html>') THEN 'unterminated document' END AS error
   FROM pages)"""

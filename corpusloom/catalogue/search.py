@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.catalogue import common as c
+from corpusloom.catalogue.pages import BODY, LINK, decode_sql
 from corpusloom.functions import display as d
 from corpusloom.functions import geo
 from corpusloom.functions import highlight as hl
@@ -14,7 +15,6 @@ from corpusloom.functions import text as tx
 from corpusloom.functions.rows import once
 from corpusloom.operators import relevance as rel
 from corpusloom.operators import words as ops
-from corpusloom.operators.facets import Facet
 from corpusloom.operators.records import drop_null_content, normalise_content
 from corpusloom.operators.search import Choice, SearchRequest, partial_fields, search
 from corpusloom.sources.tables import scan
@@ -64,14 +64,12 @@ def range_filter(spark, sf_dir):
 
 
 def free_text_and(spark, sf_dir):
-    docs = _texts(spark, sf_dir).where(m.may_contain(F.col("text"), ["with", "from"]))
-    tokens = tx.tokenise(F.col("text"), F.col("lang"))
-    return _ids(docs.where(m.free_text([tokens], "With FROM", "AND")))
+    found = m.text_query(F.col("text"), F.col("lang"), "With FROM", "AND")
+    return _ids(_texts(spark, sf_dir).where(found))
 
 
 def free_text_or(spark, sf_dir):
-    tokens = tx.tokenise(F.col("text"), F.col("lang"))
-    return _ids(_texts(spark, sf_dir).where(m.free_text([tokens], "por nicht", "OR")))
+    return _ids(_texts(spark, sf_dir).where(m.text_query(F.col("text"), F.col("lang"), "por nicht")))
 
 
 def free_text_fields(spark, sf_dir):
@@ -98,7 +96,7 @@ def fuzzy_documents(spark, sf_dir):
 
 
 def phrase(spark, sf_dir):
-    return _ids(_with_tokens(spark, sf_dir).where(m.phrase(F.col("tokens"), "in the")))
+    return _ids(_texts(spark, sf_dir).where(m.text_phrase(F.col("text"), F.col("lang"), "in the")))
 
 
 def two_field_or(spark, sf_dir):
@@ -271,7 +269,6 @@ QUERIES = {
     )
 }
 
-from corpusloom.catalogue.pages import _LINK, _BODY, decode_sql  # noqa: E402
 
 _TOK = f"""[CASE WHEN lang = 'fr' THEN regexp_replace(w, {c.quoted(tx.ELISION)}, '')
   WHEN lang = 'en' THEN regexp_replace(w, {c.quoted(tx.POSSESSIVE)}, '') ELSE w END FOR w IN {c.words_sql('text')}]"""
@@ -322,7 +319,7 @@ WHERE lang = 'en' AND {_any('tokens', "levenshtein(t, 'there') <= 1")}""",
     "phrase": f"""WITH {_DOCS} SELECT doc_id, lang, source FROM d
 WHERE contains(' ' || array_to_string(tokens, ' ') || ' ', ' in the ')""",
     "two_field_or": f"""WITH p AS (
-  SELECT page_id, ' ' || array_to_string({c.words_sql(_BODY)}, ' ') || ' ' AS body,
+  SELECT page_id, ' ' || array_to_string({c.words_sql(BODY)}, ' ') || ' ' AS body,
     ' ' || array_to_string({c.words_sql('url')}, ' ') || ' ' AS path FROM pages)
 SELECT page_id, contains(body, ' blog ') OR contains(path, ' blog ')
     OR contains(body, ' nicht ') OR contains(path, ' nicht ') AS any_word,
@@ -332,15 +329,15 @@ FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY ALL""",
     "or_group_table": """SELECT c_custkey, c_nationkey FROM customer
 WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2)""",
     "nested_any": f"""WITH l AS (
-  SELECT page_id, url, regexp_extract_all(html, {_LINK}, 1) AS urls,
-    [{decode_sql('t')} FOR t IN regexp_extract_all(html, {_LINK}, 2)] AS texts FROM pages)
+  SELECT page_id, url, regexp_extract_all(html, {LINK}, 1) AS urls,
+    [{decode_sql('t')} FOR t IN regexp_extract_all(html, {LINK}, 2)] AS texts FROM pages)
 SELECT page_id, url FROM l
 WHERE len([1 FOR z IN list_zip(urls, texts) IF z[1] = '/de' AND z[2] = 'de']) > 0""",
     "nested_any_rows": f"""SELECT DISTINCT conv_id FROM conversations
 WHERE role = 'assistant' AND list_contains({c.words_sql('text')}, 'the')""",
     "exclude": """SELECT doc_id, source, quality, toxic FROM documents LEFT JOIN labels USING (doc_id)
 WHERE coalesce(toxic, 0) <> 1 AND source <> 'src1'""",
-    "multivalue": f"""SELECT page_id FROM pages WHERE list_contains(regexp_extract_all(html, {_LINK}, 1), '/the')""",
+    "multivalue": f"""SELECT page_id FROM pages WHERE list_contains(regexp_extract_all(html, {LINK}, 1), '/the')""",
     "predefined_filters": """SELECT p_partkey, p_brand, p_size FROM part
 WHERE p_size <= 10 AND p_brand IN ('Brand#2', 'Brand#17') AND p_type = 'ECONOMY'
 ORDER BY p_retailprice DESC, p_partkey LIMIT 50""",

@@ -164,3 +164,15 @@ def may_contain(text: Column, words: Sequence[str], operator: str = "AND") -> Co
     """
     lowered = F.lower(tx.normalise(text))
     return combine([F.contains(lowered, F.lit(w)) for w in words], operator)
+
+
+def text_query(text: Column, lang: Column | None, query: str, operator: str = "OR") -> Column:
+    """:func:`free_text` on one text column, tokenising only where the cheap test
+    leaves a chance."""
+    possible = may_contain(text, query_words(query), operator)
+    return possible & free_text([tx.tokenise(text, lang)], query, operator)
+
+
+def text_phrase(text: Column, lang: Column | None, words: str) -> Column:
+    """:func:`phrase` on one text column, with the same cheap test first."""
+    return may_contain(text, query_words(words)) & phrase(tx.tokenise(text, lang), words)

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from corpusloom.functions import text as tx
 from corpusloom.functions.rows import expand
+from corpusloom.session import small_side
 
 TokenRule = Callable[[Column], Callable[[Column], Column]]
 
@@ -156,14 +157,14 @@ def tfidf(
 
     ``tf`` divides by the number of distinct terms of the document (counted
     before the vocabulary cut), ``idf`` is ``log10(total_docs / documents)``.
-    ``vocab`` comes from :func:`vocabulary_with_total`; it never holds more than
-    its ``size`` rows, which bounds the broadcast.
+    ``vocab`` comes from :func:`vocabulary_with_total`, whose limit keeps it small
+    enough to broadcast; a larger table of the same shape is joined by shuffle.
     """
     entries = term_entries(terms)
     total = F.col("total_docs")
     if total_docs_mode == "2n_plus_1":
         total = total * 2 + 1
-    scored = entries.join(F.broadcast(vocab), "term").select(
+    scored = entries.join(small_side(vocab), "term").select(
         "doc_id",
         "term",
         (F.col("n") / F.col("distinct_terms")).alias("tf"),
@@ -219,7 +220,7 @@ def dense_lines(terms: DataFrame, vocab: DataFrame, sep: str = "\t") -> DataFram
         F.col("n") / F.col("distinct_terms") * F.log10(F.col("total_docs") / F.col("documents"))
     )
     cells = (
-        entries.join(F.broadcast(numbered), "term", "left")
+        entries.join(small_side(numbered), "term", "left")
         .groupBy("doc_id")
         .agg(
             F.sort_array(

@@ -80,3 +80,15 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     if planned_bytes(df) >= cores * SPLIT_BYTES:
         return df
     return df.repartition(cores, F.xxhash64(key))
+
+
+BROADCAST_BYTES = 64 * 1024 * 1024
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """``df`` with a broadcast hint when Catalyst's size estimate allows it.
+
+    A limit bounds that estimate, so a vocabulary cut to its size qualifies; any
+    larger table is left to an ordinary join.
+    """
+    return F.broadcast(df) if planned_bytes(df) <= BROADCAST_BYTES else df

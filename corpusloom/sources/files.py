@@ -25,8 +25,8 @@ def extension_glob(extensions: Sequence[str]) -> str:
 
 
 def scan_files(spark: SparkSession, root: str, extensions: Sequence[str]) -> DataFrame:
-    """``path, modificationTime, length, content`` of a folder tree; unreadable
-    files are skipped."""
+    """``path, modificationTime, length, content`` of a folder tree. Unreadable
+    files are skipped, and so are empty ones, which a Spark file scan never lists."""
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)

@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from corpusloom.operators import words as ops
 from corpusloom.operators.index import IndexTable
-from corpusloom.session import work_path
+from corpusloom.session import small_side, work_path
 from corpusloom.sources.files import JSON_GLOB, extension_glob
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
@@ -123,7 +123,7 @@ def tfidf_of_counts(counted: DataFrame, vocab: DataFrame) -> DataFrame:
     sized = counted.select(
         F.col("path").alias("doc_id"), F.size("count").alias("distinct_terms"), F.explode("count").alias("term", "n")
     )
-    return sized.join(F.broadcast(vocab.limit(ops.VOCABULARY_SIZE)), "term").select(
+    return sized.join(small_side(vocab), "term").select(
         "doc_id",
         "term",
         (F.col("n") / F.col("distinct_terms") * F.log10(F.col("total_docs") / F.col("documents"))).alias("tfidf"),
