@@ -96,6 +96,11 @@ def facet_date(spark, sf_dir):
     )
 
 
+def facet_date_years(spark, sf_dir):
+    items = c.table(spark, sf_dir, "lineitem")
+    return fc.facet_date(items, "l_shipdate", "1995-01-01", "1999-07-01", 2, "year")
+
+
 def facet_date_hours(spark, sf_dir):
     return fc.facet_date(
         c.table(spark, sf_dir, "events"), "ts", "2024-01-02", "2024-01-04 10:00:00", 6, "hour",
@@ -142,7 +147,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         facets_multi, facet_text, facet_orders, facet_nested, facet_options, facet_zero_counts,
-        facet_range, facet_range_hardend, facet_range_edge, facet_date, facet_date_hours,
+        facet_range, facet_range_hardend, facet_range_edge, facet_date, facet_date_years, facet_date_hours,
         facet_scopes, facet_post_filter, total_hits,
     )
 }
@@ -241,6 +246,12 @@ FROM part GROUP BY p_brand""",
             ("between", "o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1998-01-01'"),
         ],
     ),
+    "facet_date_years": _buckets_sql(
+        """SELECT TIMESTAMP '1995-01-01' + to_years(2 * i::INTEGER) AS low,
+  TIMESTAMP '1995-01-01' + to_years(2 * (i + 1)::INTEGER) AS high FROM range(3) t(i)""",
+        "lineitem",
+        ["l_shipdate >= r.low AND l_shipdate < r.high"],
+    ),
     "facet_date_hours": _buckets_sql(
         """SELECT TIMESTAMP '2024-01-02' + to_hours(6 * i::INTEGER) AS low,
   least(TIMESTAMP '2024-01-02' + to_hours(6 * (i + 1)::INTEGER), TIMESTAMP '2024-01-04 10:00:00') AS high

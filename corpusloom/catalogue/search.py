@@ -57,8 +57,9 @@ def term_and(spark, sf_dir):
 
 
 def range_filter(spark, sf_dir):
+    first, last = (F.lit(d).cast("timestamp_ntz") for d in ("1996-01-01", "1996-12-31 23:59:59.999999"))
     inside = m.in_range(F.col("o_totalprice"), 100000.0, 150000.0) & m.in_range(
-        F.col("o_orderdate").cast("date").cast("string"), "1996-01-01", "1996-12-31"
+        F.col("o_orderdate"), first, last
     )
     return c.table(spark, sf_dir, "orders").where(inside).select("o_orderkey", "o_totalprice")
 

@@ -102,6 +102,12 @@ def nearest_centre(spark, sf_dir):
     return near.withColumn("distance", F.round("distance", 6))
 
 
+def assigned_words(spark, sf_dir):
+    tokens = km.document_tokens(c.documents(spark, sf_dir))
+    assigned = tokens.withColumn("cluster", F.col("doc_id") % CLUSTERS)
+    return cl.words_of_assigned(assigned)
+
+
 def _tokens(spark, sf_dir):
     return stage(km.document_tokens(c.documents(spark, sf_dir)), "tokens")
 
@@ -129,8 +135,8 @@ def model_roundtrip(spark, sf_dir):
     model = km.train(tokens, CLUSTERS, iterations=5)
     path = work_path(spark, "model")
     km.save(model, path)
-    before = km.assign(model, tokens)
-    after = km.assign(km.load(path), tokens).withColumnRenamed("cluster", "again")
+    before = km.assign(model, tokens).select("doc_id", "cluster")
+    after = km.assign(km.load(path), tokens).select("doc_id", F.col("cluster").alias("again"))
     return before.join(after, "doc_id").agg(
         F.count(F.lit(1)).alias("docs"), F.count_if(F.col("cluster") != F.col("again")).alias("differences")
     )
@@ -148,7 +154,7 @@ QUERIES = {
     for f in (
         index_upsert, index_table_twice, index_partial_update, index_update_existing,
         index_stamped, positional_join, cluster_words, top_words, top_words_lines,
-        assignment_lines, nearest_centre, train_assign, wssse, model_roundtrip, train_predict_tf,
+        assigned_words, assignment_lines, nearest_centre, train_assign, wssse, model_roundtrip, train_predict_tf,
     )
 }
 
@@ -178,6 +184,7 @@ FROM documents d LEFT JOIN labels l ON l.doc_id + 5 = d.doc_id""",
     "positional_join": """SELECT d.doc_id AS position, d.lang, e.label::BIGINT AS cluster
 FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id""",
     "cluster_words": f"WITH {_CLUSTER_WORDS} SELECT cluster, word, n FROM cw",
+    "assigned_words": f"WITH {_CLUSTER_WORDS} SELECT cluster, word, n FROM cw",
     "top_words": f"WITH {_CLUSTER_WORDS} SELECT cluster, rank, word, n FROM top",
     "top_words_lines": f"""WITH {_CLUSTER_WORDS}
 SELECT cluster || chr(9) || string_agg(word || ':' || n, chr(9) ORDER BY rank) AS line FROM top GROUP BY cluster""",

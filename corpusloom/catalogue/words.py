@@ -131,6 +131,18 @@ def corpus_stats(spark, sf_dir):
     return ops.corpus_word_stats(ops.word_count_by_doc(_terms(spark, sf_dir)))
 
 
+def upper_case_counts(spark, sf_dir):
+    return ops.upper_keys(ops.word_count_by_doc(_terms(spark, sf_dir)))
+
+
+WIDE_TERMS = ["nicht", "una", "mit", "los", "thin"]
+
+
+def tfidf_wide(spark, sf_dir):
+    wide = ops.tfidf_wide(_scores(spark, sf_dir), WIDE_TERMS)
+    return wide.select("doc_id", *[F.round(t, 6).alias(t) for t in WIDE_TERMS])
+
+
 def total_docs(spark, sf_dir):
     terms = _terms(spark, sf_dir)
     exact = ops.total_docs(terms)
@@ -155,7 +167,7 @@ QUERIES = {
         tfidf_top, tfidf_sparse, tfidf_dense, tokenise_documents, tokens_by_lang,
         stopwords_removed, stopword_table, stem_vocab, surface_words, shingle_stats,
         token_filters, word_count_by_doc, word_count_digits_rule, corpus_stats,
-        total_docs, vocabulary, idf_natural,
+        total_docs, vocabulary, idf_natural, upper_case_counts, tfidf_wide,
     )
 }
 
@@ -246,6 +258,11 @@ kept AS (
     AND NOT ({c.stopword_sql('token', 'lang')}))
 SELECT token AS term, count(DISTINCT doc_id) AS documents, count(*) AS "count" FROM kept GROUP BY token""",
     "corpus_stats": f"""WITH {c.STATS} SELECT term, documents, "count" FROM stats""",
+    "upper_case_counts": f"""WITH {c.COUNTS}
+SELECT replace(upper(term), 'ẞ', 'SS') AS term, sum(n)::BIGINT AS n FROM counts GROUP BY 1""",
+    "tfidf_wide": f"""WITH {c.TFIDF}
+SELECT doc_id, {', '.join(f"coalesce(max(round(tfidf, 6)) FILTER (WHERE term = '{t}'), 0.0) AS {t}" for t in WIDE_TERMS)}
+FROM scores GROUP BY doc_id""",
     "total_docs": f"""WITH {c.COUNTS}
 SELECT count(DISTINCT doc_id) AS total_docs, 2 * count(DISTINCT doc_id) + 1 AS total_docs_2n_plus_1 FROM counts""",
     "vocabulary": f"""WITH {c.VOCABULARY} SELECT term, documents, "count" FROM vocab""",

@@ -37,6 +37,17 @@ def words_per_cluster(
     )
 
 
+def words_of_assigned(assigned: DataFrame, cluster: str = "cluster") -> DataFrame:
+    """The same counts when tokens and cluster are already in one row, as after
+    prediction: neither a join nor another look at the texts."""
+    counted = assigned.select(cluster, tx.count_terms(F.col("tokens")).alias("terms"))
+    return (
+        expand(counted, "terms", cluster)
+        .groupBy(cluster, F.col("term").alias("word"))
+        .agg(F.sum("n").alias("n"))
+    )
+
+
 def top_words(counts: DataFrame, n: int = TOP_WORDS, cluster: str = "cluster") -> DataFrame:
     """``(cluster, rank, word, n)``; every task cuts its share to ``n`` per
     cluster before the final ranking."""

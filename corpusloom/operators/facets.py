@@ -183,6 +183,14 @@ def _bucket_counts(
     )
 
 
+def _reached(df: DataFrame, x: Column, start: Column, stop: Column, other: Sequence[str]) -> DataFrame:
+    """Rows that can fall in a bucket; a filter the scan can use, unless the
+    counts before and after are wanted too."""
+    if {"before", "after"} & set(_others(other)):
+        return df.where(x.isNotNull())
+    return df.where(x.between(start, stop))
+
+
 def _label() -> Column:
     return (
         F.when(F.col("bucket") == BEFORE, "before")
@@ -218,7 +226,7 @@ def facet_range(
     x = F.col(field).cast("double")
     low = F.floor((x - start) / gap)
     counts = _bucket_counts(
-        df.where(x.isNotNull()),
+        _reached(df, x, F.lit(float(start)), F.lit(float(stop)), other),
         low,
         x == F.lit(float(start)) + low * gap,
         x < start,
@@ -253,20 +261,22 @@ def facet_date(
     """Date ranges, as :func:`facet_range`; ``gap`` counts ``unit``s, which may be
     calendar months or years. The session time zone should be UTC."""
     unit = unit.upper()
-    session = df.sparkSession
-    bounds = session.range(1).select(
-        F.timestamp_diff(unit, F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")).alias("whole"),
+    # bounds take the column's own kind of timestamp, so comparisons need no cast
+    ntz = df.schema[field].dataType.simpleString() == "timestamp_ntz"
+    kind = "timestamp_ntz" if ntz else "timestamp"
+    first, until = F.lit(start).cast(kind), F.lit(end).cast(kind)
+    whole = F.floor(F.timestamp_diff(unit, first, until) / gap).cast("int")
+    full, exact = (
+        df.sparkSession.range(1)
+        .select(whole.alias("whole"), F.timestamp_add(unit, whole * gap, first) == until)
+        .first()
     )
-    whole = bounds.first()["whole"]
-    first, until = F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")
-    full = F.timestamp_add(unit, F.lit(int(whole // gap) * gap), first)
-    exact = session.range(1).select((full == until).alias("e")).first()["e"]
-    n_buckets = max(1, int(whole // gap) + (0 if exact else 1))
+    n_buckets = max(1, full + (0 if exact else 1))
     stop = until if hardend else F.timestamp_add(unit, F.lit(n_buckets * gap), first)
-    x = F.col(field).cast("timestamp")
+    x = F.col(field) if ntz else F.col(field).cast(kind)
     low = F.floor(F.timestamp_diff(unit, first, x) / gap)
     counts = _bucket_counts(
-        df.where(x.isNotNull()),
+        _reached(df, x, first, stop, other),
         low,
         x == F.timestamp_add(unit, (low * gap).cast("int"), first),
         x < first,

@@ -73,13 +73,14 @@ class IndexTable:
 
     def __init__(self, spark: SparkSession, path: str, key: str, schema: str):
         self.spark, self.path, self.key, self.schema = spark, path, key, schema
-        spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{path}/version=-1")
+        empty = spark.createDataFrame([], schema)
+        self.columns = empty.columns
+        empty.write.mode("ignore").parquet(f"{path}/version=-1")
 
     def write(self, rows: DataFrame, version: int, order: str | None = None) -> None:
         """Full-document write of one batch; ``order`` ranks equal keys in it."""
         fresh = latest(rows, self.key, order) if order else rows
-        columns = self.spark.createDataFrame([], self.schema).columns
-        fresh.select(*columns).write.mode("overwrite").parquet(f"{self.path}/version={version}")
+        fresh.select(*self.columns).write.mode("overwrite").parquet(f"{self.path}/version={version}")
 
     def read(self) -> DataFrame:
         rows = (

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -97,6 +97,27 @@ def corpus_word_stats(counts: DataFrame) -> DataFrame:
     )
 
 
+def upper_keys(counts: DataFrame, *group: str) -> DataFrame:
+    """Counts under upper-case keys, for exports that want them.
+
+    The working key is lower-case; terms that only differ before upper-casing
+    (``ß`` and ``ss``) are added up here.
+    """
+    return counts.groupBy(*group, F.upper("term").alias("term")).agg(F.sum("n").alias("n"))
+
+
+def tfidf_wide(scores: DataFrame, terms: Sequence[str], max_columns: int = 10_000) -> DataFrame:
+    """One column per listed term, 0 where a document lacks it.
+
+    The terms are given, so no pass is spent on finding them; for a whole
+    vocabulary use :func:`dense_lines`, whose width costs no columns.
+    """
+    if len(terms) > max_columns:
+        raise ValueError(f"{len(terms)} columns; the limit is {max_columns}")
+    wide = scores.groupBy("doc_id").pivot("term", list(terms)).agg(F.first("tfidf"))
+    return wide.na.fill(0.0)
+
+
 def total_docs(terms: DataFrame, mode: str = "exact") -> DataFrame:
     """One row ``total_docs``: documents that have at least one term.
 

@@ -26,7 +26,7 @@ def main(argv: list[str] | None = None) -> None:
     model = km.load(given.cluster)
     assigned = stage(km.assign(model, km.document_tokens(docs), given.predict_space), "assignment")
     write_lines(cl.assignment_lines(assigned), given.output1, given.one_file)
-    top = cl.top_words(cl.words_per_cluster(docs, assigned), given.top)
+    top = cl.top_words(cl.words_of_assigned(assigned), given.top)
     write_lines(cl.top_words_lines(top), given.output2, given.one_file)
 
 

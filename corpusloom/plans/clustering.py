@@ -29,7 +29,7 @@ def document_tokens(docs: DataFrame) -> DataFrame:
     return kept.where(F.size("tokens") > 0)
 
 
-def pipeline(k: int, features: int = FEATURES, iterations: int = ITERATIONS, seed: int = SEED) -> Pipeline:
+def clustering_stages(k: int, features: int = FEATURES, iterations: int = ITERATIONS, seed: int = SEED) -> Pipeline:
     return Pipeline(
         stages=[
             HashingTF(inputCol="tokens", outputCol="tf", numFeatures=features),
@@ -45,7 +45,7 @@ def pipeline(k: int, features: int = FEATURES, iterations: int = ITERATIONS, see
 def train(tokens: DataFrame, k: int, **options) -> PipelineModel:
     """Fit hashed term counts, idf and k-means. ``tokens`` is read several times;
     pass a stored table (see :func:`corpusloom.session.stage`)."""
-    return pipeline(k, **options).fit(tokens)
+    return clustering_stages(k, **options).fit(tokens)
 
 
 def wssse(model: PipelineModel) -> float:
@@ -54,18 +54,19 @@ def wssse(model: PipelineModel) -> float:
 
 
 def assign(model: PipelineModel, tokens: DataFrame, predict_space: str = "tfidf") -> DataFrame:
-    """``(doc_id, cluster)`` of the nearest centre.
+    """The columns of ``tokens`` and the ``cluster`` of the nearest centre.
 
     Documents are placed in the space the centres were trained in;
     ``predict_space="tf"`` compares raw term counts with those centres instead.
     """
     if predict_space == "tfidf":
-        return model.transform(tokens).select("doc_id", "cluster")
-    if predict_space != "tf":
+        placed = model.transform(tokens)
+    elif predict_space == "tf":
+        hashing, _, kmeans = model.stages
+        placed = kmeans.copy().setFeaturesCol("tf").transform(hashing.transform(tokens))
+    else:
         raise ValueError(f"unknown space {predict_space!r}")
-    hashing, _, kmeans = model.stages
-    plain = kmeans.copy().setFeaturesCol("tf")
-    return plain.transform(hashing.transform(tokens)).select("doc_id", "cluster")
+    return placed.select(*tokens.columns, "cluster")
 
 
 def distances(model: PipelineModel, tokens: DataFrame) -> DataFrame:

@@ -61,6 +61,14 @@ def test_scan_pushes_filter_and_prunes_columns(spark, sf_dir):
     assert "ReadSchema: struct<doc_id:bigint,text:string,lang:string>" in text
 
 
+def test_ranges_reach_the_scan(spark, sf_dir):
+    text = plan(QUERIES["facet_date_years"](spark, sf_dir))
+    assert re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(l_shipdate", text)
+    assert "ReadSchema: struct<l_shipdate:timestamp_ntz>" in text
+    text = plan(QUERIES["range_filter"](spark, sf_dir))
+    assert re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(o_totalprice", text)
+
+
 def test_all_facets_take_one_scan(spark, sf_dir):
     assert plan(QUERIES["facet_orders"](spark, sf_dir)).count("FileScan") == 1
     assert "WindowGroupLimit" in plan(QUERIES["facet_orders"](spark, sf_dir))
