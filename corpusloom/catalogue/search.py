@@ -12,7 +12,7 @@ from corpusloom.functions import highlight as hl
 from corpusloom.functions import html as h
 from corpusloom.functions import match as m
 from corpusloom.functions import text as tx
-from corpusloom.functions.rows import once
+from corpusloom.functions.rows import keep, once
 from corpusloom.operators import relevance as rel
 from corpusloom.operators import words as ops
 from corpusloom.operators.records import drop_null_content, normalise_content
@@ -66,16 +66,16 @@ def range_filter(spark, sf_dir):
 
 def free_text_and(spark, sf_dir):
     found = m.text_query(F.col("text"), F.col("lang"), "With FROM", "AND")
-    return _ids(_texts(spark, sf_dir).where(found))
+    return _ids(keep(_texts(spark, sf_dir), found))
 
 
 def free_text_or(spark, sf_dir):
-    return _ids(_texts(spark, sf_dir).where(m.text_query(F.col("text"), F.col("lang"), "por nicht")))
+    return _ids(keep(_texts(spark, sf_dir), m.text_query(F.col("text"), F.col("lang"), "por nicht")))
 
 
 def free_text_fields(spark, sf_dir):
     fields = [F.col("tokens"), tx.tokenise(F.col("source"))]
-    return _ids(_with_tokens(spark, sf_dir).where(m.free_text(fields, "src3 that", "AND")))
+    return _ids(keep(_with_tokens(spark, sf_dir), m.free_text(fields, "src3 that", "AND")))
 
 
 def wildcard(spark, sf_dir):
@@ -93,11 +93,11 @@ def fuzzy(spark, sf_dir):
 def fuzzy_documents(spark, sf_dir):
     found = m.free_text([F.array_distinct("tokens")], "there~", "OR", "~")
     english = _with_tokens(spark, sf_dir).where(m.term(F.col("lang"), "en"))
-    return _ids(english.where(found))
+    return _ids(keep(english, found))
 
 
 def phrase(spark, sf_dir):
-    return _ids(_texts(spark, sf_dir).where(m.text_phrase(F.col("text"), F.col("lang"), "in the")))
+    return _ids(keep(_texts(spark, sf_dir), m.text_phrase(F.col("text"), F.col("lang"), "in the")))
 
 
 def two_field_or(spark, sf_dir):
@@ -193,7 +193,7 @@ def fields_returned(spark, sf_dir):
 
 def highlight(spark, sf_dir):
     words = ["that", "nicht", "por", "dans"]
-    docs = _texts(spark, sf_dir).where(m.may_contain(F.col("text"), words, "OR"))
+    docs = _texts(spark, sf_dir)
     marked = once(docs, hl.fragment(F.col("text"), words), "fragment", "doc_id", "source")
     return marked.where(F.col("fragment").isNotNull()).select(
         "doc_id", "fragment", hl.mark(F.col("source"), ["src3"], "<b>", "</b>").alias("path")

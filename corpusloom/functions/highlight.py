@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -67,4 +69,7 @@ def fragment(
         window = F.when(after.rlike(r"[\p{L}\p{N}'’]"), F.regexp_replace(window, CUT_END, "")).otherwise(window)
         return F.concat(F.lit("..."), mark(window, words, pre, post), F.lit("..."))
 
-    return tx.let(first_hit(text, words), lambda hit: F.when(hit.isNotNull(), cut(hit)))
+    lowered = F.lower(text)
+    possible = reduce(or_, [F.contains(lowered, F.lit(w)) for w in words])
+    found = tx.let(first_hit(text, words), lambda hit: F.when(hit.isNotNull(), cut(hit)))
+    return F.when(possible, found)

@@ -32,3 +32,13 @@ def once(df: DataFrame, value: Column, name: str, *keep: str) -> DataFrame:
     """``keep`` columns and ``value``, computed once even when it is filtered on
     afterwards."""
     return df.select(*keep, F.explode(F.array(value)).alias(name))
+
+
+def keep(df: DataFrame, predicate: Column) -> DataFrame:
+    """Rows that meet an expensive predicate, tested where the rows are.
+
+    A plain filter moves down to the scan, below a preceding repartition; a test
+    that cuts whole texts is better run after the rows have been spread.
+    """
+    tested = once(df, predicate, "_kept", *df.columns)
+    return tested.where("_kept").drop("_kept")

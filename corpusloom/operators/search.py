@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import match as m
+from corpusloom.functions.rows import keep
 from corpusloom.operators.facets import Facet, facet_terms
 
 
@@ -75,8 +76,8 @@ class SearchResult:
     facets: DataFrame | None = field(default=None)
 
 
-def query_predicate(request: SearchRequest) -> Column:
-    """Choices, predefined filters and text as one condition."""
+def field_predicate(request: SearchRequest) -> Column:
+    """Choices and predefined filters as one condition."""
     parts = [ch.predicate for ch in request.choices if not ch.any_of]
     groups: dict[str, list[Column]] = {}
     for choice in request.choices:
@@ -86,11 +87,15 @@ def query_predicate(request: SearchRequest) -> Column:
         alone = len(predicates) == 1 and request.lone_or == "match_all"
         parts.append(m.match_all() if alone else m.combine(predicates, "OR"))
     parts += request.predefined
-    if request.text is not None:
-        parts.append(request.text)
     return m.combine(parts)
 
 
+def matching_rows(df: DataFrame, request: SearchRequest) -> DataFrame:
+    """Field conditions go down to the scan, the text is tested on what is left."""
+    found = df.where(field_predicate(request))
+    return found if request.text is None else keep(found, request.text)
+
+
 def selected_facet_filter(request: SearchRequest) -> Column | None:
     """The ``where`` of a facet whose field has a plain (AND) choice; of several
     the last one chosen counts."""
@@ -119,7 +124,7 @@ def search(df: DataFrame, request: SearchRequest, key: str = "doc_id") -> Search
     The three results are separate plans over one filtered table; ``persist`` the
     input when several of them are wanted from an expensive source.
     """
-    matching = df.where(query_predicate(request))
+    matching = matching_rows(df, request)
     chosen = selected_facet_filter(request)
     post = request.post if request.post is not None else chosen
     hits = matching if post is None else matching.where(post)
