@@ -153,7 +153,9 @@ def shingles(tokens: Column, low: int = 1, high: int = 3) -> Column:
     def runs(words: Column) -> Column:
         def of_length(k: int) -> Column:
             starts = F.sequence(F.lit(1), F.size(words) - (k - 1))
-            joined = F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(k)), " "))
+            joined = F.transform(
+                starts, lambda i: F.concat_ws(" ", *[F.get(words, i + (j - 1)) for j in range(k)])
+            )
             return F.when(F.size(words) >= k, joined).otherwise(F.array().cast("array<string>"))
 
         return F.concat(*[of_length(k) for k in range(low, high + 1)])

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.functions import text as tx
 from corpusloom.functions.rows import expand_values
 
 PROFILE_SIZE = 1000
@@ -17,20 +16,13 @@ PROFILE_SIZE = 1000
 def trigrams(text: Column) -> Column:
     """All trigrams of the whole text: lower-case letters, other runs one blank.
 
-    The text is cut into characters once; indexing an array of characters stays
-    linear where ``substring`` would scan from the start for every trigram.
+    Each match takes one character and looks ahead over three, so one linear pass
+    yields every overlapping trigram; ``substring`` would scan from the start of
+    the text for each of them.
     """
     letters = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}]+", " "))
     padded = F.concat(F.lit(" "), letters, F.lit(" "))
-
-    def runs(chars: Column) -> Column:
-        def gram(i: Column) -> Column:
-            return F.concat(F.get(chars, i - 1), F.get(chars, i), F.get(chars, i + 1))
-
-        grams = F.transform(F.sequence(F.lit(1), F.size(chars) - 2), gram)
-        return F.when(F.size(chars) > 2, grams).otherwise(F.array().cast("array<string>"))
-
-    return tx.let(F.split(padded, ""), runs)
+    return F.regexp_extract_all(padded, F.lit("(?s)(?=(...))."), F.lit(1))
 
 
 def language_profiles(
