@@ -60,23 +60,26 @@ def suggest(
 
     Candidates share the first letter and differ in length by at most ``edits``;
     nearest first, then most documents, then term. The query's words are the
-    small side and travel as constants; the vocabulary is never moved whole, as
-    each task keeps its best candidate per word.
+    small side; the vocabulary is read once and never moved whole, as each task
+    keeps its best candidates per word. A known word meets itself at distance 0
+    and is dropped with its candidates.
     """
     words = sorted({w.lower() for w in words})
-    asked = stats.sparkSession.createDataFrame([(w,) for w in words], "word string")
-    known = stats.where(F.col("term").isin(words)).select(F.col("term").alias("word"))
-    unknown = F.broadcast(asked.join(known, "word", "left_anti"))
+    asked = F.broadcast(stats.sparkSession.createDataFrame([(w,) for w in words], "word string"))
     same_start = F.substring("term", 1, 1) == F.substring("word", 1, 1)
     close = F.length("term").between(F.length("word") - edits, F.length("word") + edits)
-    distance = F.levenshtein(F.col("term"), F.col("word"), edits)
     best = Window.partitionBy("word").orderBy(F.asc("distance"), F.desc("documents"), F.asc("term"))
-    return (
-        stats.join(unknown, same_start & close)
-        .withColumn("distance", distance)
+    ranked = (
+        stats.join(asked, same_start & close)
+        .withColumn("distance", F.levenshtein(F.col("term"), F.col("word"), edits))
         .where(F.col("distance") >= 0)
         .withColumn("rank", F.row_number().over(best))
         .where(F.col("rank") <= per_word)
+    )
+    nearest = F.min("distance").over(Window.partitionBy("word"))
+    return (
+        ranked.withColumn("nearest", nearest)
+        .where(F.col("nearest") > 0)
         .select("word", F.col("term").alias("suggestion"), "distance", "documents")
     )
 
