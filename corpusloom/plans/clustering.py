@@ -48,11 +48,6 @@ def train(tokens: DataFrame, k: int, **options) -> PipelineModel:
     return clustering_stages(k, **options).fit(tokens)
 
 
-def wssse(model: PipelineModel) -> float:
-    """Within-cluster sum of squared distances of the training run."""
-    return model.stages[-1].summary.trainingCost
-
-
 def assign(model: PipelineModel, tokens: DataFrame, predict_space: str = "tfidf") -> DataFrame:
     """The columns of ``tokens`` and the ``cluster`` of the nearest centre.
 
@@ -96,7 +91,12 @@ def distances(model: PipelineModel, tokens: DataFrame) -> DataFrame:
 
 
 def cost(model: PipelineModel, tokens: DataFrame) -> DataFrame:
-    """One row ``wssse`` for any documents: squared distance to the own centre."""
+    """One row ``wssse``: the sum of squared distances to the own centre, measured
+    with the finished model.
+
+    The cost in a model's training summary is taken before the last move of the
+    centres, so it is an upper bound of this one, equal once training converged.
+    """
     return distances(model, tokens).agg(F.sum("own").alias("wssse"))
 
 

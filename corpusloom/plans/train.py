@@ -56,7 +56,7 @@ def main(argv: list[str] | None = None) -> float:
     tokens = stage(km.document_tokens(docs), "tokens")
     model = km.train(tokens, given.cluster_number)
     km.save(model, given.output)
-    cost = km.wssse(model)
+    cost = km.cost(model, tokens).first()["wssse"]
     print(f"within-set sum of squared errors: {cost}")
     return cost
 
