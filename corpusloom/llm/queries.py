@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusloom.llm import minhash
+from corpusloom.llm import minhash, sentencepiece_codec, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,7 +16,33 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
-QUERIES = {"op1_minhash_dedup": op1_minhash_dedup}
+def piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = sentencepiece_codec.encode(_table(spark, sf_dir, "documents"), piece_model())
+    read = sentencepiece_codec.decode(ids, piece_model())
+    return read.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.count_tokens(_table(spark, sf_dir, "documents"), piece_model())
+    return counted.select("*", (F.col("n_tokens") > 4096).alias("over_limit"))
+
+
+QUERIES = {
+    "op1_minhash_dedup": op1_minhash_dedup,
+    "op3_sentencepiece": op3_sentencepiece,
+    "op7_token_counts": op7_token_counts,
+}
 
 # words between the six white-space characters, with only A-Z lower-cased
 WORDS_SQL = (
