@@ -129,3 +129,19 @@ def shingles(word_hashes: np.ndarray, size: int) -> np.ndarray:
     for j in range(size):
         total = total * MULTIPLIER + word_hashes[j : n - size + 1 + j]
     return mix(total + np.uint64(size))
+
+
+_folded: list[np.ndarray] = []
+
+
+def folded() -> np.ndarray:
+    """For every code point its lower-case code point, 0 for all but letters and digits."""
+    if not _folded:
+        table = np.zeros(0x110000, np.uint32)
+        for i in range(0x110000):
+            char = chr(i)
+            if char.isalnum():
+                lower = char.lower()
+                table[i] = ord(lower) if len(lower) == 1 else i
+        _folded.append(table)
+    return _folded[0]

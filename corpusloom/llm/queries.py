@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import minhash, sentencepiece_codec, token_counts
+from corpusloom.llm import minhash, sentencepiece_codec, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,19 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
+    remainder = F.expr("crc32(cast(cast(doc_id as string) as binary)) % 3")
+    return scored.select(
+        "doc_id",
+        F.coalesce(remainder == 1, F.lit(False)).alias("held_out"),
+        F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(_table(spark, sf_dir, "documents"), piece_model())
     return counted.select("*", (F.col("n_tokens") > 4096).alias("over_limit"))
@@ -41,6 +54,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op3_sentencepiece": op3_sentencepiece,
+    "op4_toxicity": op4_toxicity,
     "op7_token_counts": op7_token_counts,
 }
 
