@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import minhash, sentencepiece_codec, token_counts, toxicity
+from corpusloom.llm import decontaminate, line_dedup, minhash, sentencepiece_codec, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,11 +51,26 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("*", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    clean = line_dedup.remove_boilerplate(docs, count="n_removed")
+    return clean.select(
+        "doc_id", "n_removed", F.length("text").cast("long").alias("n_chars_left"),
+        F.sha2("text", 256).alias("text_sha256"),
+    )
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_toxicity": op4_toxicity,
     "op7_token_counts": op7_token_counts,
+    "op9_line_dedup": op9_line_dedup,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 # words between the six white-space characters, with only A-Z lower-cased
@@ -92,5 +107,52 @@ SELECT d.doc_id, d.n::BIGINT AS n_shingles,
        coalesce(c.root, r.rid, d.doc_id) AS component_id,
        d.doc_id = coalesce(c.root, r.rid, d.doc_id) AS kept
 FROM sets d LEFT JOIN reps r ON r.s = d.s LEFT JOIN classes c ON c.node = r.rid
+""",
+    "op9_line_dedup": r"""
+WITH lines AS (
+  SELECT doc_id, source, i, line, trim(line, ' ' || chr(9) || chr(13)) AS bare
+  FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line,
+               generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
+spread AS (
+  SELECT bare, min(doc_id) AS first_doc FROM lines WHERE bare <> ''
+  GROUP BY bare HAVING count(DISTINCT source) >= 10),
+kept AS (
+  SELECT l.doc_id, l.i, l.line, s.first_doc IS NULL OR s.first_doc = l.doc_id AS stays
+  FROM lines l LEFT JOIN spread s USING (bare)),
+texts AS (
+  SELECT doc_id, count(*) FILTER (NOT stays) AS n_removed,
+         coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (stays), '') AS text
+  FROM kept GROUP BY doc_id)
+SELECT doc_id, n_removed, length(text) AS n_chars_left, sha256(text) AS text_sha256 FROM texts
+""",
+    "op10_decontaminate": r"""
+WITH worded AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+items AS (
+  SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM benchmark),
+grams AS (
+  SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM worded WHERE len(w) > 0),
+doc_grams AS (SELECT doc_id, i, array_to_string(w[i:i+4], ' ') AS g FROM grams),
+item_grams AS (
+  SELECT item_id, len(w) AS m, array_to_string(w[j:j+4], ' ') AS g
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS j FROM items WHERE len(w) > 0)),
+item_counts AS (SELECT item_id, m, g, count(*) AS c FROM item_grams GROUP BY ALL),
+-- every window that starts near a shared shingle
+hits AS (SELECT DISTINCT d.doc_id, t.item_id, t.m, d.i FROM doc_grams d JOIN item_counts t USING (g)),
+starts AS (
+  SELECT DISTINCT doc_id, item_id, m, unnest(range(greatest(i - m, 1), i + 1)) AS s FROM hits),
+inside AS (
+  SELECT s.doc_id, s.item_id, s.m, s.s, d.g, count(*) AS c
+  FROM starts s JOIN doc_grams d ON d.doc_id = s.doc_id AND d.i BETWEEN s.s AND s.s + greatest(s.m - 4, 1) - 1
+  GROUP BY ALL),
+shared AS (
+  SELECT x.doc_id, x.item_id, x.m, x.s, sum(x.c) AS all_n, sum(least(x.c, coalesce(t.c, 0))) AS common
+  FROM inside x LEFT JOIN item_counts t ON t.item_id = x.item_id AND t.g = x.g GROUP BY ALL),
+scored AS (
+  SELECT doc_id, item_id, common::DOUBLE / (all_n + greatest(m - 4, 1) - common) AS similarity FROM shared)
+SELECT doc_id, item_id, max(similarity) AS similarity FROM scored
+WHERE similarity >= 0.8 GROUP BY doc_id, item_id
 """,
 }
