@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontaminate, line_dedup, minhash, sentencepiece_codec, token_counts, toxicity
+from corpusloom.llm import (
+    chat, decontaminate, line_dedup, minhash, sentencepiece_codec, token_counts, topk, toxicity,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +18,13 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], turns.schema)
+    return chat.digests(chat.examples(turns.union(probe)))
+
+
 def piece_model() -> str:
     import public_tokenizers
 
@@ -46,6 +55,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.quantised(_table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors, F.col("vec_id") % 50 == 0, 5)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(_table(spark, sf_dir, "documents"), piece_model())
     return counted.select("*", (F.col("n_tokens") > 4096).alias("over_limit"))
@@ -66,8 +80,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op2_chat": op2_chat,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_toxicity": op4_toxicity,
+    "op6_top_k": op6_top_k,
     "op7_token_counts": op7_token_counts,
     "op9_line_dedup": op9_line_dedup,
     "op10_decontaminate": op10_decontaminate,
@@ -154,5 +170,40 @@ scored AS (
   SELECT doc_id, item_id, common::DOUBLE / (all_n + greatest(m - 4, 1) - common) AS similarity FROM shared)
 SELECT doc_id, item_id, max(similarity) AS similarity FROM scored
 WHERE similarity >= 0.8 GROUP BY doc_id, item_id
+""",
+    "op2_chat": r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+sized AS (
+  SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id) AS n,
+    -- 32 characters of template, and one more for every control string
+    32 + length(role) + length(text)
+      + len(regexp_extract_all(role, c)) + len(regexp_extract_all(text, c)) AS chars
+  FROM turns, (SELECT '[<\[]␛*(?:\|im_start\|>|\|im_sep\|>|\|im_end\|>|\|endoftext\|>|/?s>|unk>|pad>|<SYS>>|</SYS>>|/?INST\])' AS c)
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+grown AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY i) AS upto FROM sized),
+texts AS (
+  SELECT conv_id, count(*) AS n_turns,
+    string_agg(role || chr(10) || text || chr(10), '' ORDER BY i) AS told,
+    coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '') AS loss,
+    (sum(upto) FILTER (role = 'assistant' OR i = n))::BIGINT AS formatted_chars,
+    count(*) FILTER (role = 'assistant' OR i = n) AS n_examples
+  FROM grown GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(told) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+       formatted_chars, n_examples
+FROM texts
+""",
+    "op6_top_k": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, p.vec_id, list_dot_product(q.v, p.v)::BIGINT AS score
+  FROM v q JOIN v p ON q.vec_id % 50 = 0 AND p.vec_id <> q.vec_id),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """,
 }
