@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import (
-    chat, decontaminate, line_dedup, minhash, sentencepiece_codec, token_counts, topk, toxicity,
+    chat, decontaminate, line_dedup, minhash, pii, sentencepiece_codec, token_counts, topk, toxicity,
 )
 
 
@@ -65,6 +65,16 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("*", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(_table(spark, sf_dir, "documents"))
+    kinds = F.transform("base", lambda x: x["kind"])
+    counts = [
+        (F.size(kinds) - F.size(F.array_remove(kinds, i))).cast("long").alias(f"n_{kind}")
+        for i, kind in enumerate(pii.BASE)
+    ]
+    return found.select("doc_id", *counts, F.sha2(pii.told("base"), 256).alias("base_sha256"), pii.told("spans").alias("spans"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     clean = line_dedup.remove_boilerplate(docs, count="n_removed")
@@ -85,6 +95,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op6_top_k": op6_top_k,
     "op7_token_counts": op7_token_counts,
+    "op8_pii": op8_pii,
     "op9_line_dedup": op9_line_dedup,
     "op10_decontaminate": op10_decontaminate,
 }
