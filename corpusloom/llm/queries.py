@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import (
-    chat, decontaminate, line_dedup, minhash, pii, sentencepiece_codec, token_counts, topk, toxicity,
+    chat, decontaminate, line_dedup, minhash, pii, sentencepiece_codec, substring_dedup, token_counts, topk, toxicity,
 )
 
 
@@ -55,6 +55,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.repeated(_table(spark, sf_dir, "documents"))
+    return found.withColumn("partners", F.array_join(F.col("partners").cast("array<string>"), ","))
+
+
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.quantised(_table(spark, sf_dir, "embeddings"))
     return topk.top_k(vectors, F.col("vec_id") % 50 == 0, 5)
@@ -93,6 +98,7 @@ QUERIES = {
     "op2_chat": op2_chat,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_toxicity": op4_toxicity,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_top_k": op6_top_k,
     "op7_token_counts": op7_token_counts,
     "op8_pii": op8_pii,
