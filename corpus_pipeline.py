@@ -1,21 +1,52 @@
-"""Training-data pipeline over ``documents``: each stage reads what the one before wrote."""
+"""Training-data pipeline over ``documents``: each stage reads what the one before wrote.
+
+Four stages filter or clean and return the columns of ``documents``; the last one turns
+the remaining texts into tokens.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import minhash
+from corpusloom.llm import decontaminate, line_dedup, minhash, sentencepiece_codec, toxicity
+from corpusloom.llm.queries import piece_model
 from corpusloom.llm.staging import Staging
 
 
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score as toxic go; the models learn from the documents read here."""
+    return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines on many sites go from all documents but their first one."""
+    return line_dedup.drop_boilerplate(docs)
+
+
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Near copies go, except the first document of each group."""
     return minhash.drop_near_duplicates(docs)
 
 
-STAGES = [("minhash_dedup", one_of_each_group)]
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage go."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def as_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id``, the piece ids of each text with begin and end, and the text they decode to."""
+    return sentencepiece_codec.decode(sentencepiece_codec.encode(docs, piece_model()), piece_model())
+
+
+STAGES = [
+    ("toxicity", without_toxic),
+    ("line_dedup", without_boilerplate),
+    ("minhash_dedup", one_of_each_group),
+    ("decontamination", without_benchmark),
+    ("sentencepiece", as_tokens),
+]
 
-# the stages include a trained model
+# SQL expresses neither the trained model nor the tokenizer
 ORACLE_SQL = None
 
 
