@@ -9,6 +9,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 BLOCK_CHARS = 1 << 20
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -75,6 +77,19 @@ def blocks(texts: list[str], limit: int = BLOCK_CHARS) -> Iterator[tuple[int, in
         yield low, len(texts)
 
 
+def slices(texts: pa.Array, limit: int = BLOCK_CHARS) -> Iterator[tuple[int, int, list[str]]]:
+    """Ranges of an Arrow column like :func:`blocks`, with their texts; null is empty.
+    Only one range at a time is held as Python strings."""
+    sizes = pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes + 1)
+    low = 0
+    while low < len(texts):
+        start = ends[low] - sizes[low] - 1
+        high = max(low + 1, int(np.searchsorted(ends, start + limit, side="right")))
+        yield low, high, [t or "" for t in texts.slice(low, high - low).to_pylist()]
+        low = high
+
+
 def _is_space(cp: np.ndarray) -> np.ndarray:
     return (cp == 32) | ((cp >= 9) & (cp <= 13))
 

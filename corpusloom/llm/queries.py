@@ -32,8 +32,7 @@ def piece_model() -> str:
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = sentencepiece_codec.encode(_table(spark, sf_dir, "documents"), piece_model())
-    read = sentencepiece_codec.decode(ids, piece_model())
+    read = sentencepiece_codec.encode(_table(spark, sf_dir, "documents"), piece_model(), decoded=True)
     return read.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

@@ -17,13 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.piece_model import (
-    NONE, PieceModel, Words, gather, model_of, read_vocabulary, word_blocks,
-)
+from corpusloom.llm import flat
+from corpusloom.llm.piece_model import NONE, PieceModel, Words, gather, model_of, read_vocabulary
 from corpusloom.llm.staging import ship
 
 LONG = 96
-BLOCK_CHARS = 2 << 20
+BLOCK_CHARS = 1 << 20
 
 
 def _pairs(model: PieceModel, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,22 +125,50 @@ def _with_bytes(model: PieceModel, words: Words, pieces, sizes) -> tuple[np.ndar
     return all_pieces[gather(start, sizes)], sizes
 
 
-def encode_texts(model: PieceModel, texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Per block of texts: its range, all ids one text after another, ids per text."""
-    for low, high, words in word_blocks(texts, model, BLOCK_CHARS):
-        pieces, sizes = _with_bytes(model, words, *merge_words(model, words))
-        starts = np.cumsum(sizes) - sizes
-        each = sizes[words.occurs]
-        total = np.concatenate([[0], np.cumsum(each)])[words.stops]
-        yield low, high, pieces[gather(starts[words.occurs], each)], np.diff(total, prepend=0)
+def encode_texts(model: PieceModel, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of a block of texts, one text after another, and how many each has."""
+    words = Words(texts, model)
+    pieces, sizes = _with_bytes(model, words, *merge_words(model, words))
+    starts = np.cumsum(sizes) - sizes
+    each = sizes[words.occurs]
+    total = np.concatenate([[0], np.cumsum(each)])[words.stops]
+    return pieces[gather(starts[words.occurs], each)], np.diff(total, prepend=0)
 
 
-def encode(docs: DataFrame, model_path: str, begin: bool = True, end: bool = True) -> DataFrame:
+def _pack(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """A column of strings or binaries from one buffer; ``offsets`` in bytes."""
+    buffers = [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(values)]
+    return pa.Array.from_buffers(kind, len(offsets) - 1, buffers)
+
+
+def decode_ids(model: PieceModel, ids: np.ndarray) -> bytes:
+    """The text of a sequence of ids, without the blank that encoding puts before it."""
+    size = model.surface_size[ids]
+    text = model.surface[gather(model.surface_start[ids], size)].tobytes()
+    shown = np.flatnonzero((ids != model.begin) & (ids != model.end))
+    if len(shown) and text[:1] == b" " and model.pieces[ids[shown[0]]][:1] == "▁":
+        text = text[1:]
+    return text
+
+
+def _decoded(model: PieceModel, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """The texts of sequences of ids that lie in one array."""
+    texts = [
+        decode_ids(model, ids[a:b].astype(np.int64)).decode("utf-8", "replace")
+        for a, b in zip(offsets[:-1], offsets[1:])
+    ]
+    return pa.array(texts, pa.string())
+
+
+def encode(
+    docs: DataFrame, model_path: str, begin: bool = True, end: bool = True, decoded: bool = False
+) -> DataFrame:
     """``doc_id`` and ``ids``, the pieces of each whole text as little-endian unsigned
-    32-bit integers, with the begin and end ids.
+    32-bit integers, with the begin and end ids; with ``decoded`` also the text that
+    :func:`decode` makes of these ids, in the same pass.
 
     Null texts are empty: only begin and end. Every row gives a row, also repeated ones
-    and such without doc_id. Other columns are ignored.
+    and such without doc_id. Other columns are ignored; an empty table gives no rows.
     """
     ship(docs.sparkSession)
     vocabulary = docs.sparkSession.sparkContext.broadcast(read_vocabulary(model_path))
@@ -149,36 +176,23 @@ def encode(docs: DataFrame, model_path: str, begin: bool = True, end: bool = Tru
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(vocabulary.value)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for low, high, ids, counts in encode_texts(model, texts):
-                head, tail = np.arange(len(counts)) * 0 + begin, np.arange(len(counts)) * 0 + end
-                size = counts + head + tail
-                offsets = np.concatenate([[0], np.cumsum(size)])
-                framed = np.empty(offsets[-1], np.uint32)
+            for low, high, texts in flat.slices(batch.column(1), BLOCK_CHARS):
+                ids, counts = encode_texts(model, texts)
+                offsets = np.concatenate([[0], np.cumsum(counts + begin + end)])
+                framed = np.empty(offsets[-1], "<u4")
                 framed[gather(offsets[:-1] + begin, counts)] = ids
                 if begin:
                     framed[offsets[:-1]] = model.begin
                 if end:
                     framed[offsets[1:] - 1] = model.end
-                packed = pa.Array.from_buffers(
-                    pa.large_binary(), len(size),
-                    [None, pa.py_buffer(offsets * 4), pa.py_buffer(framed)],
-                ).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(low, high - low), packed], ["doc_id", "ids"]
-                )
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary")
+                columns = [batch.column(0).slice(low, high - low), _pack(framed, offsets * 4, pa.binary())]
+                if decoded:
+                    columns.append(_decoded(model, framed, offsets))
+                yield pa.RecordBatch.from_arrays(columns, names)
 
-
-def decode_ids(model: PieceModel, ids: np.ndarray) -> bytes:
-    """The text of a sequence of ids, without the blank that encoding puts before it."""
-    size = model.surface_size[ids]
-    text = model.surface[gather(model.surface_start[ids], size)].tobytes()
-    shown = np.flatnonzero((ids != model.begin) & (ids != model.end))
-    if len(shown) and text[:1] == b" " and model.pieces[ids[shown[0]]][:1] == "▁":
-        text = text[1:]
-    return text
+    names = ["doc_id", "ids", "decoded"][: 2 + decoded]
+    schema = "doc_id long, ids binary" + ", decoded string" * decoded
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
@@ -192,16 +206,13 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(vocabulary.value)
         for batch in batches:
-            step = max(1, min(len(batch), int(len(batch) * (16 << 20) / max(1, batch.nbytes))))
+            step = max(1, int(len(batch) * (4 << 20) / max(1, batch.nbytes)))
             for low in range(0, len(batch), step):
                 part = batch.slice(low, step)
-                texts = [
-                    decode_ids(model, np.frombuffer(i or b"", "<u4").astype(np.int64)).decode("utf-8", "replace")
-                    for i in part.column(1).to_pylist()
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(texts, pa.string())],
-                    ["doc_id", "ids", "decoded"],
-                )
+                held = [np.frombuffer(i or b"", "<u4") for i in part.column(1).to_pylist()]
+                offsets = np.concatenate([[0], np.cumsum([len(h) for h in held])])
+                texts = _decoded(model, np.concatenate(held), offsets)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), texts], names)
 
+    names = ["doc_id", "ids", "decoded"]
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded string")

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm import flat
 from corpusloom.llm.piece_model import PieceModel, Words, model_of, read_vocabulary, word_blocks
 from corpusloom.llm.sentencepiece_codec import merge_sequence
 from corpusloom.llm.staging import ship
@@ -188,9 +189,10 @@ def count_tokens(docs: DataFrame, model_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer_of(vocabulary.value)
         for batch in batches:
-            texts = [t or "" for t in batch.column(2).to_pylist()]
+            counts = [count_texts(machine, texts) for _, _, texts in flat.slices(batch.column(2), BLOCK_CHARS)]
+            counts = np.concatenate(counts) if counts else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(count_texts(machine, texts), pa.int64())],
+                [batch.column(0), batch.column(1), pa.array(counts, pa.int64())],
                 ["doc_id", "n_bytes", "n_tokens"],
             )
 
