@@ -47,6 +47,7 @@ def components(links: DataFrame, staging: Staging, most: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     roots = edges.select(F.col("b").alias("node")).distinct()
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
+    found = edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
         roots.select("node", F.col("node").alias("component"))
     )
+    return staging.swap(edges, found, "components")

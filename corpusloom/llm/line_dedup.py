@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.staging import Staging
+from corpusloom.llm.staging import Staging, unused
 from corpusloom.session import small_side
 
 MIN_SITES = 10
@@ -50,7 +50,8 @@ def boilerplate(docs: DataFrame, staging: Staging, site: str = "source", min_sit
     exact = seen.join(small_side(near), "h", "left_semi").select("h", "site").where("site is not null")
     enough = exact.distinct().groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites)
     far = spread.where(F.col("sites") > min_sites * (1 + BAND)).select("h")
-    return staging.keep(spread.join(far.union(enough.select("h")), "h").select("h", "first_doc"), "boilerplate")
+    found = spread.join(far.union(enough.select("h")), "h").select("h", "first_doc")
+    return staging.swap(spread, found, "boilerplate")
 
 
 def remove_boilerplate(
@@ -74,13 +75,14 @@ def remove_boilerplate(
     hits = found.where("not (doc_id <=> first_doc)").groupBy(F.col("doc_id").alias("_hit_doc")).agg(
         F.collect_set("h").alias("_hits")
     )
-    hits = small_side(staging.keep(hits, "hits"))
+    hits = small_side(staging.swap(lines, hits, "hits"))
     marked = docs.join(hits, docs["doc_id"].eqNullSafe(hits["_hit_doc"]), "left")
-    kept = F.filter(_lines(), lambda x: ~F.coalesce(F.array_contains("_hits", _key(x)), F.lit(False)))
-    text = F.when(F.col("_hits").isNull(), docs["text"]).otherwise(F.array_join(kept, "\n"))
+    found = hits["_hits"]
+    kept = F.filter(_lines(), lambda x: ~F.coalesce(F.array_contains(found, _key(x)), F.lit(False)))
+    text = F.when(found.isNull(), docs["text"]).otherwise(F.array_join(kept, "\n"))
     if count is None:
         return marked.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns])
-    gone = F.when(F.col("_hits").isNull(), F.lit(0)).otherwise(F.size(_lines()) - F.size(kept))
+    gone = F.when(found.isNull(), F.lit(0)).otherwise(F.size(_lines()) - F.size(kept))
     rest = [docs[c] for c in docs.columns if c not in ("text", count)]
     return marked.select(*rest, text.alias("text"), gone.cast("long").alias(count))
 
@@ -88,8 +90,9 @@ def remove_boilerplate(
 def drop_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
     """:func:`remove_boilerplate` for a pipeline: ``n_chars`` follows the text, and a
     document all of whose lines were removed goes (each line stays in its first one)."""
-    clean = remove_boilerplate(docs, site, min_sites, "_removed")
+    gone = unused(docs, "_removed")
+    clean = remove_boilerplate(docs, site, min_sites, gone)
     blank = F.btrim(F.coalesce("text", F.lit("")), F.lit(BLANKS + "\n")) == ""
-    clean = clean.where(~((F.col("_removed") > 0) & blank))
-    length = F.when(F.col("_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    clean = clean.where(~((F.col(gone) > 0) & blank))
+    length = F.when(F.col(gone) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return clean.withColumn("n_chars", length).select(docs.columns)

@@ -37,9 +37,9 @@ LONG_LIST = 48
 SLACK = 5.0
 
 
-def _sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
+def _sets(texts: list[str], words: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    for hashes in flat.words([t or "" for t in texts.to_pylist()]):
+    for hashes in flat.words(texts):
         yield np.unique(flat.shingles(hashes, words).view(np.int64))
 
 
@@ -61,9 +61,9 @@ def sketch(docs: DataFrame, words: int = 5, k: int = K) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            for low, high in flat.blocks([t or "" for t in texts.to_pylist()], 4 << 20):
-                sets = list(_sets(texts.slice(low, high - low), words))
+            ids = batch.column(0)
+            for low, high, texts in flat.slices(batch.column(1)):
+                sets = list(_sets(texts, words))
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(low, high - low),
@@ -84,9 +84,9 @@ def full_sets(docs: DataFrame, words: int = 5) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            for low, high in flat.blocks([t or "" for t in texts.to_pylist()], 2 << 20):
-                sets = list(_sets(texts.slice(low, high - low), words))
+            ids = batch.column(0)
+            for low, high, texts in flat.slices(batch.column(1)):
+                sets = list(_sets(texts, words))
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(low, high - low), _lists(sets)], ["rid", "shingles"]
                 )
@@ -253,9 +253,8 @@ def near_duplicates(
     sets = staging.keep(full_sets(_of(docs, _pair_ends(more)), words), "sets")
     links = linked.union(_confirm(more, sets, percent))
 
-    found = staging.keep(components(links, staging), "components")
-    for table in (sketches, reps, lists, hubs, likely, sets, linked, open_lists, more):
-        staging.drop(table)
+    found = components(links, staging)
+    staging.only(members, found)
     component = F.when(F.col("n") > 0, F.coalesce("component", "rid")).otherwise(F.col("doc_id"))
     return members.join(found.withColumnRenamed("node", "rid"), "rid", "left").select(
         "doc_id",

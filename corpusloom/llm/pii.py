@@ -185,12 +185,14 @@ def _fit(rows: DataFrame, staging: Staging) -> tuple | None:
     sample = staging.keep(seen.select("kind", "label", held.alias("held"), *columns), "proposals")
     train = VectorAssembler(inputCols=FEATURES, outputCol="vector").transform(sample.where("not held"))
     if train.select("label").distinct().count() < 2:
+        staging.drop(sample)
         return None
     model = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=6, maxDepth=3, seed=7).fit(train)
     judged = _judge(sample.where("held"), model)
     table = judged.groupBy("kind", F.floor(F.col("p") * 20).alias("bin")).agg(
         F.count("*").alias("n"), F.sum("label").alias("right")
     ).collect()  # at most 21 bins for each generator
+    staging.drop(sample)
     bounds = {}
     for kind in {r["kind"] for r in table}:
         n = right = 0.0

@@ -20,15 +20,22 @@ class Staging:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.paths: dict[int, str] = {}
+        self.tables: list[DataFrame] = []  # keeps the frames, so that their ids stay unique
 
     def keep(self, df: DataFrame, label: str) -> DataFrame:
         path = work_path(self.spark, label)
         df.write.parquet(path)
         table = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(table)] = path
-        table._staged = self  # the frame keeps its record alive, so ids stay unique
+        self.tables.append(table)
         return table
 
+    def only(self, *tables: DataFrame) -> None:
+        """Drop all tables but these."""
+        for table in self.tables:
+            if not any(table is t for t in tables):
+                self.drop(table)
+
     def swap(self, old: DataFrame, new: DataFrame, label: str) -> DataFrame:
         """Write ``new``, which may read ``old``, then drop ``old``."""
         table = self.keep(new, label)
@@ -49,6 +56,13 @@ def few(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with more underscores before it until no column of ``df`` has it."""
+    while name in df.columns:
+        name = "_" + name
+    return name
+
+
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package when their path does not have it.
 

@@ -169,4 +169,6 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
         staging.keep(numbers.join(few(first), "bucket", "left_anti"), "rest"),
     )
     ranked = heads.union(rest).withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    found = staging.keep(ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"), "top")
+    staging.only(found)
+    return found

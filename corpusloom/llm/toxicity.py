@@ -18,13 +18,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import flat
-from corpusloom.llm.staging import Staging, few, ship
+from corpusloom.llm.staging import Staging, few, ship, unused
 
 DISCOUNT = 2.5
 WINDOWS = (1, 4)
@@ -64,9 +63,8 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For every stem of a task's texts a bit map of the stems before it."""
     maps = np.zeros((STEMS, SIDES // 64), np.uint64)
     for batch in batches:
-        texts = [t or "" for t in batch.column(0).to_pylist()]
-        for low, high in flat.blocks(texts):
-            _, _, stem, counts = expressions(texts[low:high])
+        for _, _, texts in flat.slices(batch.column(0)):
+            _, _, stem, counts = expressions(texts)
             side = np.roll(flat.mix(stem.astype(np.uint64)) % np.uint64(SIDES), 1).astype(np.int64)
             stops = np.cumsum(counts)
             side[(stops - counts)[counts > 0]] = 0
@@ -92,12 +90,13 @@ def neighbour_counts(docs: DataFrame) -> DataFrame:
 
 def _class_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The distinct pairs of each text with their words, stem, half and class."""
+    import pandas as pd
+
     names = ["pair", "word", "previous", "stem", "half", "toxic", "n"]
     for batch in batches:
-        texts = [t or "" for t in batch.column(0).to_pylist()]
         half, toxic = (np.array(batch.column(i).to_pylist(), np.int32) for i in (1, 2))
-        for low, high in flat.blocks(texts):
-            pair, word, stem, counts = expressions(texts[low:high])
+        for low, high, texts in flat.slices(batch.column(0)):
+            pair, word, stem, counts = expressions(texts)
             previous = np.roll(word, 1)
             stops = np.cumsum(counts)
             previous[(stops - counts)[counts > 0]] = 0
@@ -142,7 +141,8 @@ def class_counts(labelled: DataFrame, staging: Staging) -> DataFrame:
     ]
     # the discount leaves nothing of a smaller count
     told = "level = 2 or n00 + n10 > {d} or n01 + n11 > {d}".format(d=DISCOUNT)
-    return levels[0].union(levels[1]).union(levels[2]).where(told)
+    small = [F.col(c).cast("int").alias(c) for c in CELLS]
+    return levels[0].union(levels[1]).union(levels[2]).where(told).select("level", "key", "context", *small)
 
 
 class Level:
@@ -163,14 +163,13 @@ class Level:
 class Models:
     """The two class models over the counts of the chosen halves."""
 
-    def __init__(self, counts: pd.DataFrame, sides: pd.DataFrame, halves: tuple[int, ...]):
+    def __init__(self, counts: dict[str, np.ndarray], sides: dict[str, np.ndarray], halves: tuple[int, ...]):
         by_class = np.stack(
-            [sum(counts[f"n{h}{c}"].to_numpy(np.float64) for h in halves) for c in (0, 1)], axis=1
+            [sum(counts[f"n{h}{c}"].astype(np.float64) for h in halves) for c in (0, 1)], axis=1
         )
-        level = counts["level"].to_numpy()
-        keys, context = counts["key"].to_numpy(np.int64), counts["context"].to_numpy(np.int64)
+        level, keys, context = counts["level"], counts["key"], counts["context"]
         shared = np.ones(STEMS)
-        shared[sides["stem"].to_numpy(np.int64)] += sides["sides"].to_numpy(np.float64)
+        shared[sides["stem"]] += sides["sides"]
         shared /= shared.sum()
         # word beginnings
         at = level == 2
@@ -228,13 +227,13 @@ class Models:
         ratio = np.log(p[:, 1]) - np.log(p[:, 0])
         return ratio, counts
 
-    def features(self, texts: list[str]) -> np.ndarray:
+    def features(self, column: pa.Array) -> np.ndarray:
         """Per text the mean ratio of its words and, for each of ``WINDOWS``, the highest
         mean over that many neighbours (a shorter text counts as filled up with zeros);
         zeros without words."""
         found = []
-        for low, high in flat.blocks(texts):
-            ratio, counts = self.log_ratio(texts[low:high])
+        for _, _, texts in flat.slices(column):
+            ratio, counts = self.log_ratio(texts)
             sums = np.concatenate([[0.0], np.cumsum(ratio)])
             stop = 0
             for n in counts.tolist():
@@ -277,55 +276,63 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED)
     return docs.select("doc_id", "text").join(few(chosen), "doc_id").select("doc_id", "text", "toxic", half)
 
 
+def _arrays(df: DataFrame) -> dict[str, np.ndarray]:
+    """The columns of a bounded table."""
+    return {name: column.to_numpy() for name, column in zip(df.columns, df.toArrow().columns)}
+
+
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> dict:
     """The counts, neighbour counts and logistic weights of a classifier."""
     ship(docs.sparkSession)
     staging = Staging(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     labelled = staging.keep(training_rows(docs, labels, most), "labelled")
-    counts = class_counts(labelled, staging).toPandas()
-    sides = neighbour_counts(docs).toPandas()
+    counts = _arrays(class_counts(labelled, staging))
+    sides = _arrays(neighbour_counts(docs))
     send = docs.sparkSession.sparkContext.broadcast((counts, sides))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         others = [Models(*send.value, (1,)), Models(*send.value, (0,))]
         for batch in batches:
-            texts = [t or "" for t in batch.column(0).to_pylist()]
-            both = [m.features(texts) for m in others]
+            both = [m.features(batch.column(0)) for m in others]
             half = np.array(batch.column(1).to_pylist(), bool)
             x = np.where(half[:, None], both[1], both[0])
             yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in x.T), batch.column(2)], [*parts, "toxic"])
 
     parts = [f"x{i}" for i in range(1 + len(WINDOWS))]
     schema = ", ".join(f"{p} double" for p in parts) + ", toxic int"
-    seen = labelled.select("text", "half", "toxic").mapInArrow(judge, schema).toPandas()
+    seen = _arrays(labelled.select("text", "half", "toxic").mapInArrow(judge, schema))
     send.unpersist()
-    staging.drop(labelled)
-    weights = fit_logistic(seen[parts].to_numpy(), seen["toxic"].to_numpy(np.float64))
+    staging.only()
+    weights = fit_logistic(np.column_stack([seen[p] for p in parts]), seen["toxic"].astype(np.float64))
     return {"counts": counts, "sides": sides, "weights": weights}
 
 
-def score(docs: DataFrame, model: dict) -> DataFrame:
-    """``docs`` with a column ``toxicity`` from 0 to 1 (a column of that name is replaced).
+def score(docs: DataFrame, model: dict, name: str = "toxicity") -> DataFrame:
+    """``docs`` with a column ``name`` from 0 to 1; a column of that name is replaced.
 
     Null, empty and wordless texts get the score of a text that says nothing either way.
+    Repeated rows and rows without doc_id are scored like all others; an empty table gives
+    no rows.
     """
     spark = docs.sparkSession
     ship(spark)
     send = spark.sparkContext.broadcast(model)
 
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         held = Models(send.value["counts"], send.value["sides"], (0, 1))
         weights = send.value["weights"]
-        for series in texts:
-            x = held.features([t or "" for t in series])
-            z = np.column_stack([x, np.ones(len(x))]) @ weights if len(x) else np.empty(0)
-            yield pd.Series(1 / (1 + np.exp(-np.clip(z, -700, 700))))
+        for column in texts:
+            x = held.features(column)
+            z = np.column_stack([x, np.ones(len(x))]) @ weights
+            yield pa.array(1 / (1 + np.exp(-np.clip(z, -700, 700))), pa.float64())
 
-    return docs.withColumn("toxicity", F.pandas_udf(run, "double")("text"))
+    judge = F.arrow_udf(run, "double", F.ArrowUDFType.SCALAR_ITER)
+    return docs.withColumn(name, judge("text"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, all columns unchanged."""
-    scored = score(docs, fit(docs, labels))
-    return scored.where(F.col("toxicity") < threshold).select(docs.columns)
+    name = unused(docs, "_toxicity")
+    scored = score(docs, fit(docs, labels), name)
+    return scored.where(F.col(name) < threshold).select(docs.columns)
