@@ -1,7 +1,7 @@
 """Benchmark passages in documents, by SimHash fingerprints of item-sized windows.
 
-1. Every item gives a few anchor words that no passage of the wanted similarity can miss
-   all at once, the rarest of the corpus in their neighbourhood. Where a document has an
+1. Every item gives a few anchor words, as rare in the corpus as possible, that no
+   passage of the wanted similarity can miss all at once. Where a document has an
    anchor, a window of the item's length is laid so that both words meet, and some words
    to the left and right, as far as insertions can shift a passage.
 2. Windows and items get 64-bit SimHash fingerprints; a word weighs as many votes as
@@ -18,7 +18,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from corpusloom.llm.staging import Staging, few
 from corpusloom.session import small_side
@@ -28,8 +27,6 @@ SHINGLE = 5
 RADIUS = 15
 BLOCKS = RADIUS + 1
 BLOCK_BITS = 64 // BLOCKS
-#: anchors stand at least six words apart, one in each run of ten words
-RUN = 10
 
 
 def _words(text: str = "text") -> Column:
@@ -46,16 +43,16 @@ def _shingles(words: str) -> Column:
     return F.when(F.size(words) > 0, runs).otherwise(F.array().cast("array<string>"))
 
 
+def _over(at: Column, size: Column) -> Column:
+    """How many shingles of ``size`` words hold the word at place ``at``."""
+    shingles = F.greatest(size - SHINGLE + 1, F.lit(1))
+    return F.least(at, shingles - 1) - F.greatest(at - (SHINGLE - 1), F.lit(0)) + 1
+
+
 def _fingerprint(words: str) -> Column:
     """64 majority votes of the words' hashes, weighted by the shingles over each word."""
-    size = F.size(words)
-    shingles = F.greatest(size - SHINGLE + 1, F.lit(1))
     hashed = F.transform(
-        words,
-        lambda w, i: F.struct(
-            F.xxhash64(w).alias("h"),
-            (F.least(i, shingles - 1) - F.greatest(i - (SHINGLE - 1), F.lit(0)) + 1).alias("n"),
-        ),
+        words, lambda w, i: F.struct(F.xxhash64(w).alias("h"), _over(i, F.size(words)).alias("n"))
     )
     votes = F.transform(
         F.sequence(F.lit(0), F.lit(63)),
@@ -84,20 +81,31 @@ def anchors(items: DataFrame, docs: DataFrame, staging: Staging) -> DataFrame:
     """``word, size, at``: where each anchor stands in items of ``size`` words.
 
     A passage reaches the similarity only if at most a fifth of the item's shingles is
-    missing. Anchors more than five words apart lie in different shingles, and one in
-    each run of ten words lies in more than a fifth of them together; in items under
-    twenty words every word is one.
+    missing. Words at least five apart share no shingle, so a passage without any of them
+    misses all shingles over them; the rarest words of the corpus are taken, in turn, until
+    that is more than a fifth.
     """
-    places = items.select("item_id", "size", F.posexplode("words").alias("at", "word"))
-    places = staging.keep(places.where(f"size < {2 * RUN} or at % {RUN} < {RUN // 2}"), "places")
+    places = items.select("item_id", "print", "size", F.posexplode("words").alias("at", "word"))
+    places = staging.keep(places, "places")
     vocabulary = few(staging.keep(places.select("word").distinct(), "vocabulary"))
     seen = docs.select(F.explode(_words()).alias("word")).join(vocabulary, "word")
     counts = seen.groupBy("word").agg(F.count("*").alias("n"))
-    rare = places.join(counts, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    run = F.when(F.col("size") < 2 * RUN, F.col("at")).otherwise(F.floor(F.col("at") / RUN))
-    order = Window.partitionBy("item_id", "size", run).orderBy("n", "word", "at")
-    chosen = rare.withColumn("rank", F.row_number().over(order)).where("rank = 1")
-    return staging.keep(chosen.select("word", "size", "at").distinct(), "anchors")
+    rated = places.join(counts, "word", "left").select(
+        "item_id", "print", "size",
+        F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "at", _over(F.col("at"), F.col("size")).alias("over")).alias("x"),
+    )
+    rated = rated.groupBy("item_id", "print", "size").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    need = F.floor(F.greatest(F.col("size") - SHINGLE + 1, F.lit(1)) / 5) + 1
+    nothing = F.struct(F.lit(0).alias("sum"), F.slice("xs", 1, 0).alias("taken"))
+
+    def take(acc: Column, x: Column) -> Column:
+        near = F.exists(acc["taken"], lambda y: F.abs(y["at"] - x["at"]) < SHINGLE)
+        more = F.struct((acc["sum"] + x["over"]).alias("sum"), F.concat(acc["taken"], F.array(x)).alias("taken"))
+        return F.when((acc["sum"] >= need) | near, acc).otherwise(more)
+
+    chosen = rated.withColumn("chosen", F.aggregate("xs", nothing, take))
+    chosen = chosen.withColumn("x", F.explode(F.when(F.col("chosen.sum") >= need, F.col("chosen.taken")).otherwise(F.col("xs"))))
+    return staging.keep(chosen.select("x.word", "size", "x.at").distinct(), "anchors")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -160,7 +168,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     )
     found = shared.withColumn("similarity", F.col("shared") / (F.col("all_n") + F.col("all_m") - F.col("shared")))
     found = found.where(F.col("similarity") >= similarity)
-    return found.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"))
+    best = found.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"))
+    best = staging.keep(best, "contaminated")
+    staging.only(best)
+    return best
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
