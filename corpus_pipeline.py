@@ -35,7 +35,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def as_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id``, the piece ids of each text with begin and end, and the text they decode to."""
-    return sentencepiece_codec.decode(sentencepiece_codec.encode(docs, piece_model()), piece_model())
+    return sentencepiece_codec.encode(docs, piece_model(), decoded=True)
 
 
 STAGES = [
