@@ -59,7 +59,12 @@ def tsv_roundtrip(spark, sf_dir):
     return back.select(
         F.col("path").cast("bigint").alias("doc_id"),
         (F.size(F.split("cells", "\t")) + 1).cast("bigint").alias("cells"),
-        F.md5(F.concat_ws("\t", "path", "cells")).alias("digest"),
+        F.md5(
+            F.concat_ws(
+                "\t", "path",
+                F.transform(F.split("cells", "\t"), lambda x: F.format_string("%.6f", x.cast("double"))),
+            )
+        ).alias("digest"),
     )
 
 

@@ -30,12 +30,10 @@ grams AS (
   SELECT doc_id, lang, l[i] || l[i + 1] || l[i + 2] AS gram
   FROM (SELECT doc_id, lang, l, unnest(range(1, len(l) - 1)) AS i FROM chars)),
 counts AS (SELECT doc_id, lang, gram, count(*) AS n FROM grams GROUP BY ALL),
-ranked AS (
-  SELECT lang, gram, sum(n)::BIGINT AS n,
-    row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, gram) AS r
-  FROM counts WHERE lang IS NOT NULL GROUP BY lang, gram),
+summed AS (
+  SELECT lang, gram, sum(n)::BIGINT AS n FROM counts WHERE lang IS NOT NULL GROUP BY lang, gram),
 profiles AS (
-  SELECT lang, gram, n, sum(n) OVER (PARTITION BY lang)::BIGINT AS total FROM ranked WHERE r <= {lg.PROFILE_SIZE})"""
+  SELECT lang, gram, n, sum(n) OVER (PARTITION BY lang)::BIGINT AS total FROM summed)"""
 
 ORACLES = {
     "lang_profiles": f"WITH {_PROFILES} SELECT lang, gram, n, total FROM profiles",

@@ -287,15 +287,15 @@ asked AS (SELECT unnest({MISSPELT.split()}) AS word),
 ranked AS (
   SELECT word, term AS suggestion, levenshtein(term, word)::BIGINT AS distance, documents,
     row_number() OVER (PARTITION BY word ORDER BY levenshtein(term, word), documents DESC, term) AS r
-  FROM stats JOIN asked ON left(term, 1) = left(word, 1)
-    AND abs(length(term) - length(word)) <= 2 AND levenshtein(term, word) <= 2
+  FROM stats JOIN asked ON abs(length(term) - length(word)) <= 2 AND levenshtein(term, word) <= 2
   WHERE word NOT IN (SELECT term FROM stats)),
 found AS (SELECT word, suggestion, distance, documents FROM ranked WHERE r = 1)"""
 
 _PIECE = r"[\p{L}\p{N}]+(?:[''’][\p{L}\p{N}]+)*|[^\p{L}\p{N}]+"
 _ARC = """2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(lat - 48.85) / 2), 2)
   + cos(radians(lat)) * cos(radians(48.85)) * pow(sin(radians(lng - 2.35) / 2), 2))))"""
-_PLANE = """3958.8 * sqrt(pow(radians(lng - 20.0) * cos(radians(10.0)), 2) + pow(radians(lat - 10.0), 2))"""
+_PLANE = """3958.8 * sqrt(pow(radians(least(abs(lng - 20.0), 360 - abs(lng - 20.0))) * cos(radians(10.0)), 2)
+  + pow(radians(lat - 10.0), 2))"""
 
 ORACLES = {
     "scan_filtered": "SELECT doc_id, text FROM documents WHERE lang = 'fr' ORDER BY doc_id DESC",

@@ -36,10 +36,13 @@ def tfidf_sparse(spark, sf_dir):
 def tfidf_dense(spark, sf_dir):
     terms = ops.shared(_terms(spark, sf_dir))
     lines = ops.dense_lines(terms, ops.vocabulary_with_total(terms))
+    # cells hold the whole number; only the comparison rounds
+    cells = F.split("line", "\t")
+    rounded = F.transform(F.slice(cells, F.lit(2), F.size(cells)), lambda x: F.format_string("%.6f", x.cast("double")))
     return lines.select(
         "doc_id",
-        F.size(F.split("line", "\t")).cast("bigint").alias("cells"),
-        F.md5(F.col("line")).alias("digest"),
+        F.size(cells).cast("bigint").alias("cells"),
+        F.md5(F.concat_ws("\t", F.get(cells, F.lit(0)), rounded)).alias("digest"),
     )
 
 
@@ -93,7 +96,7 @@ def surface_words(spark, sf_dir):
 def shingle_stats(spark, sf_dir):
     grams = tx.count_terms(tx.shingles(tx.tokenise(F.col("text"), F.col("lang"))))
     counts = expand(c.documents(spark, sf_dir).select(grams.alias("grams")), "grams")
-    return ops.corpus_word_stats(counts).where(F.col("count") >= ops.MIN_COUNT)
+    return ops.corpus_word_stats(counts)
 
 
 def token_filters(spark, sf_dir):
@@ -240,7 +243,7 @@ grams AS (
   UNION ALL SELECT doc_id, t || ' ' || t2 FROM led WHERE t2 IS NOT NULL
   UNION ALL SELECT doc_id, t || ' ' || t2 || ' ' || t3 FROM led WHERE t3 IS NOT NULL)
 SELECT term, count(DISTINCT doc_id) AS documents, count(*) AS "count"
-FROM grams GROUP BY term HAVING count(*) >= 10""",
+FROM grams GROUP BY term""",
     "token_filters": f"""WITH {c.TOKENS},
 totals AS (SELECT token, count(*) AS n FROM tokens GROUP BY token),
 tagged AS (

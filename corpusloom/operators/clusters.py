@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,6 +11,7 @@ from pyspark.sql.window import Window
 from corpusloom.functions import text as tx
 from corpusloom.functions.rows import expand
 from corpusloom.operators.words import TokenRule
+from corpusloom.session import small_side
 
 TOP_WORDS = 50
 
@@ -73,11 +76,8 @@ def assignment_lines(assignment: DataFrame, cluster: str = "cluster") -> DataFra
 
 def mean_centres(vectors: DataFrame, group: str, vector: str) -> DataFrame:
     """``(group, centre)``: the mean vector of each group, summed map-side."""
-    cells = vectors.select(group, F.posexplode(vector).alias("i", "x"))
-    means = cells.groupBy(group, "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    return means.groupBy(group).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda c: c["x"]).alias("centre")
-    )
+    mean = Summarizer.mean(array_to_vector(F.col(vector).cast("array<double>")))
+    return vectors.groupBy(group).agg(vector_to_array(mean).alias("centre"))
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -86,33 +86,17 @@ def squared_distance(a: Column, b: Column) -> Column:
 
 
 def nearest_centre(
-    vectors: DataFrame, centres: DataFrame, key: str, vector: str, group: str, max_centres: int = 10_000
+    vectors: DataFrame, centres: DataFrame, key: str, vector: str, group: str
 ) -> DataFrame:
     """``(key, group, distance)`` of the closest centre; ties go to the lowest.
 
-    The centres, one per cluster, come as a single array value: each vector is
-    compared inside its own row and nothing is joined. More than ``max_centres``
-    is an error, since that array goes to every task.
+    Every vector meets every centre, which is the task; the centres are broadcast
+    where their size allows. Keys are unique: a task keeps one row per key, so
+    that the pairs are folded where they are made.
     """
-    packed = centres.agg(
-        F.when(
-            F.count(F.lit(1)) <= max_centres,
-            F.sort_array(F.collect_list(F.struct(F.col(group).alias("group"), F.col("centre")))),
-        )
-        .otherwise(F.raise_error(F.lit("too many centres")).cast("array<struct<group:bigint,centre:array<double>>>"))
-        .alias("all")
-    ).scalar()
-    near = F.array_min(
-        F.transform(
-            F.col("_centres"),
-            lambda c: F.struct(
-                squared_distance(F.col("_vector"), c["centre"]).alias("distance"), c["group"].alias("group")
-            ),
-        )
-    )
-    prepared = vectors.select(
-        key, F.col(vector).cast("array<double>").alias("_vector"), packed.alias("_centres")
-    )
-    return prepared.select(key, near.alias("near")).select(
-        key, F.col("near.group").alias(group), F.col("near.distance").alias("distance")
-    )
+    prepared = vectors.select(key, F.col(vector).cast("array<double>").alias("_vector"))
+    sides = centres.select(F.col(group).alias("_group"), F.col("centre").alias("_centre"))
+    distance = squared_distance(F.col("_vector"), F.col("_centre"))
+    pairs = prepared.crossJoin(small_side(sides))
+    near = pairs.groupBy(key).agg(F.min(F.struct(distance.alias("distance"), F.col("_group").alias("group"))).alias("near"))
+    return near.select(key, F.col("near.group").alias(group), F.col("near.distance").alias("distance"))

@@ -265,16 +265,25 @@ def facet_date(
     ntz = df.schema[field].dataType.simpleString() == "timestamp_ntz"
     kind = "timestamp_ntz" if ntz else "timestamp"
     first, until = F.lit(start).cast(kind), F.lit(end).cast(kind)
-    whole = F.floor(F.timestamp_diff(unit, first, until) / gap).cast("int")
+
+    def edge_before(x: Column) -> Column:
+        """Number of the last edge up to ``x``. An edge a month after the 31st is the
+        month's last day, which the difference in months does not count yet."""
+        low = F.floor(F.timestamp_diff(unit, first, x) / gap)
+        next_edge = F.timestamp_add(unit, ((low + 1) * gap).cast("int"), first)
+        return low + F.when(next_edge <= x, 1).otherwise(0)
+
+    # constants of one row without a table: no job is run for them
+    whole = edge_before(until).cast("int")
     full, exact = (
-        df.sparkSession.range(1)
+        df.sparkSession.sql("SELECT 1 AS one")
         .select(whole.alias("whole"), F.timestamp_add(unit, whole * gap, first) == until)
         .first()
     )
     n_buckets = max(1, full + (0 if exact else 1))
     stop = until if hardend else F.timestamp_add(unit, F.lit(n_buckets * gap), first)
     x = F.col(field) if ntz else F.col(field).cast(kind)
-    low = F.floor(F.timestamp_diff(unit, first, x) / gap)
+    low = edge_before(x)
     counts = _bucket_counts(
         _reached(df, x, first, stop, other),
         low,

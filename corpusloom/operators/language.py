@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.functions.rows import expand_values
-
-PROFILE_SIZE = 1000
+from corpusloom.functions import text as tx
+from corpusloom.functions.rows import expand
+from corpusloom.session import small_side
 
 
 def trigrams(text: Column) -> Column:
@@ -26,32 +26,21 @@ def trigrams(text: Column) -> Column:
 
 
 def language_profiles(
-    docs: DataFrame, text: str = "text", lang: str = "lang", size: int = PROFILE_SIZE
+    docs: DataFrame, text: str = "text", lang: str = "lang", size: int | None = None
 ) -> DataFrame:
-    """``(lang, gram, n, total)``: the ``size`` commonest trigrams per language.
+    """``(lang, gram, n, total)``: the trigrams of each language, all of them or the
+    ``size`` commonest; ``total`` is the sum of the kept counts.
 
-    ``total`` is the sum of the kept counts. Every task cuts its own rows to
-    ``size`` per language before the final ranking.
+    A text's trigrams are counted in its row, so a text gives a row per distinct one.
     """
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    rows = labelled.select(F.col(lang).alias("lang"), trigrams(F.col(text)).alias("grams"))
-    # few distinct trigrams per language: each task folds its rows to those
-    summed = (
-        expand_values(rows, "grams", "gram", "lang")
-        .groupBy("lang", "gram")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    best = Window.partitionBy("lang").orderBy(F.desc("n"), F.asc("gram"))
-    return (
-        summed.withColumn("rank", F.row_number().over(best))
-        .where(F.col("rank") <= size)
-        .select(
-            "lang",
-            "gram",
-            "n",
-            F.sum("n").over(Window.partitionBy("lang")).alias("total"),
-        )
-    )
+    rows = labelled.select(F.col(lang).alias("lang"), tx.count_terms(trigrams(F.col(text))).alias("grams"))
+    summed = expand(rows, "grams", "lang").groupBy("lang", F.col("term").alias("gram")).agg(F.sum("n").alias("n"))
+    if size is not None:
+        best = Window.partitionBy("lang").orderBy(F.desc("n"), F.asc("gram"))
+        summed = summed.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= size)
+    totals = summed.groupBy("lang").agg(F.sum("n").alias("total"))
+    return summed.join(totals, "lang").select("lang", "gram", "n", "total")
 
 
 def detect_language(
@@ -65,9 +54,9 @@ def detect_language(
 
     A trigram of language L weighs ``ln((n + 1) / (total + 1))``, an unlisted one
     ``ln(1 / (total + 1))``. The common part is a factor of the document's trigram
-    count, so only listed trigrams have to be joined. The profile side has at
-    most ``PROFILE_SIZE`` rows per language, which bounds its broadcast. Equal
-    scores go to the first language code; documents without letters get null.
+    count, so only listed trigrams have to be joined. Trigrams are counted in the
+    row first; the profiles are broadcast where their size allows. Equal scores go
+    to the first language code; documents without letters get null.
     """
     codes = sorted(languages)
     wide = profiles.groupBy("gram").agg(
@@ -85,14 +74,15 @@ def detect_language(
         )
     ).scalar()
     rows = docs.where(F.col(text).isNotNull()).select(
-        F.col(doc_id).alias("doc_id"), F.explode_outer(trigrams(F.col(text))).alias("gram")
+        F.col(doc_id).alias("doc_id"), F.explode_outer(tx.count_terms(trigrams(F.col(text)))).alias("entry")
     )
+    rows = rows.select("doc_id", F.col("entry.term").alias("gram"), "entry.n")
     sums = (
-        rows.join(F.broadcast(wide), "gram", "left")
+        rows.join(small_side(wide), "gram", "left")
         .groupBy("doc_id")
         .agg(
-            F.count("gram").alias("grams"),
-            *[F.sum(f"w_{i}").alias(f"s_{i}") for i in range(len(codes))],
+            F.sum("n").alias("grams"),
+            *[F.sum(F.col("n") * F.col(f"w_{i}")).alias(f"s_{i}") for i in range(len(codes))],
         )
         .withColumn("floors", floors)
     )

@@ -58,19 +58,18 @@ def suggest(
 ) -> DataFrame:
     """``(word, suggestion, distance, documents)`` for words not in ``stats``.
 
-    Candidates share the first letter and differ in length by at most ``edits``;
-    nearest first, then most documents, then term. The query's words are the
+    Candidates differ in length by at most ``edits``; nearest first, then most
+    documents, then term. The query's words are the
     small side; the vocabulary is read once and never moved whole, as each task
     keeps its best candidates per word. A known word meets itself at distance 0
     and is dropped with its candidates.
     """
     words = sorted({w.lower() for w in words})
     asked = F.broadcast(stats.sparkSession.createDataFrame([(w,) for w in words], "word string"))
-    same_start = F.substring("term", 1, 1) == F.substring("word", 1, 1)
     close = F.length("term").between(F.length("word") - edits, F.length("word") + edits)
     best = Window.partitionBy("word").orderBy(F.asc("distance"), F.desc("documents"), F.asc("term"))
     ranked = (
-        stats.join(asked, same_start & close)
+        stats.join(asked, close)
         .withColumn("distance", F.levenshtein(F.col("term"), F.col("word"), edits))
         .where(F.col("distance") >= 0)
         .withColumn("rank", F.row_number().over(best))

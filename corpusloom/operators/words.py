@@ -106,14 +106,16 @@ def upper_keys(counts: DataFrame, *group: str) -> DataFrame:
     return counts.groupBy(*group, F.upper("term").alias("term")).agg(F.sum("n").alias("n"))
 
 
-def tfidf_wide(scores: DataFrame, terms: Sequence[str], max_columns: int = 10_000) -> DataFrame:
+def tfidf_wide(scores: DataFrame, terms: Sequence[str]) -> DataFrame:
     """One column per listed term, 0 where a document lacks it.
 
     The terms are given, so no pass is spent on finding them; for a whole
-    vocabulary use :func:`dense_lines`, whose width costs no columns.
+    vocabulary use :func:`dense_lines`, whose width costs no columns. As many
+    columns as ``spark.sql.pivotMaxValues`` allows.
     """
-    if len(terms) > max_columns:
-        raise ValueError(f"{len(terms)} columns; the limit is {max_columns}")
+    most = int(scores.sparkSession.conf.get("spark.sql.pivotMaxValues"))
+    if len(terms) > most:
+        raise ValueError(f"{len(terms)} columns; spark.sql.pivotMaxValues is {most}")
     wide = scores.groupBy("doc_id").pivot("term", list(terms)).agg(F.first("tfidf"))
     return wide.na.fill(0.0)
 
@@ -248,13 +250,13 @@ def dense_lines(terms: DataFrame, vocab: DataFrame, sep: str = "\t") -> DataFram
                 F.collect_list(
                     F.when(
                         F.col("column").isNotNull(),
-                        F.struct("column", F.format_string("%.6f", value).alias("cell")),
+                        F.struct("column", value.cast("string").alias("cell")),
                     )
                 )
             ).alias("cells")
         )
     )
-    zero = "0.000000"
+    zero = "0.0"
 
     def piece(entry: Column, i: Column) -> Column:
         before = F.coalesce(F.get("cells", i - 1)["column"], F.lit(0))

@@ -54,24 +54,27 @@ def assign(model: PipelineModel, tokens: DataFrame, predict_space: str = "tfidf"
     Documents are placed in the space the centres were trained in;
     ``predict_space="tf"`` compares raw term counts with those centres instead.
     """
+    return _placed(model, tokens, predict_space).select(*tokens.columns, "cluster")
+
+
+def _placed(model: PipelineModel, tokens: DataFrame, predict_space: str) -> DataFrame:
     if predict_space == "tfidf":
-        placed = model.transform(tokens)
-    elif predict_space == "tf":
+        return model.transform(tokens)
+    if predict_space == "tf":
         hashing, _, kmeans = model.stages
-        placed = kmeans.copy().setFeaturesCol("tf").transform(hashing.transform(tokens))
-    else:
-        raise ValueError(f"unknown space {predict_space!r}")
-    return placed.select(*tokens.columns, "cluster")
+        return kmeans.copy().setFeaturesCol("tf").transform(hashing.transform(tokens))
+    raise ValueError(f"unknown space {predict_space!r}")
 
 
-def distances(model: PipelineModel, tokens: DataFrame) -> DataFrame:
+def distances(model: PipelineModel, tokens: DataFrame, predict_space: str = "tfidf") -> DataFrame:
     """``(doc_id, cluster, own, nearest)``: squared distance to the assigned
     centre and to the closest one.
 
     Vectors stay sparse: only the non-zero entries meet the centres, of which
-    there are as many as the model was asked for.
+    there are as many as the model was asked for. All vectors of a batch are one
+    flat array, and a segmented sum gives their products with the centres.
     """
-    placed = model.transform(tokens).select("doc_id", "cluster", "tfidf")
+    placed = _placed(model, tokens, predict_space).select("doc_id", "cluster", F.col(predict_space).alias("vector"))
     centres = np.array(model.stages[-1].clusterCenters())
     shared = tokens.sparkSession.sparkContext.broadcast(centres)
 
@@ -79,11 +82,15 @@ def distances(model: PipelineModel, tokens: DataFrame) -> DataFrame:
         by_feature = np.ascontiguousarray(shared.value.T)
         norms = (by_feature**2).sum(axis=0)
         for frame in frames:
-            rows = []
-            for vector in frame["tfidf"]:
-                at, x = np.asarray(vector["indices"]), np.asarray(vector["values"])
-                rows.append((x**2).sum() - 2 * x @ by_feature[at] + norms)
-            found = np.maximum(np.array(rows).reshape(len(frame), len(norms)), 0.0)
+            sizes = [len(v["indices"]) for v in frame["vector"]]
+            owner = np.repeat(np.arange(len(frame)), sizes)
+            at = np.concatenate([[], *(v["indices"] for v in frame["vector"])]).astype(np.int64)
+            x = np.concatenate([[], *(v["values"] for v in frame["vector"])])
+            squares = np.bincount(owner, x**2, len(frame))
+            products = np.column_stack(
+                [np.bincount(owner, x * by_feature[at, c], len(frame)) for c in range(len(norms))]
+            )
+            found = np.maximum(squares[:, None] - 2 * products + norms, 0.0)
             own = found[np.arange(len(frame)), frame["cluster"].to_numpy()]
             yield frame[["doc_id", "cluster"]].assign(own=own, nearest=found.min(axis=1))
 

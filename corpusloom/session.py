@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -30,15 +31,19 @@ def build_session(app: str, master: str | None = None, **conf: str) -> SparkSess
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, from ``spark.checkpoint.dir``.
 
-    Only a local master, where driver and executors are one process, may fall
-    back to a temporary folder; on a cluster a missing setting is an error.
+    On a master other than ``local[...]`` a missing setting is an error, and so is a path
+    without a scheme, which would name a folder of each machine's own. Only with an explicit
+    local master, one process, is a temporary folder used instead.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    one_process = re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is not None
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not one_process:
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="corpusloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
+    elif not one_process and "://" not in folder and not folder.startswith("file:"):
+        raise ValueError(f"spark.checkpoint.dir needs a scheme on a cluster: {folder}")
     return folder.rstrip("/")
 
 
@@ -64,22 +69,19 @@ def planned_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
-SPLIT_BYTES = 128 * 1024 * 1024
+SCAN_PARTITIONS = "spark.corpusloom.scan.partitions"
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores for a small input that would be read in a few tasks.
+    """``df`` as it is, or hashed on ``key`` where the caller asks for it.
 
-    A file is never split below its row groups, so CPU-heavy work on a small
-    table can end up in one task. Inputs under one scan split per core are
-    hashed on ``key`` (a unique id); larger ones already have enough splits and
-    are returned unchanged, so nothing big is ever moved by this.
+    A file is never split below its row groups, so tables written as one row group
+    are read in one task. Write them with more row groups, or set
+    ``spark.corpusloom.scan.partitions`` for a session that reads such tables; it is
+    off unless set, whatever the size of the input.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if planned_bytes(df) >= cores * SPLIT_BYTES:
-        return df
-    return df.repartition(cores, F.xxhash64(key))
+    partitions = df.sparkSession.conf.get(SCAN_PARTITIONS, None)
+    return df.repartition(int(partitions), F.xxhash64(key)) if partitions else df
 
 
 BROADCAST_BYTES = 64 * 1024 * 1024

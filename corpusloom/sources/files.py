@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,11 +80,14 @@ def scan_tsv(spark: SparkSession, path: str, key: str = "path", **options: str)
     """Document keys of a tab-separated matrix: text before the first tab.
 
     Only the key is taken from a line, so the schema stays fixed however many
-    columns the matrix has. The header line is the one whose key is the header's.
+    columns the matrix has. The header is the line that starts with ``key`` and has no
+    number behind it; a document of that name has numbers.
     """
     lines = spark.read.options(**options).text(path)
     first = F.substring_index("value", "\t", 1)
-    return lines.where(first != key).select(
+    last = F.substring_index("value", "\t", -1)
+    header = (first == key) & last.try_cast("double").isNull()
+    return lines.where(~header).select(
         first.alias(key), F.substring("value", F.length(first) + 2, F.length("value")).alias("cells")
     )
 
@@ -125,24 +128,28 @@ def send_batches(
 ) -> DataFrame:
     """Hand rows to a caller's writer, ``batch_size`` at a time, in each task.
 
-    Returns ``(batches, rows, failed)`` per task. A batch that raises is counted
-    and the rest goes on; ``commit`` runs once at a task's end. Tasks can be
-    repeated after a loss, so the writer should write by key.
+    Returns ``(batches, rows, failed, error)`` per task: ``rows`` were sent, ``failed``
+    were in a batch that raised, and ``error`` is the text of the last such error. The
+    rest goes on after it; ``commit`` runs once at a task's end. Values arrive as they
+    are, integers beside nulls too. Tasks can be repeated after a loss, so the writer
+    should write by key.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        batch, batches, rows, failed = [], 0, 0, 0
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batch, batches, rows, failed, error = [], 0, 0, 0, None
 
         def flush() -> None:
-            nonlocal batch, batches, rows, failed
+            nonlocal batch, batches, rows, failed, error
             try:
                 send(batch)
-            except Exception:
+                rows += len(batch)
+            except Exception as problem:
                 failed += len(batch)
-            batches, rows, batch = batches + 1, rows + len(batch), []
+                error = f"{type(problem).__name__}: {problem}"
+            batches, batch = batches + 1, []
 
-        for frame in frames:
-            for record in frame.to_dict("records"):
+        for part in parts:
+            for record in part.to_pylist():
                 batch.append(record)
                 if len(batch) >= batch_size:
                     flush()
@@ -150,6 +157,7 @@ def send_batches(
             flush()
         if commit is not None:
             commit()
-        yield pd.DataFrame({"batches": [batches], "rows": [rows], "failed": [failed]})
+        columns = [pa.array([v], pa.int64()) for v in (batches, rows, failed)]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array([error], pa.string())], ["batches", "rows", "failed", "error"])
 
-    return df.mapInPandas(run, "batches bigint, rows bigint, failed bigint")
+    return df.mapInArrow(run, "batches bigint, rows bigint, failed bigint, error string")

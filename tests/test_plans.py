@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from corpusloom.operators import words as ops
-from corpusloom.session import planned_bytes, shared_folder, small_side, spread, stage, work_path
+from corpusloom.session import SCAN_PARTITIONS, planned_bytes, shared_folder, small_side, spread, stage, work_path
 
 QUERIES = contract.queries()
 PYTHON = {"train_assign", "wssse", "user_parser", "batched_writer"}
@@ -84,12 +84,15 @@ def test_ranks_are_cut_before_the_shuffle(spark, sf_dir):
         assert "WindowGroupLimit" in text and "Partial" in text, name
 
 
-def test_spread_only_moves_small_inputs(spark, sf_dir):
+def test_scans_are_spread_only_on_request(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     assert planned_bytes(docs) > 0
-    assert "Exchange" in plan(spread(docs, "doc_id"))
-    big = docs.crossJoin(spark.range(100_000).select(F.col("id").alias("x")))
-    assert "REPARTITION" not in plan(spread(big, "doc_id"))
+    assert "Exchange" not in plan(spread(docs, "doc_id"))
+    spark.conf.set(SCAN_PARTITIONS, "3")
+    try:
+        assert spread(docs, "doc_id").rdd.getNumPartitions() == 3
+    finally:
+        spark.conf.unset(SCAN_PARTITIONS)
 
 
 def test_stage_and_shared_folder(spark):
