@@ -157,14 +157,14 @@ def stream_tfidf(spark, sf_dir):
 
 
 def stream_upsert(spark, sf_dir):
-    schema = "doc_id bigint, lang string, source string, n_chars bigint"
-    table = ix.new_index(spark, "doc_id", schema)
-    checkpoint = flows.new_checkpoint(spark)
-    docs = _doc_stream(spark, sf_dir)
-    # the same source is written twice from fresh progress: the keys take care of it
-    flows.feed_index(docs.drop("text"), table, checkpoint)
-    flows.feed_index(docs.drop("text"), table, flows.new_checkpoint(spark))
-    return table.read()
+    table = ix.new_index(spark, "doc_id", DOCUMENT)
+    # written twice from fresh progress, cut into other batches the second time: the
+    # first feed has another source, all of which the second one replaces
+    path, third = _dropped(spark, sf_dir, c.table(spark, sf_dir, "documents"))
+    first = flows.json_stream(spark, path, DOCUMENT, third).withColumn("source", F.lit("first"))
+    flows.feed_index(first, table, flows.new_checkpoint(spark))
+    flows.feed_index(flows.json_stream(spark, path, DOCUMENT, third + 1), table, flows.new_checkpoint(spark))
+    return table.read().withColumn("text", F.md5("text"))
 
 
 def stream_extract(spark, sf_dir):
@@ -179,14 +179,15 @@ def stream_extract(spark, sf_dir):
 
 
 def stream_files(spark, sf_dir):
-    pages = c.table(spark, sf_dir, "pages").select("page_id", "url")
+    pages = c.table(spark, sf_dir, "pages")
     path, third = _dropped(spark, sf_dir, pages)
     files = flows.file_stream(spark, path, ["json"], third)
     lines = _lines(files)
     out = work_path(spark, "lines")
     flows.append_to(lines, out, flows.new_checkpoint(spark))
     back = spark.read.schema("line string").parquet(out)
-    return io.parse_json_lines(back, "line", "page_id bigint, url string").select("page_id", "url")
+    read = io.parse_json_lines(back, "line", "page_id bigint, url string, html string")
+    return read.select("page_id", "url", F.md5("html").alias("html"))
 
 
 QUERIES = {
@@ -216,7 +217,7 @@ UNION ALL SELECT '{{"term":"' || term || '","documents":' || documents || ',"cou
     "stream_word_count": wd.ORACLES["word_count_by_doc"],
     "stream_corpus_stats": wd.ORACLES["corpus_stats"],
     "stream_tfidf": f"WITH {c.TFIDF} SELECT doc_id, term, round(tfidf, 6) AS tfidf FROM scores",
-    "stream_upsert": "SELECT doc_id, lang, source, n_chars FROM documents",
+    "stream_upsert": "SELECT doc_id, md5(text) AS text, lang, source, n_chars FROM documents",
     "stream_extract": f"WITH {pg.RECORDS} SELECT page_id, path, file, title, body, lang, error FROM records",
-    "stream_files": "SELECT page_id, url FROM pages",
+    "stream_files": "SELECT page_id, url, md5(html) AS html FROM pages",
 }

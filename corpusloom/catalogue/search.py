@@ -100,6 +100,31 @@ def phrase(spark, sf_dir):
     return _ids(keep(_texts(spark, sf_dir), m.text_phrase(F.col("text"), F.col("lang"), "in the")))
 
 
+def _joined(spark, sf_dir):
+    """Documents whose words have an article or a possessive joined to them."""
+    docs = c.documents(spark, sf_dir)
+    joined = F.when(F.col("lang") == "fr", F.replace("text", F.lit(" que"), F.lit(" l'que"))).otherwise(
+        F.replace("text", F.lit(" that "), F.lit(" that's "))
+    )
+    return docs.where(F.col("lang").isin("fr", "en")).withColumn("text", joined)
+
+
+def _found_by(docs, query, operator, side):
+    found = m.text_query(F.col("text"), F.col("lang"), query, operator).alias("found")
+    beside = m.text_phrase(F.col("text"), F.col("lang"), side).alias("side")
+    hits = once(docs, F.struct(found, beside), "hit", "doc_id")
+    return hits.select("doc_id", "hit.found", "hit.side")
+
+
+def query_elision(spark, sf_dir):
+    """A query word with a French article meets words with and without it."""
+    return _found_by(_joined(spark, sf_dir), "l'que l’quepa", "OR", "de l'que")
+
+
+def query_possessive(spark, sf_dir):
+    return _found_by(_joined(spark, sf_dir), "that's of’s", "AND", "that's the")
+
+
 def two_field_or(spark, sf_dir):
     pages = c.table(spark, sf_dir, "pages", "page_id").select(
         "page_id", tx.tokenise(h.body_text(F.col("html"))).alias("body"), tx.tokenise(F.col("url")).alias("path")
@@ -264,6 +289,7 @@ QUERIES = {
     for f in (
         scan_filtered, null_text_dropped, match_all, term_and, range_filter, free_text_and,
         free_text_or, free_text_fields, wildcard, fuzzy, fuzzy_documents, phrase, two_field_or,
+        query_elision, query_possessive,
         or_group, or_group_table, nested_any, nested_any_rows, exclude, multivalue,
         predefined_filters, lone_or_compat, page_two, sort_field, fields_returned, highlight,
         geo_radius, geo_plane, spell_suggest, spell_query, relevance_topk, search_hits_shown,
@@ -297,7 +323,22 @@ _ARC = """2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(lat - 48.85) / 2), 2
 _PLANE = """3958.8 * sqrt(pow(radians(least(abs(lng - 20.0), 360 - abs(lng - 20.0))) * cos(radians(10.0)), 2)
   + pow(radians(lat - 10.0), 2))"""
 
+# words of the same derived texts, articles and possessives taken off by plain replacement
+_JOINED = """d AS (
+  SELECT doc_id, lang, CASE WHEN lang = 'fr' THEN replace(text, ' que', ' l' || chr(39) || 'que')
+    ELSE replace(text, ' that ', ' that' || chr(39) || 's ') END AS text FROM documents WHERE lang IN ('fr', 'en')),
+t AS (
+  SELECT doc_id, lang, ' ' || array_to_string(regexp_extract_all(
+    CASE WHEN lang = 'fr' THEN replace(lower(text), 'l' || chr(39), '') ELSE replace(lower(text), chr(39) || 's', '') END,
+    '[\\p{L}\\p{N}]+(?:' || chr(39) || '[\\p{L}\\p{N}]+)*'), ' ') || ' ' AS line FROM d)"""
+
 ORACLES = {
+    "query_elision": f"""WITH {_JOINED} SELECT doc_id,
+  lang = 'fr' AND (contains(line, ' que ') OR contains(line, ' quepa ')) AS found,
+  lang = 'fr' AND contains(line, ' de que ') AS side FROM t""",
+    "query_possessive": f"""WITH {_JOINED} SELECT doc_id,
+  lang = 'en' AND contains(line, ' that ') AND contains(line, ' of ') AS found,
+  lang = 'en' AND contains(line, ' that the ') AS side FROM t""",
     "scan_filtered": "SELECT doc_id, text FROM documents WHERE lang = 'fr' ORDER BY doc_id DESC",
     "null_text_dropped": """SELECT d.doc_id, replace(replace(d.text, '_', ' '), '.pdf', '') AS text
 FROM documents d JOIN labels l USING (doc_id) WHERE l.quality = 1 AND d.text IS NOT NULL""",

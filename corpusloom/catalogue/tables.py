@@ -16,14 +16,23 @@ CLUSTERS = 8
 BATCH_TIME = "2024-05-01 12:00:00"
 
 
+DOCUMENT = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
 def _index(spark, sf_dir):
-    return c.table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    return c.table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _digest(rows):
+    """Whole documents, the text as its digest to compare."""
+    return rows.withColumn("text", F.md5("text"))
 
 
 def _batch(spark, sf_dir):
     labels = c.table(spark, sf_dir, "labels")
     first = labels.select(
-        "doc_id", F.concat(F.lit("q"), "quality").alias("source"), F.lit(1).cast("bigint").alias("n_chars"),
+        "doc_id", F.concat(F.lit("label text "), "doc_id").alias("text"), F.lit("xx").alias("lang"),
+        F.concat(F.lit("q"), "quality").alias("source"), F.lit(1).cast("bigint").alias("n_chars"),
         F.lit(1).alias("version"),
     )
     # a second write of the same keys, and keys the index does not have
@@ -33,33 +42,45 @@ def _batch(spark, sf_dir):
 
 
 def index_upsert(spark, sf_dir):
-    return ix.upsert(_index(spark, sf_dir), _batch(spark, sf_dir), "doc_id", "version").drop("version")
+    return _digest(ix.upsert(_index(spark, sf_dir), _batch(spark, sf_dir), "doc_id", "version").drop("version"))
 
 
 def index_table_twice(spark, sf_dir):
-    table = ix.new_index(spark, "doc_id", "doc_id bigint, source string, n_chars bigint")
+    """A repeated batch, and another writer whose batch numbers start again."""
+    table = ix.new_index(spark, "doc_id", DOCUMENT)
     table.write(_index(spark, sf_dir), 0)
     batch = _batch(spark, sf_dir)
     for _ in range(2):
-        table.write(batch, 1, "version")
-    return table.read()
+        table.write(batch, 0, "version", writer="second")
+    return _digest(table.read())
+
+
+def index_field_delta(spark, sf_dir):
+    """Single fields written as keys and values only, before and after a full write."""
+    table = ix.new_index(spark, "doc_id", DOCUMENT)
+    labels = c.table(spark, sf_dir, "labels").select("doc_id", F.concat(F.lit("q"), "quality").alias("source"))
+    known = labels.join(_index(spark, sf_dir), "doc_id", "left_semi")
+    table.write_field(known.withColumn("source", F.lit("too early")), "source", 0)
+    table.write(_index(spark, sf_dir), 1)
+    table.write_field(labels.unionByName(labels.withColumn("doc_id", F.col("doc_id") + 10_000_000)), "source", 2)
+    return _digest(table.read())
 
 
 def index_partial_update(spark, sf_dir):
     labels = c.table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("bigint").alias("cluster"))
     shifted = labels.withColumn("doc_id", F.col("doc_id") + 10_000_000)
-    return ix.set_field(_index(spark, sf_dir), labels.unionByName(shifted), "doc_id", "cluster")
+    return _digest(ix.set_field(_index(spark, sf_dir), labels.unionByName(shifted), "doc_id", "cluster"))
 
 
 def index_update_existing(spark, sf_dir):
     labels = c.table(spark, sf_dir, "labels").select(
         (F.col("doc_id") + 5).alias("doc_id"), F.concat(F.lit("toxic"), "toxic").alias("source")
     )
-    return ix.set_field(_index(spark, sf_dir), labels, "doc_id", "source", insert=False)
+    return _digest(ix.set_field(_index(spark, sf_dir), labels, "doc_id", "source", insert=False))
 
 
 def index_stamped(spark, sf_dir):
-    return ix.stamp(_index(spark, sf_dir), BATCH_TIME)
+    return _digest(ix.stamp(_index(spark, sf_dir), BATCH_TIME))
 
 
 def positional_join(spark, sf_dir):
@@ -168,16 +189,17 @@ def train_predict_tf(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        index_upsert, index_table_twice, index_partial_update, index_update_existing,
+        index_upsert, index_table_twice, index_field_delta, index_partial_update, index_update_existing,
         index_stamped, positional_join, cluster_words, top_words, top_words_lines,
         assigned_words, assignment_lines, nearest_centre, train_assign, wssse, model_roundtrip, train_predict_tf,
     )
 }
 
 _UPSERT = """WITH batch AS (
-  SELECT doc_id, CASE WHEN quality = 1 THEN 'again-q1' ELSE 'q' || quality END AS source, 1::BIGINT AS n_chars FROM labels
-  UNION ALL SELECT doc_id + 10000000, 'q' || quality, 1 FROM labels)
-SELECT doc_id, source, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM batch)
+  SELECT doc_id, md5('label text ' || doc_id) AS text, 'xx' AS lang,
+    CASE WHEN quality = 1 THEN 'again-q1' ELSE 'q' || quality END AS source, 1::BIGINT AS n_chars FROM labels
+  UNION ALL SELECT doc_id + 10000000, md5('label text ' || doc_id), 'xx', 'q' || quality, 1 FROM labels)
+SELECT doc_id, md5(text) AS text, lang, source, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM batch)
 UNION ALL SELECT * FROM batch"""
 _CLUSTER_WORDS = f"""{c.COUNTS},
 cw AS (SELECT doc_id % {CLUSTERS} AS cluster, term AS word, sum(n)::BIGINT AS n FROM counts GROUP BY ALL),
@@ -189,14 +211,20 @@ _WITH_TOKENS = f"{c.COUNTS}, with_tokens AS (SELECT DISTINCT doc_id FROM counts)
 ORACLES = {
     "index_upsert": _UPSERT,
     "index_table_twice": _UPSERT,
+    "index_field_delta": """WITH u AS (
+  SELECT doc_id, 'q' || quality AS source FROM labels
+  UNION ALL SELECT doc_id + 10000000, 'q' || quality FROM labels)
+SELECT coalesce(d.doc_id, u.doc_id) AS doc_id, md5(d.text) AS text, d.lang,
+  coalesce(u.source, d.source) AS source, d.n_chars
+FROM documents d FULL JOIN u ON u.doc_id = d.doc_id""",
     "index_partial_update": """WITH u AS (
   SELECT doc_id, quality::BIGINT AS cluster FROM labels
   UNION ALL SELECT doc_id + 10000000, quality FROM labels)
-SELECT coalesce(d.doc_id, u.doc_id) AS doc_id, d.source, d.n_chars, u.cluster
+SELECT coalesce(d.doc_id, u.doc_id) AS doc_id, md5(d.text) AS text, d.lang, d.source, d.n_chars, u.cluster
 FROM documents d FULL JOIN u ON u.doc_id = d.doc_id""",
-    "index_update_existing": """SELECT d.doc_id, coalesce('toxic' || l.toxic, d.source) AS source, d.n_chars
+    "index_update_existing": """SELECT d.doc_id, md5(d.text) AS text, d.lang, coalesce('toxic' || l.toxic, d.source) AS source, d.n_chars
 FROM documents d LEFT JOIN labels l ON l.doc_id + 5 = d.doc_id""",
-    "index_stamped": f"SELECT doc_id, source, n_chars, TIMESTAMP '{BATCH_TIME}' AS indexed_at FROM documents",
+    "index_stamped": f"SELECT doc_id, md5(text) AS text, lang, source, n_chars, TIMESTAMP '{BATCH_TIME}' AS indexed_at FROM documents",
     "positional_join": """SELECT d.doc_id AS position, d.lang, e.label::BIGINT AS cluster
 FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id""",
     "cluster_words": f"WITH {_CLUSTER_WORDS} SELECT cluster, word, n FROM cw",

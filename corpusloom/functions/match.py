@@ -83,6 +83,29 @@ def query_words(query: str) -> list[str]:
     return [w.lower() for w in QUERY_WORD.findall(cleaned)]
 
 
+def analysed_words(query: str, lang: str | None) -> list[str]:
+    """Words of a query under the rules that documents of a language go through."""
+    words = query_words(query)
+    if lang == "fr":
+        words = [re.sub(tx.ELISION, "", w) for w in words]
+    elif lang == "en":
+        words = [re.sub(tx.POSSESSIVE, "", w) for w in words]
+    return [w for w in words if w]
+
+
+def by_language(lang: Column | None, query: str, test: Callable[[list[str]], Column]) -> Column:
+    """``test`` on the query's words, which differ by the row's language."""
+    plain = analysed_words(query, None)
+    special = {code: analysed_words(query, code) for code in ("fr", "en")}
+    special = {code: words for code, words in special.items() if words != plain}
+    if lang is None or not special:
+        return test(plain)
+    choice = F
+    for code, words in special.items():
+        choice = choice.when(lang == code, test(words))
+    return choice.otherwise(test(plain))
+
+
 def fuzzify(query: str, mark: str | None) -> list[str]:
     """Blank-separated words of a query, wrapped as ``*w*`` or marked ``w~``.
 
@@ -139,11 +162,10 @@ def free_text(
     )
 
 
-def phrase(tokens: Column, words: str) -> Column:
+def phrase(tokens: Column, words: str, lang: Column | None = None) -> Column:
     """The query's words side by side and in order."""
-    wanted = " " + " ".join(query_words(words)) + " "
     line = F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" "))
-    return F.contains(line, F.lit(wanted))
+    return by_language(lang, words, lambda ws: F.contains(line, F.lit(" " + " ".join(ws) + " ")))
 
 
 def two_fields(first: Column, second: Column, query: str) -> Column:
@@ -169,10 +191,16 @@ def may_contain(text: Column, words: Sequence[str], operator: str = "AND") -> Co
 def text_query(text: Column, lang: Column | None, query: str, operator: str = "OR") -> Column:
     """:func:`free_text` on one text column, tokenising only where the cheap test
     leaves a chance."""
-    possible = may_contain(text, query_words(query), operator)
-    return possible & free_text([tx.tokenise(text, lang)], query, operator)
+    tokens = tx.tokenise(text, lang)
+    return by_language(
+        lang,
+        query,
+        lambda words: may_contain(text, words, operator)
+        & combine([has_word(tokens, w) for w in words], operator),
+    )
 
 
 def text_phrase(text: Column, lang: Column | None, words: str) -> Column:
     """:func:`phrase` on one text column, with the same cheap test first."""
-    return may_contain(text, query_words(words)) & phrase(tx.tokenise(text, lang), words)
+    possible = by_language(lang, words, lambda ws: may_contain(text, ws))
+    return possible & phrase(tx.tokenise(text, lang), words, lang)

@@ -17,23 +17,25 @@ def stamp(df: DataFrame, batch_time: datetime | str, column: str = "indexed_at")
     return df.withColumn(column, F.lit(batch_time).cast("timestamp"))
 
 
-def latest(rows: DataFrame, key: str, version: str) -> DataFrame:
-    """One row per key: the one with the highest version.
+def latest(rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """One row per key: the one that is last by ``order``, one column after another.
 
-    The rank limit is applied in every task before the shuffle, so a key with
-    very many versions arrives as one row per task.
+    Rows that are equal in it are told apart by their content, so the choice does not
+    depend on how they are read. The rank limit is applied in every task before the
+    shuffle, so a key with very many versions arrives as one row per task.
     """
-    newest = Window.partitionBy(key).orderBy(F.col(version).desc())
+    content = F.xxhash64(*rows.columns)
+    newest = Window.partitionBy(key).orderBy(*[F.col(c).desc() for c in order], content)
     return rows.withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") == 1).drop("_rank")
 
 
 def upsert(index: DataFrame, rows: DataFrame, key: str, version: str | None = None) -> DataFrame:
     """The index after a full-document write: rows replace those of equal key.
 
-    ``version`` orders several rows of one key within the batch; without it keys
-    have to be unique. Columns missing on either side become null.
+    ``version`` orders several rows of one key within the batch; one row per key is
+    written in any case. Columns missing on either side become null.
     """
-    fresh = latest(rows, key, version) if version else rows
+    fresh = latest(rows, key, version) if version else latest(rows, key)
     untouched = index.join(fresh.select(key), key, "left_anti")
     return untouched.unionByName(fresh, allowMissingColumns=True)
 
@@ -64,34 +66,79 @@ def join_by_position(left: DataFrame, right: DataFrame, position: str = "positio
 
 
 class IndexTable:
-    """A keyed parquet table written as versions of changed rows.
+    """A keyed parquet table written as commits of changed rows.
 
-    A write costs its own rows only, never the table; reading takes the newest
-    version of each key. A version is a folder of its own, so repeating a batch
-    replaces what it wrote before and readers of other versions are untouched.
+    A write costs its own rows only, never the table. Every commit belongs to a writer
+    and a batch number of it and gets the next number of the table; a batch that is
+    repeated replaces its own commit and keeps its number, so neither a second writer nor
+    a writer that starts from zero can overwrite another one's rows. Reading takes the
+    newest commit of each key and, for single fields, newer ones than that.
     """
 
     def __init__(self, spark: SparkSession, path: str, key: str, schema: str):
         self.spark, self.path, self.key, self.schema = spark, path, key, schema
         empty = spark.createDataFrame([], schema)
-        self.columns = empty.columns
-        empty.write.mode("ignore").parquet(f"{path}/version=-1")
-
-    def write(self, rows: DataFrame, version: int, order: str | None = None) -> None:
+        self.columns, self.types = empty.columns, dict(empty.dtypes)
+        empty.write.mode("ignore").parquet(f"{path}/rows/commit=-1/writer=none/batch=-1")
+        fields = spark.createDataFrame([], self._delta_schema())
+        fields.write.mode("ignore").parquet(f"{path}/fields/commit=-1/writer=none/batch=-1")
+
+    def _delta_schema(self) -> str:
+        return f"`{self.key}` {self.types[self.key]}, field string, value string"
+
+    def _commit(self, kind: str, batch: int, writer: str) -> str:
+        """Folder of a batch: the one it has, or one with the table's next number."""
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/*/commit=*/writer=*/batch=*")
+        files = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        last = -1
+        for status in files.globStatus(where) or []:
+            found = status.getPath().toString()
+            number = int(found.rsplit("/commit=", 1)[1].split("/", 1)[0])
+            if found.endswith(f"/{kind}/commit={number}/writer={writer}/batch={batch}"):
+                return f"{self.path}/{kind}/commit={number}/writer={writer}/batch={batch}"
+            last = max(last, number)
+        return f"{self.path}/{kind}/commit={last + 1}/writer={writer}/batch={batch}"
+
+    def write(self, rows: DataFrame, batch: int, order: str | None = None, writer: str = "main") -> None:
         """Full-document write of one batch; ``order`` ranks equal keys in it."""
-        fresh = latest(rows, self.key, order) if order else rows
-        fresh.select(*self.columns).write.mode("overwrite").parquet(f"{self.path}/version={version}")
+        fresh = latest(rows, self.key, order) if order else latest(rows, self.key)
+        fresh.select(*self.columns).write.mode("overwrite").parquet(self._commit("rows", batch, writer))
+
+    def write_field(self, updates: DataFrame, field: str, batch: int, writer: str = "main") -> None:
+        """Set one field of documents; only keys and values are written. An update
+        without a document becomes a document of key and field."""
+        value = F.to_json(F.struct(F.col(field).cast(self.types[field]).alias("v"))).alias("value")
+        delta = latest(updates.select(self.key, field), self.key)
+        told = delta.select(self.key, F.lit(field).alias("field"), value)
+        told.write.mode("overwrite").parquet(self._commit("fields", batch, writer))
+
+    def _read(self, kind: str, schema: str) -> DataFrame:
+        path = f"{self.path}/{kind}"
+        numbered = f"{schema}, commit bigint, writer string, batch bigint"
+        return self.spark.read.schema(numbered).option("basePath", path).parquet(path)
 
     def read(self) -> DataFrame:
-        rows = (
-            self.spark.read.schema(f"{self.schema}, version bigint")
-            .option("basePath", self.path)
-            .parquet(self.path)
-        )
-        return latest(rows, self.key, "version").drop("version")
+        """One row per key, whatever the writers and batches."""
+        rows = latest(self._read("rows", self.schema), self.key, "commit", "writer", "batch")
+        deltas = self._read("fields", self._delta_schema())
+        others = [c for c in self.columns if c != self.key]
+        newest = F.max_by(F.struct("commit", "value"), F.struct("commit", "writer", "batch"))
+        changes = deltas.groupBy(self.key).pivot("field", others).agg(newest)
+        changes = changes.select(self.key, *[F.col(f"`{c}`").alias(f"_set_{c}") for c in others])
+        both = rows.select(*self.columns, F.col("commit").alias("_commit")).join(changes, self.key, "full_outer")
+
+        def value(name: str):
+            if name == self.key:
+                return F.col(name)
+            held = F.col(f"_set_{name}")
+            later = held.isNotNull() & F.coalesce(held["commit"] > F.col("_commit"), F.lit(True))
+            told = F.from_json(held["value"], f"v {self.types[name]}")["v"]
+            return F.when(later, told).otherwise(F.col(name)).alias(name)
+
+        return both.select(*[value(c) for c in self.columns])
 
     def compact(self, path: str) -> IndexTable:
-        """The current rows as the first version of a new table."""
+        """The current rows as the first commit of a new table."""
         table = IndexTable(self.spark, path, self.key, self.schema)
         table.write(self.read(), 0)
         return table

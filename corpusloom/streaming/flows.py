@@ -7,6 +7,7 @@ and starting it again neither loses nor doubles a document.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -110,7 +111,8 @@ def running_stats(
     if spark.conf.get(STATE_PROVIDER, None) is None or "HDFSBacked" in spark.conf.get(STATE_PROVIDER):
         spark.conf.set(STATE_PROVIDER, ROCKSDB)
     stats = ops.corpus_word_stats(word_counts(docs))
-    return each_batch(stats, table.write, checkpoint, "update", timeout)
+    writer = writer_of(checkpoint)
+    return each_batch(stats, lambda batch, number: table.write(batch, number, writer=writer), checkpoint, "update", timeout)
 
 
 def tfidf_of_counts(counted: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -133,9 +135,15 @@ def tfidf_of_counts(counted: DataFrame, vocab: DataFrame) -> DataFrame:
 def feed_index(
     rows: DataFrame, table: IndexTable, checkpoint: str, order: str | None = None, timeout: int | None = None
 ) -> StreamingQuery:
-    """Full-document writes of a stream; the batch number is the version, so a
-    batch that is run again replaces itself."""
-    return each_batch(rows, lambda batch, number: table.write(batch, number, order), checkpoint, "append", timeout)
+    """Full-document writes of a stream. A checkpoint is a writer of its own and its
+    batch numbers name the commits, so a batch that is run again replaces itself and
+    a stream from a new checkpoint touches no earlier commit."""
+    writer = writer_of(checkpoint)
+    return each_batch(rows, lambda batch, number: table.write(batch, number, order, writer), checkpoint, "append", timeout)
+
+
+def writer_of(checkpoint: str) -> str:
+    return hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
 
 def new_checkpoint(spark: SparkSession) -> str:
