@@ -402,7 +402,7 @@ rgt AS (
   SELECT *, CASE WHEN regexp_matches(substring(text, (start + 501)::BIGINT, 1), '[\\p{{L}}\\p{{N}}''’]')
     THEN regexp_replace(w1, '[\\p{{L}}\\p{{N}}''’]+\\z', '') ELSE w1 END AS w2 FROM lft)
 SELECT doc_id, '...' || array_to_string([CASE WHEN lower(x) IN ('that', 'nicht', 'por', 'dans')
-    THEN '<span class=''highlight''>' || x || '</span>' ELSE x END
+    THEN '<mark>' || x || '</mark>' ELSE x END
     FOR x IN regexp_extract_all(w2, '{_PIECE}')], '') || '...' AS fragment,
   CASE WHEN source = 'src3' THEN '<b>src3</b>' ELSE source END AS path
 FROM rgt""",

@@ -49,8 +49,8 @@ def fragment(
     text: Column,
     words: Sequence[str],
     size: int = FRAGMENT,
-    pre: str = "<span class='highlight'>",
-    post: str = "</span>",
+    pre: str = "<mark>",
+    post: str = "</mark>",
 ) -> Column:
     """``...f...`` with ``f`` the first fragment that holds a query word.
 
