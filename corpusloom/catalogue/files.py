@@ -162,11 +162,28 @@ def stream_upsert(spark, sf_dir):
     # first feed has another source, all of which the second one replaces
     path, third = _dropped(spark, sf_dir, c.table(spark, sf_dir, "documents"))
     first = flows.json_stream(spark, path, DOCUMENT, third).withColumn("source", F.lit("first"))
-    flows.feed_index(first, table, flows.new_checkpoint(spark))
-    flows.feed_index(flows.json_stream(spark, path, DOCUMENT, third + 1), table, flows.new_checkpoint(spark))
+    flows.feed_index(first.drop(io.CORRUPT), table, flows.new_checkpoint(spark))
+    again = flows.json_stream(spark, path, DOCUMENT, third + 1).drop(io.CORRUPT)
+    flows.feed_index(again, table, flows.new_checkpoint(spark))
     return table.read().withColumn("text", F.md5("text"))
 
 
+def stream_bad_lines(spark, sf_dir):
+    """Lines that do not fit the schema are kept, as text, beside the records of a stream."""
+    turns = c.table(spark, sf_dir, "conversations")
+    path, third = _dropped(spark, sf_dir, turns.where("role <> 'assistant'").select("conv_id", "turn"))
+    broken = turns.where("role = 'assistant'").select("conv_id", F.concat(F.lit("no "), "turn").alias("turn"))
+    broken.write.mode("append").json(path)
+    records = flows.json_stream(spark, path, "conv_id bigint, turn bigint", third)
+    good, bad = work_path(spark, "good"), work_path(spark, "bad")
+    keep = flows.split_bad(lambda rows, n: rows.write.mode("overwrite").parquet(f"{good}/batch={n}"), bad)
+    flows.each_batch(records, keep, flows.new_checkpoint(spark))
+    lines = spark.read.schema("line string").parquet(bad)
+    kept = io.parse_json_lines(lines, "line", "conv_id bigint, turn string").select("conv_id", "turn")
+    whole = spark.read.schema("conv_id bigint, turn bigint").parquet(good)
+    return whole.select("conv_id", F.col("turn").cast("string").alias("turn")).union(kept)
+
+
 def stream_extract(spark, sf_dir):
     pages = c.table(spark, sf_dir, "pages")
     path, third = _dropped(spark, sf_dir, pages)
@@ -195,7 +212,7 @@ QUERIES = {
     for f in (
         json_roundtrip, json_bad_lines, binary_scan, tsv_roundtrip, cluster_column,
         corpus_stats_json, user_parser, batched_writer, stream_word_count, stream_corpus_stats,
-        stream_tfidf, stream_upsert, stream_extract, stream_files,
+        stream_tfidf, stream_upsert, stream_bad_lines, stream_extract, stream_files,
     )
 }
 
@@ -219,5 +236,7 @@ UNION ALL SELECT '{{"term":"' || term || '","documents":' || documents || ',"cou
     "stream_tfidf": f"WITH {c.TFIDF} SELECT doc_id, term, round(tfidf, 6) AS tfidf FROM scores",
     "stream_upsert": "SELECT doc_id, md5(text) AS text, lang, source, n_chars FROM documents",
     "stream_extract": f"WITH {pg.RECORDS} SELECT page_id, path, file, title, body, lang, error FROM records",
+    "stream_bad_lines": """SELECT conv_id, CASE WHEN role = 'assistant' THEN 'no ' || turn ELSE turn::VARCHAR END AS turn
+FROM conversations""",
     "stream_files": "SELECT page_id, url, md5(html) AS html FROM pages",
 }

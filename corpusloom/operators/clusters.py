@@ -90,13 +90,14 @@ def nearest_centre(
 ) -> DataFrame:
     """``(key, group, distance)`` of the closest centre; ties go to the lowest.
 
-    Every vector meets every centre, which is the task; the centres are broadcast
-    where their size allows. Keys are unique: a task keeps one row per key, so
+    Every vector meets every centre of its dimension, which is the task; the centres
+    are broadcast where their size allows. Keys are unique: a task keeps one row per key, so
     that the pairs are folded where they are made.
     """
     prepared = vectors.select(key, F.col(vector).cast("array<double>").alias("_vector"))
-    sides = centres.select(F.col(group).alias("_group"), F.col("centre").alias("_centre"))
+    prepared = prepared.withColumn("_size", F.size("_vector"))
+    sides = centres.select(F.col(group).alias("_group"), F.col("centre").alias("_centre"), F.size("centre").alias("_size"))
     distance = squared_distance(F.col("_vector"), F.col("_centre"))
-    pairs = prepared.crossJoin(small_side(sides))
+    pairs = prepared.join(small_side(sides), "_size")
     near = pairs.groupBy(key).agg(F.min(F.struct(distance.alias("distance"), F.col("_group").alias("group"))).alias("near"))
     return near.select(key, F.col("near.group").alias(group), F.col("near.distance").alias("distance"))

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from corpusloom.functions import match as m
 from corpusloom.functions.rows import once
+from corpusloom.session import small_side
 
 
 def relevance(terms: DataFrame, words: Sequence[str], k: int | None = 10) -> DataFrame:
@@ -65,11 +66,12 @@ def suggest(
     and is dropped with its candidates.
     """
     words = sorted({w.lower() for w in words})
-    asked = F.broadcast(stats.sparkSession.createDataFrame([(w,) for w in words], "word string"))
-    close = F.length("term").between(F.length("word") - edits, F.length("word") + edits)
+    lengths = [(w, n) for w in words for n in range(max(1, len(w) - edits), len(w) + edits + 1)]
+    asked = stats.sparkSession.createDataFrame(lengths, "word string, size int")
     best = Window.partitionBy("word").orderBy(F.asc("distance"), F.desc("documents"), F.asc("term"))
     ranked = (
-        stats.join(asked, close)
+        stats.withColumn("size", F.length("term"))
+        .join(small_side(asked), "size")
         .withColumn("distance", F.levenshtein(F.col("term"), F.col("word"), edits))
         .where(F.col("distance") >= 0)
         .withColumn("rank", F.row_number().over(best))

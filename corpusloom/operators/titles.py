@@ -23,10 +23,15 @@ def spans_from_html(pages: DataFrame, doc_id: str = "page_id", html: str = "html
     """Spans of HTML pages: ``doc_id, page, paragraph, pos, text, font_name,
     font_size, y, page_height``.
 
-    Block elements are paragraphs; the text runs between inline tags are spans.
+    Block elements are paragraphs, and so is text before the first of them; the text
+    runs between inline tags are spans.
     """
-    visible = F.regexp_replace(F.col(html), h.INVISIBLE, " ")
+    inside = F.regexp_replace(F.col(html), r"(?is)^.*?</head>", "")
+    visible = F.regexp_replace(inside, h.INVISIBLE, " ")
     marked = F.regexp_replace(visible, h.BLOCK, f"{START}$1{INSIDE}")
+    lead = F.regexp_replace(F.substring_index(marked, START, 1), h.TAG, " ")
+    # text before the first element becomes an element of its own
+    marked = F.when(lead.rlike(r"\S"), F.concat(F.lit(f"{START}lead{INSIDE}"), marked)).otherwise(marked)
     blocks = pages.select(
         F.col(doc_id).alias("doc_id"), F.posexplode_outer(F.split(marked, START)).alias("paragraph", "block")
     ).where(F.col("paragraph") > 0)

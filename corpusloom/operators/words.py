@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from corpusloom.functions import text as tx
 from corpusloom.functions.rows import expand
-from corpusloom.session import small_side
+from corpusloom.session import small_side, stage
 
 TokenRule = Callable[[Column], Callable[[Column], Column]]
 
@@ -43,13 +43,11 @@ def doc_terms(
 
 
 def shared(terms: DataFrame) -> DataFrame:
-    """Hash the counted documents by id, for plans that use them twice.
+    """Write the counted documents once, for plans that use them twice.
 
-    Both uses then read one shuffle instead of tokenising every text again, which
-    costs far more than moving its distinct words. The partitioning also serves
-    later rankings per document.
+    Both uses then read the written table instead of tokenising every text again.
     """
-    return terms.repartition("doc_id")
+    return stage(terms, "terms")
 
 
 def term_entries(terms: DataFrame) -> DataFrame:

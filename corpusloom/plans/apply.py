@@ -8,7 +8,7 @@ from __future__ import annotations
 from corpusloom.operators import clusters as cl
 from corpusloom.plans import clustering as km
 from corpusloom.plans.train import arguments, read_corpus
-from corpusloom.session import build_session, stage
+from corpusloom.session import build_session, discard, stage
 from corpusloom.sources.files import write_lines
 
 
@@ -28,6 +28,7 @@ def main(argv: list[str] | None = None) -> None:
     write_lines(cl.assignment_lines(assigned), given.output1, given.one_file)
     top = cl.top_words(cl.words_of_assigned(assigned), given.top)
     write_lines(cl.top_words_lines(top), given.output2, given.one_file)
+    discard(assigned)
 
 
 if __name__ == "__main__":

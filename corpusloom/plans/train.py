@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators.language import detect_language
 from corpusloom.plans import clustering as km
-from corpusloom.session import build_session, stage
+from corpusloom.session import build_session, discard, stage
 from corpusloom.sources.tables import scan
 
 
@@ -57,6 +57,7 @@ def main(argv: list[str] | None = None) -> float:
     model = km.train(tokens, given.cluster_number)
     km.save(model, given.output)
     cost = km.cost(model, tokens).first()["wssse"]
+    discard(tokens)
     print(f"within-set sum of squared errors: {cost}")
     return cost
 

@@ -64,6 +64,16 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(staged: DataFrame) -> None:
+    """Delete the folder of a table that :func:`stage` wrote and nothing reads any more."""
+    spark, folder = staged.sparkSession, shared_folder(staged.sparkSession)
+    for path in {name.rsplit("/", 1)[0] for name in staged.inputFiles()}:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        plain = where.toUri().getPath()
+        if plain.startswith(spark._jvm.org.apache.hadoop.fs.Path(folder).toUri().getPath()):
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def planned_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate; for a file scan, the bytes of its files."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from corpusloom.operators import words as ops
 from corpusloom.operators.index import IndexTable
 from corpusloom.session import small_side, work_path
-from corpusloom.sources.files import JSON_GLOB, extension_glob
+from corpusloom.sources.files import CORRUPT, JSON_GLOB, extension_glob, with_corrupt
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -28,9 +28,12 @@ def json_stream(
     spark: SparkSession, root: str, schema: str, max_files: int = 1000, max_bytes: str | None = None
 ) -> DataFrame:
     """JSON lines as they appear below ``root``; each file is read once. The two
-    limits bound what one micro-batch takes in."""
+    limits bound what one micro-batch takes in. A bad line is a row of nulls that keeps
+    its text in ``_corrupt_record``."""
     reader = (
-        spark.readStream.schema(schema)
+        spark.readStream.schema(with_corrupt(schema))
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", CORRUPT)
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", JSON_GLOB)
     )
@@ -92,6 +95,19 @@ def each_batch(
     return _finish(query, timeout)
 
 
+def split_bad(good: Callable[[DataFrame, int], None], bad_path: str) -> Callable[[DataFrame, int], None]:
+    """A writer for :func:`each_batch`: whole records go to ``good``, the texts of bad
+    lines to a folder of their batch below ``bad_path``."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.where(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("line")).write.mode("overwrite").parquet(
+            f"{bad_path}/batch={number}"
+        )
+        good(batch.where(F.col(CORRUPT).isNull()).drop(CORRUPT), number)
+
+    return write
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """``(doc_id, term, n)`` of a document stream. A document is one row, so its
     counts are complete at once and no state is kept."""
