@@ -39,8 +39,8 @@ def language_profiles(
     if size is not None:
         best = Window.partitionBy("lang").orderBy(F.desc("n"), F.asc("gram"))
         summed = summed.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= size)
-    totals = summed.groupBy("lang").agg(F.sum("n").alias("total"))
-    return summed.join(totals, "lang").select("lang", "gram", "n", "total")
+    # distinct trigrams only, of which an alphabet allows so many
+    return summed.select("lang", "gram", "n", F.sum("n").over(Window.partitionBy("lang")).alias("total"))
 
 
 def detect_language(

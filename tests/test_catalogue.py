@@ -7,8 +7,9 @@ from conftest import SF_DIR
 from oracle_check import compare, connect
 
 import __spark_entry__ as contract
+from corpusloom import catalogue
 
-QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
+QUERIES, ORACLES = catalogue.all_queries(), catalogue.all_oracles()
 
 
 @pytest.fixture(scope="module")
@@ -19,7 +20,8 @@ def con():
 
 
 def test_every_oracle_has_a_query():
-    assert set(ORACLES) <= set(QUERIES)
+    assert set(ORACLES) <= set(QUERIES) <= set(contract.queries())
+    assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
