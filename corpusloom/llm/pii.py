@@ -17,7 +17,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.staging import Staging
+from corpusloom.llm.staging import Staging, lowest
 
 LOCAL = "A-Za-z0-9._%+-"
 # Base patterns. Possessive quantifiers and the start conditions only save work: none of
@@ -179,7 +179,7 @@ def _fit(rows: DataFrame, staging: Staging) -> tuple | None:
     """The trees and a threshold per generator; None where nothing can be learned."""
     y = (F.col("covered") | F.col("told")).cast("double").alias("label")
     seen = rows.select("text_key", "kind", "start", "features", y)
-    seen = seen.orderBy(F.xxhash64("text_key", "kind", "start"), "text_key", "kind", "start").limit(MOST_PROPOSALS)
+    seen = lowest(seen, MOST_PROPOSALS, "text_key", "kind", "start")
     columns = [F.get("features", F.lit(i)).alias(name) for i, name in enumerate(FEATURES)]
     held = F.pmod(F.xxhash64(F.lit("held"), "text_key"), F.lit(5)) == 0
     sample = staging.keep(seen.select("kind", "label", held.alias("held"), *columns), "proposals")

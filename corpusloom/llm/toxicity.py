@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import flat
-from corpusloom.llm.staging import Staging, few, ship, unused
+from corpusloom.llm.staging import Staging, few, lowest, ship, unused
 
 DISCOUNT = 2.5
 WINDOWS = (1, 4)
@@ -271,7 +271,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED)
         "doc_id is not null and toxic in (0, 1) and crc32(cast(cast(doc_id as string) as binary)) % 3 <> 1"
     )
     marked = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    chosen = lowest(marked, most, "doc_id")
     half = (F.xxhash64(F.lit("half"), "doc_id") % 2 != 0).cast("int").alias("half")
     return docs.select("doc_id", "text").join(few(chosen), "doc_id").select("doc_id", "text", "toxic", half)
 
