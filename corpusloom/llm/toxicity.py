@@ -33,8 +33,9 @@ STEMS = 1 << 16
 SIDES = 256
 #: labelled rows the class models are fitted on at most; all other counts cover all rows
 MOST_LABELLED = 20_000
-#: words after a context that its pairs must outweigh
-PAIR_PRIOR = 500.0
+#: words after a context that its pairs must outweigh; pairs are too rare in the smaller
+#: class to speak before they are many
+PAIR_PRIOR = 50_000.0
 
 
 def expressions(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
