@@ -23,7 +23,7 @@ from corpusloom.llm import (
     topk,
     toxicity,
 )
-from corpusloom.llm.staging import Staging
+from corpusloom.llm.staging import Staging, lowest
 from pyspark.sql import functions as F
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -420,3 +420,30 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.contaminated(every, items.limit(0)).collect() == []
     with pytest.raises(ValueError):
         decontaminate.contaminated(every, items, 0.5)
+
+
+def test_fingerprints_of_passages_at_the_threshold(spark):
+    """Windows that just reach the similarity lie within the radius."""
+    rng, rows = random.Random(13), []
+    for size in (15, 25, 35, 45, 55):
+        for _ in range(120):
+            words = prose(rng.randrange(10**9), size).split()
+            lost = (size - 4) // 9  # shingles that may go on either side
+            at_end = rng.random() < 0.5
+            other = prose(rng.randrange(10**9), lost).split() if lost else []
+            window = words[: size - lost] + other if at_end else other + words[lost:]
+            rows.append((size, words, window))
+    frame = spark.createDataFrame(rows, "size int, words array<string>, other array<string>")
+    frame = frame.withColumn("a", decontaminate._fingerprint("words")).withColumn("b", decontaminate._fingerprint("other"))
+    bits = frame.select("size", F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).alias("n")).collect()
+    assert sum(r.n > decontaminate.RADIUS for r in bits) <= 0.005 * len(bits)
+    # and blocks lose none of them
+    shared = F.size(F.array_intersect(decontaminate._blocks("a"), decontaminate._blocks("b")))
+    near = frame.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= decontaminate.RADIUS)
+    assert near.where(shared == 0).count() == 0
+
+
+def test_bounded_sample(spark):
+    rows = spark.range(5000).select(F.col("id").alias("doc_id"))
+    a, b = (sorted(r.doc_id for r in lowest(rows.repartition(n), 100, "doc_id").collect()) for n in (2, 7))
+    assert a == b and len(a) == 100 and len(lowest(rows.limit(5), 100, "doc_id").collect()) == 5
