@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from corpusloom.llm.staging import Staging
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Every larger neighbour of a node is linked to the node's smallest neighbour."""
+def _large_star(edges: DataFrame, staging: Staging) -> DataFrame:
+    """Every larger neighbour of a node is linked to the node's smallest neighbour.
+
+    The smallest neighbours are written before they are joined: a node with very many
+    links is then one skewed part of a plain shuffle, which can be split."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("least"))
+    least = staging.keep(both.groupBy("a").agg(F.least("a", F.min("b")).alias("least")), "least")
     larger = both.where("b > a")
     return larger.join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
 
@@ -36,8 +39,10 @@ def components(links: DataFrame, staging: Staging, most: int = 60) -> DataFrame:
     edges = staging.keep(links.select("a", "b").where("a <> b").distinct(), "links")
     mark = None
     for _ in range(most):
-        step = _small_star(_large_star(edges).where("a <> b").distinct()).where("a <> b")
-        edges = staging.swap(edges, step.distinct(), "links")
+        scratch = Staging(staging.spark)
+        star = scratch.keep(_large_star(edges, scratch).where("a <> b").distinct(), "star")
+        edges = staging.swap(edges, _small_star(star).where("a <> b").distinct(), "links")
+        scratch.only()
         seen = edges.agg(
             F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
         ).first()
