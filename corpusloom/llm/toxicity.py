@@ -328,7 +328,7 @@ def score(docs: DataFrame, model: dict, name: str = "toxicity") -> DataFrame:
             z = np.column_stack([x, np.ones(len(x))]) @ weights
             yield pa.array(1 / (1 + np.exp(-np.clip(z, -700, 700))), pa.float64())
 
-    judge = F.arrow_udf(run, "double", F.ArrowUDFType.SCALAR_ITER)
+    judge = F.arrow_udf(run, "double")
     return docs.withColumn(name, judge("text"))
 
 
