@@ -6,7 +6,7 @@ pairs, the bottom-k of the united sketches estimates their similarity, and the f
 sets decide.
 
 Two sets whose similarity reaches the threshold share far more than half of their
-sketches (for k = 64 and 0.8 the chance of sharing fewer is below 1e-8), so a value
+sketches (for k = 64 and 0.8 the chance of sharing fewer is 2e-8), so a value
 only has to be listed while it is among the rarest ``m - m/2 + 1`` of its sketch. Lists
 are not expanded into all pairs:
 
@@ -137,24 +137,46 @@ def _in_long_lists(
 ) -> DataFrame:
     """Pairs ``(a, b)`` within long lists that no common hub links.
 
-    The members' whole sets are listed by their rarest values (rare among the members),
-    as many of them as a pair at the threshold cannot all miss. A shared value at place i
-    of one set and j of the other leaves an overlap of ``min(n_a - i, n_b - j)``; values
-    that only one member has take the first places.
+    The members' whole sets are listed by their rarest values, as many of them as a pair
+    at the threshold cannot all miss. Values of a hub count as the commonest; only what a
+    member has beside its hub's values is counted. A shared value at place i of one set
+    and j of the other leaves an overlap of ``min(n_a - i, n_b - j)``; values that only
+    one member has take the first places.
     """
-    known = staging.keep(entries.select("rid", "hint").distinct(), "long")
+    known = staging.keep(
+        entries.groupBy("rid").agg(F.min("hint").alias("hint"), F.max_by("hub", F.struct("length", "hub")).alias("hub")),
+        "long",
+    )
     sets = staging.keep(full_sets(_of(docs, known.select("rid")), words), "long-sets")
-    rows = sets.select("rid", F.size("shingles").alias("n"), F.explode("shingles").alias("v"))
-    counts = rows.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = rows.join(counts, "v").groupBy("rid").agg(
-        F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "v"))).alias("values")
+    hubs = known.select(F.col("hub").alias("rid")).distinct()
+    hub_sets = sets.join(hubs, "rid").groupBy("rid").agg(F.first("shingles").alias("hub_shingles"))
+    hub_sets = staging.keep(hub_sets.withColumnRenamed("rid", "hub"), "hub-sets")
+    common = staging.keep(hub_sets.select(F.explode("hub_shingles").alias("v")).distinct(), "hub-values")
+    # what no hub has
+    beside = sets.join(known, "rid").join(hub_sets, "hub")
+    beside = staging.keep(
+        beside.select("rid", "hint", "shingles", F.array_except("shingles", "hub_shingles").alias("own")), "beside"
+    )
+    rows = staging.keep(beside.select("rid", F.explode("own").alias("v")).join(common, "v", "left_anti"), "own")
+    counts = staging.keep(rows.groupBy("v").agg(F.count("*").alias("df")), "long-counts")
+    own = rows.join(counts, "v").groupBy("rid").agg(
+        F.count_if(F.col("df") == 1).cast("int").alias("alone"),
+        F.array_sort(F.collect_list(F.when(F.col("df") > 1, F.struct("df", "v")))).alias("shared"),
+        F.collect_list("v").alias("all_own"),
+    )
+    none = F.array().cast("array<long>")
+    ranked = beside.join(own, "rid", "left").select(
+        "rid", "hint", F.size("shingles").alias("n"), F.coalesce("alone", F.lit(0)).alias("alone"),
+        F.concat(
+            F.coalesce(F.transform("shared", lambda x: x["v"]), none),
+            F.array_sort(F.array_except("shingles", F.coalesce("all_own", none))),
+        ).alias("values"),
     )
-    ranked = ranked.withColumn("alone", F.col("n") - F.size("values"))
     room = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - F.col("alone")
     listed = (
-        ranked.join(known, "rid").withColumn("room", room.cast("int")).where("room > 0")
-        .select("rid", "hint", "n", "alone", F.posexplode(F.expr("slice(values, 1, room)")).alias("i", "e"))
-        .select("rid", "hint", "n", (F.col("n") - F.col("alone") - F.col("i")).alias("left"), F.col("e.v").alias("v"))
+        ranked.withColumn("room", room.cast("int")).where("room > 0")
+        .select("rid", "hint", "n", "alone", F.posexplode(F.expr("slice(values, 1, room)")).alias("i", "v"))
+        .select("rid", "hint", "n", (F.col("n") - F.col("alone") - F.col("i")).alias("left"), "v")
     )
     listed = staging.keep(listed, "long-lists")
     x, y = listed.alias("x"), listed.alias("y")
@@ -186,7 +208,9 @@ def near_duplicates(
     staging = Staging(docs.sparkSession)
     sketches = staging.keep(sketch(docs, words, k), "sketches")
     key = ["n", "d1", "d2"]
-    named = sketches.where("n > 0").groupBy(key).agg(F.min("doc_id").alias("rid"))
+    # aggregates are written before they are joined, so that both sides of the join are
+    # plain shuffles, of which a hot key's part can be split
+    named = staging.keep(sketches.where("n > 0").groupBy(key).agg(F.min("doc_id").alias("rid")), "named")
     members = staging.keep(
         sketches.select("doc_id", *key).join(named, key, "left"), "members"
     )
@@ -198,7 +222,7 @@ def near_duplicates(
 
     # inverted lists of the rarest shared values of each sketch
     entries = reps.select("rid", "n", "d1", F.size("sketch").alias("m"), F.explode("sketch").alias("v"))
-    counts = entries.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
+    counts = staging.keep(entries.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "counts")
     shared = entries.join(counts, "v").groupBy("rid", "n", "d1", "m").agg(
         F.array_sort(F.collect_list(F.struct("df", "v"))).alias("values")
     )
@@ -233,10 +257,10 @@ def near_duplicates(
 
     # what the hubs leave open
     near = linked.union(linked.select("a", F.col("a").alias("b")))
-    hint = near.groupBy(F.col("b").alias("rid")).agg(F.min("a").alias("hint"))
-    open_lists = lists.join(hubs.select("v", "length"), "v").join(hint, "rid", "left")
+    hint = staging.keep(near.groupBy(F.col("b").alias("rid")).agg(F.min("a").alias("hint")), "hints")
+    open_lists = lists.join(hubs.select("v", "length", "hub"), "v").join(hint, "rid", "left")
     open_lists = staging.keep(
-        open_lists.select("v", "rid", "n", "length", F.coalesce("hint", "rid").alias("hint")), "open"
+        open_lists.select("v", "rid", "n", "length", "hub", F.coalesce("hint", "rid").alias("hint")), "open"
     )
     short = open_lists.where(F.col("length") <= long_list)
     x, y = short.alias("x"), short.alias("y")
