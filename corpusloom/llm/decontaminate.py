@@ -1,9 +1,10 @@
 """Benchmark passages in documents, by SimHash fingerprints of item-sized windows.
 
 1. Every item gives a few anchor words, as rare in the corpus as possible, that no
-   passage of the wanted similarity can miss all at once. Where a document has an
-   anchor, a window of the item's length is laid so that both words meet, and some words
-   to the left and right, as far as insertions can shift a passage.
+   passage of the wanted similarity can miss all at once, in whatever order its words
+   stand. Where a document has an anchor, every window of the item's length that holds it
+   is laid, unless too many kinds of the item's shingles are missing there to reach the
+   similarity at all.
 2. Windows and items get 64-bit SimHash fingerprints; a word weighs as many votes as
    there are shingles that hold it.
 3. Fingerprints are cut into ``RADIUS + 1`` blocks. Two that differ in at most ``RADIUS``
@@ -77,8 +78,26 @@ def _blocks(fingerprint: str) -> Column:
     )
 
 
+def _hashed(words: str | Column, size: Column) -> Column:
+    """Hashes of the shingles that an item of ``size`` words would share with ``words``."""
+    words, run = F.col(words) if isinstance(words, str) else words, F.least(size, F.lit(SHINGLE))
+    places = F.sequence(F.lit(1), F.size(words) - run + 1)
+    return F.when(F.size(words) >= run, F.transform(places, lambda i: F.xxhash64(F.slice(words, i, run)))).otherwise(
+        F.array().cast("array<bigint>")
+    )
+
+
+def _may_reach(words: Column, similarity: float) -> Column:
+    """False where ``words`` lack so many of the item's shingles ``held`` that no window of
+    them is similar enough: each kind that is missing is one occurrence at least, and at
+    most ``1 - similarity`` of the item's occurrences may be missing."""
+    size = F.col("size")
+    missing = F.size("held") - F.size(F.array_intersect(_hashed(words, size), F.col("held")))
+    return missing <= F.greatest(size - SHINGLE + 1, F.lit(1)) * (1 - similarity) + 1e-6
+
+
 def anchors(items: DataFrame, docs: DataFrame, staging: Staging) -> DataFrame:
-    """``word, size, at``: where each anchor stands in items of ``size`` words.
+    """``word, size, item_id, print``: the anchors of each item.
 
     A passage reaches the similarity only if at most a fifth of the item's shingles is
     missing. Words at least five apart share no shingle, so a passage without any of them
@@ -105,7 +124,7 @@ def anchors(items: DataFrame, docs: DataFrame, staging: Staging) -> DataFrame:
 
     chosen = rated.withColumn("chosen", F.aggregate("xs", nothing, take))
     chosen = chosen.withColumn("x", F.explode(F.when(F.col("chosen.sum") >= need, F.col("chosen.taken")).otherwise(F.col("xs"))))
-    return staging.keep(chosen.select("x.word", "size", "x.at").distinct(), "anchors")
+    return staging.keep(chosen.select("x.word", "size", "item_id", "print").distinct(), "anchors")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -124,20 +143,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     items = benchmark.select("item_id", _words().alias("words")).withColumn("size", F.size("words"))
     items = staging.keep(items.where("size > 0").distinct().withColumn("print", _fingerprint("words")), "items")
 
-    # windows where an anchor meets its word
+    # windows that hold an anchor at any place
     told = docs.select("doc_id", _words().alias("words"))
     told = told.select("doc_id", "words", F.posexplode("words").alias("here", "word"))
     met = told.join(few(anchors(items, docs, staging)), "word")
-    shift = F.floor(F.greatest(F.col("size") - SHINGLE + 1, F.lit(1)) / 16).cast("int")
+    first = F.greatest(F.col("here") - F.col("size") + 1, F.lit(0))
     met = met.select(
-        "doc_id", "size",
-        F.slice("words", F.greatest(F.col("here") - F.col("at") - shift, F.lit(0)) + 1, F.col("size") + 2 * shift).alias("around"),
-        F.least(F.col("here") - F.col("at") - shift, F.lit(0)).alias("before"), shift.alias("shift"),
-    ).distinct()
-    offset = F.explode(F.sequence(F.lit(0), F.col("shift") * 2)).alias("offset")
-    windows = met.select("doc_id", "size", "around", "before", offset)
-    start = F.greatest(F.col("offset") + F.col("before"), F.lit(0))
-    windows = windows.select("doc_id", "size", F.slice("around", start + 1, F.col("size")).alias("words"))
+        "doc_id", "item_id", "print", "size", first.alias("first"), F.col("here").alias("last"),
+        F.slice("words", first + 1, F.col("here") + F.col("size") - first).alias("around"),
+    )
+    held = F.array_distinct(_hashed("words", F.col("size"))).alias("held")
+    met = met.join(small_side(items.select("item_id", "print", held)), ["item_id", "print"])
+    met = met.where(_may_reach(F.col("around"), similarity))
+    start = F.explode(F.sequence(F.lit(0), F.col("last") - F.col("first"))).alias("start")
+    windows = met.select("doc_id", "size", "held", "around", start)
+    windows = windows.select("doc_id", "size", "held", F.slice("around", F.col("start") + 1, F.col("size")).alias("words"))
+    windows = windows.where(_may_reach(F.col("words"), similarity)).select("doc_id", "size", "words")
     windows = windows.where("size(words) > 0").distinct().withColumn("print", _fingerprint("words"))
     windows = staging.keep(windows.withColumn("window", F.expr("uuid()")), "windows")
 

@@ -422,6 +422,34 @@ def test_decontamination(spark, docs, empty):
         decontaminate.contaminated(every, items, 0.5)
 
 
+def test_decontamination_of_reordered_passages(spark):
+    """Swapped halves and moved sentences, against all windows in plain Python."""
+    def grams(w):
+        return Counter(" ".join(w[i : i + 5]) for i in range(max(len(w) - 4, 1)))
+
+    items, rows = [], []
+    for k in range(24):
+        size = 44 + k
+        w = prose(7000 + k, size).split()
+        items.append((k, w))
+        cut = (size // 2, 12)[k % 2]
+        moved = (w[cut:] + w[:cut], w[:9] + w[9 + cut :] + w[9 : 9 + cut])[k // 2 % 2]
+        rows.append((k, prose(7100 + k, 20).split() + moved + prose(7200 + k, (30, 0)[k // 4 % 2]).split()))
+    expected = {}
+    for (k, item), (_, doc) in zip(items, rows):
+        m, best = grams(item), 0
+        for s in range(len(doc)):
+            n = grams(doc[s : s + len(item)])
+            common = (m & n).total()
+            best = max(best, common / (m.total() + n.total() - common))
+        if best >= 0.8:
+            expected[k] = best
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    got = {r.doc_id: r.similarity for r in decontaminate.contaminated(docs, bench).collect()}
+    assert len(expected) >= 12 and got == expected
+
+
 def test_fingerprints_of_passages_at_the_threshold(spark):
     """Windows that just reach the similarity lie within the radius."""
     rng, rows = random.Random(13), []
