@@ -1,7 +1,8 @@
 """Personal data in texts: fixed base patterns, and further spans by boosted trees.
 
 One pass over the texts finds the base spans and proposes, by generous patterns, further
-spans that may overlap them and each other. Every proposal has features of its format
+spans that may overlap them and each other. Every proposal has features of its format, in
+which marks that set a base span apart (``@``, ``+``, the kind of separator) do not show,
 and of the text around it. Gradient-boosted trees learn from a bounded sample which
 proposals look like the confirmed ones; a threshold per generator, calibrated on other
 documents of the sample, selects the redactions. Base spans always stay.
@@ -36,9 +37,20 @@ GENERATORS = {
 }
 KINDS = [*BASE, *GENERATORS]
 FEATURES = [
-    "generator", "size", "digits", "letters", "upper", "marks", "groups", "at", "plus", "dots",
+    "generator", "size", "digits", "letters", "upper", "marks", "groups", "dots", "tail", "luhn",
     "quoted", "assigned", "named", "spaced", "letter_after", "mark_after",
 ]
+#: words that tell what stands behind them
+TELLING = {
+    "contact": r"(?i)\b(e-?mail|mail|contact|write to|courriel|correo)\W{0,6}$",
+    "number": r"(?i)\b(tel|phone|telephone|call|fax|mobile|cell|card|iban|ssn)\W{0,6}$",
+    "secret": r"(?i)(token|secret|key|password|passwd)\W{0,6}$",
+}
+ADDRESS = r"^[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}$"
+NATIONAL = (
+    r"^(?:[0-9]{2,5}\)?[\x20.-]{1,2}[0-9]{3}[\x20.-][0-9]{4}"
+    r"|0[0-9]{1,4}[)\x20.-]{1,2}(?:[0-9]{2,4}[\x20.-]){1,3}[0-9]{2,4})$"
+)
 #: proposals that the trees see at most
 MOST_PROPOSALS = 20_000
 PRECISION = 0.9
@@ -76,7 +88,7 @@ def _find(df: DataFrame, name: str, pattern: str, needs: str | None) -> DataFram
     """``df`` with an array ``name`` of all matches in ``text``: ``start``, ``end`` (code
     points), ``m`` and the text ``before`` (up to 24 characters) and ``after`` (one)."""
     text = F.col("text")
-    asked = text.contains(needs) if needs else text.rlike("[0-9]")
+    asked = text.contains(needs) if needs else text.rlike("@|[(\\[]at[)\\]]" if name == "contact" else "[0-9]")
     df = df.withColumn(f"_{name}", F.when(asked, F.split(text, F.lit(pattern), -1)))
     df = df.withColumn(f"_{name}_m", F.when(F.size(f"_{name}") > 1, F.regexp_extract_all("text", F.lit(pattern), F.lit(0))))
     parts, found = F.col(f"_{name}"), F.col(f"_{name}_m")
@@ -119,18 +131,46 @@ def _valid(kind: str, m: Column) -> Column:
     return F.when(F.length(digits).between(13, 19), _luhn(digits)).otherwise(False)
 
 
+def _plain(kind: str, m: Column) -> Column:
+    """The proposal without disguise: an address as it is commonly written, a number with
+    one kind of separator and without a plus."""
+    if kind == "contact":
+        bare = F.regexp_replace(F.regexp_replace(m, r"[(\[]at[)\]]", "@"), r"[(\[]dot[)\]]", ".")
+        return F.regexp_replace(bare, "\\x20", "")
+    if kind == "number":
+        return F.regexp_replace(F.regexp_replace(m, r"^\+", ""), r"[\x20.()-]+", "-")
+    return m
+
+
+def _checked(m: Column) -> Column:
+    """True for 13 to 19 digits with a check digit, whatever separates them."""
+    return _valid("card", m)
+
+
+def _told(kind: str, x: Column) -> Column:
+    """What shows a proposal to be right without a base span: a telling word before it, the
+    form of an address under any disguise, of a national phone number or a check digit."""
+    named = x["before"].rlike(TELLING[kind])
+    if kind == "contact":
+        return named | _plain(kind, x["m"]).rlike(ADDRESS)
+    if kind == "number":
+        alone = ~x["before"].rlike("[A-Za-z0-9_.-]$") & ~x["after"].rlike("[A-Za-z0-9_]")
+        return named | (alone & (x["m"].rlike(NATIONAL) | _checked(x["m"])))
+    return named
+
+
 def _features(kind: str, x: Column) -> Column:
-    m, before, after = x["m"], x["before"], x["after"]
+    m, before, after = _plain(kind, x["m"]), x["before"], x["after"]
 
     def without(pattern: str) -> Column:
         return F.length(m) - F.length(F.regexp_replace(m, pattern, ""))
 
     digits, letters = without("[0-9]"), without("[A-Za-z]")
-    named = r"(?i)(token|secret|key|password|passwd|tel|phone|call|mail|card|iban|ssn|fax)\W{0,6}$"
     values = [
         F.lit(list(GENERATORS).index(kind)), F.length(m), digits, letters, without("[A-Z]"),
-        F.length(m) - digits - letters, F.size(F.split(m, "[^0-9]+")), m.contains("@"), m.startswith("+"),
-        without("[.]"), before.rlike("[\"']$"), before.rlike(r"[=:]\s*[\"']?$"), before.rlike(named),
+        F.length(m) - digits - letters, F.size(F.split(m, "[^0-9]+")), without("[.]"),
+        F.length(F.regexp_extract(m, "([A-Za-z]+|[0-9]+)$", 1)), _checked(m) if kind == "number" else F.lit(False),
+        before.rlike("[\"']$"), before.rlike(r"[=:]\s*[\"']?$"), before.rlike(TELLING[kind]),
         (before == "") | before.rlike(r"\s$"), after.rlike("[A-Za-z]"), after.rlike(r"[^A-Za-z0-9\s]"),
     ]
     return F.array(*[F.coalesce(v.cast("double"), F.lit(0.0)) for v in values])
@@ -139,8 +179,8 @@ def _features(kind: str, x: Column) -> Column:
 def proposals(docs: DataFrame) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: ``doc_id``, ``text_key`` (a hash of the text),
     ``base`` (its valid base spans, in order of kind and place) and ``proposed`` spans with
-    ``features`` and the weak label ``confirmed``: 1 if a base span covers the proposal or,
-    for a secret, if a name and a mark of assignment stand before it."""
+    ``features`` and the weak labels ``covered``, true if a base span covers the proposal, and
+    ``told``, true if its form or the words before it show that it is right."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     for kind, (pattern, needs) in BASE.items():
         rows = _find(rows, kind, pattern, needs)
@@ -161,15 +201,13 @@ def _confirmed(kind: str) -> Column:
 
 
 def _offered(kind: str) -> Column:
-    assigned = r"(?i)(token|secret|key|password|passwd)\W{0,6}$"
     number = F.lit(KINDS.index(kind)).alias("kind")
 
     def offer(x: Column) -> Column:
         covered = F.exists("base", lambda b: (b["start"] <= x["start"] + 1) & (b["end"] >= x["end"]))
-        told = x["before"].rlike(assigned) if kind == "secret" else F.lit(False)
         return F.struct(
             number, x["start"].alias("start"), x["end"].alias("end"),
-            _features(kind, x).alias("features"), covered.alias("covered"), told.alias("told"),
+            _features(kind, x).alias("features"), covered.alias("covered"), _told(kind, x).alias("told"),
         )
 
     return F.transform(kind, offer)

@@ -363,6 +363,32 @@ def test_personal_data(spark, docs, empty):
     assert pii.find(empty).collect() == []
 
 
+def test_disguised_personal_data(spark):
+    """Contacts and numbers that no base pattern finds are added, ordinary ones are not."""
+    rng, rows, planted = random.Random(21), [], {}
+
+    def number(*sizes):
+        return ["".join(str(rng.randrange(10)) for _ in range(n)) for n in sizes]
+
+    for i in range(600):
+        name, host = prose(9000 + i, 2).split()
+        a, b, c = number(3, 3, 4)
+        kind, span, right = [
+            ("email", f"{name}@{host}.org", False), ("contact", f"{name} (at) {host} (dot) org", True),
+            ("contact", f"{name}[at]{host}.com", True), ("number", f"{a}-{b}-{c}", True),
+            ("phone", f"+1 ({a}) {b}-{c}", False), ("card", "4111.1111.1111.1111", True),
+            ("contact", f"{name} @ {host}", False), ("number", "7" + "".join(number(9)), False),
+        ][i % 8]
+        before = prose(9700 + i, 6) + " "
+        rows.append((i, f"{before}{span} {prose(9900 + i, 6)}"))
+        planted[i] = (f"{'number' if kind == 'card' else kind}:{len(before)}:{len(before) + len(span)}", right)
+    found = pii.find(spark.createDataFrame(rows, "doc_id long, text string"))
+    added = {r.doc_id: r.spans for r in found.select("doc_id", pii.told("spans").alias("spans")).collect()}
+    hits = [planted[i][0] in added[i].split(",") for i in planted if planted[i][1]]
+    wrong = [added[i] for i in planted if i % 8 >= 6]
+    assert sum(hits) >= 0.9 * len(hits) and sum(map(bool, wrong)) <= 0.1 * len(wrong)
+
+
 def test_line_dedup(spark, docs, empty):
     rows = [(100 + i, f"own {i}\n  Menu \nbody {i}\n\nMenu\t", None, f"s{i % 6}", 1) for i in range(12)]
     rows += [(200 + i, f"Rare\nown {i}", None, f"s{i % 3}", 1) for i in range(9)]
