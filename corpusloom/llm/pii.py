@@ -4,8 +4,9 @@ One pass over the texts finds the base spans and proposes, by generous patterns,
 spans that may overlap them and each other. Every proposal has features of its format, in
 which marks that set a base span apart (``@``, ``+``, the kind of separator) do not show,
 and of the text around it. Gradient-boosted trees learn from a bounded sample which
-proposals look like the confirmed ones; a threshold per generator, calibrated on other
-documents of the sample, selects the redactions. Base spans always stay.
+proposals look like the confirmed ones, the same number of each generator and label where
+there are enough; a threshold per generator, calibrated on all proposals of the documents
+held out, selects the redactions. Base spans always stay.
 
 Everything on the data is built-in column functions; the trees are Spark's own.
 """
@@ -17,8 +18,9 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from corpusloom.llm.staging import Staging, lowest
+from corpusloom.llm.staging import Staging
 
 LOCAL = "A-Za-z0-9._%+-"
 # Base patterns. Possessive quantifiers and the start conditions only save work: none of
@@ -51,7 +53,7 @@ NATIONAL = (
     r"^(?:[0-9]{2,5}\)?[\x20.-]{1,2}[0-9]{3}[\x20.-][0-9]{4}"
     r"|0[0-9]{1,4}[)\x20.-]{1,2}(?:[0-9]{2,4}[\x20.-]){1,3}[0-9]{2,4})$"
 )
-#: proposals that the trees see at most
+#: proposals that the trees see at most; thresholds cover all held-out ones
 MOST_PROPOSALS = 20_000
 PRECISION = 0.9
 CHUNK = 128
@@ -213,32 +215,62 @@ def _offered(kind: str) -> Column:
     return F.transform(kind, offer)
 
 
+def _sample(seen: DataFrame) -> DataFrame:
+    """At most an equal part of ``MOST_PROPOSALS`` of each generator and label, those of the
+    lowest hash; a proposal of copied texts counts once."""
+    most = MOST_PROPOSALS // (2 * len(GENERATORS))
+    place, cell = F.xxhash64("text_key", "kind", "start"), ["kind", "label"]
+    totals = seen.groupBy(*cell).agg(F.approx_count_distinct(place, 0.01).alias("n")).collect()  # six rows
+    bound = F.lit(True)
+    for r in totals:
+        if r["n"] > 2 * most:
+            low = int(2 * most / r["n"] * 2**64) - 2**63
+            bound = bound & ((F.col("kind") != r["kind"]) | (F.col("label") != r["label"]) | (place < low))
+    few_rows = seen.where(bound).dropDuplicates(["text_key", "kind", "start"])
+    order = Window.partitionBy(*cell).orderBy(place, "text_key", "start")
+    return few_rows.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= most).drop("_nth")
+
+
+def _bound(bins: list) -> float | None:
+    """The lowest probability from which on the held-out proposals, and those of them that
+    could be added, are right often enough; a row of ``bins`` has both counts."""
+    n = right = n_free = right_free = 0.0
+    bound = None
+    for r in sorted(bins, key=lambda r: -r["bin"]):
+        n, right = n + r["n"], right + r["right"]
+        n_free, right_free = n_free + r["n_free"], right_free + r["right_free"]
+        if right >= PRECISION * n and right_free >= PRECISION * n_free:
+            bound = r["bin"] / 20
+    return bound
+
+
 def _fit(rows: DataFrame, staging: Staging) -> tuple | None:
     """The trees and a threshold per generator; None where nothing can be learned."""
     y = (F.col("covered") | F.col("told")).cast("double").alias("label")
-    seen = rows.select("text_key", "kind", "start", "features", y)
-    seen = lowest(seen, MOST_PROPOSALS, "text_key", "kind", "start")
     columns = [F.get("features", F.lit(i)).alias(name) for i, name in enumerate(FEATURES)]
     held = F.pmod(F.xxhash64(F.lit("held"), "text_key"), F.lit(5)) == 0
-    sample = staging.keep(seen.select("kind", "label", held.alias("held"), *columns), "proposals")
-    train = VectorAssembler(inputCols=FEATURES, outputCol="vector").transform(sample.where("not held"))
+    seen = rows.select("text_key", "kind", "start", y, held.alias("held"), _free().alias("free"), *columns)
+    sample = _sample(seen.where("not held"))
+    sample = staging.keep(sample.select("kind", "label", *FEATURES), "proposals")
+    train = VectorAssembler(inputCols=FEATURES, outputCol="vector").transform(sample)
     if train.select("label").distinct().count() < 2:
         staging.drop(sample)
         return None
     model = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=6, maxDepth=3, seed=7).fit(train)
-    judged = _judge(sample.where("held"), model)
+    judged = _judge(seen.where("held"), model)
+    free = F.col("free").cast("int")
     table = judged.groupBy("kind", F.floor(F.col("p") * 20).alias("bin")).agg(
-        F.count("*").alias("n"), F.sum("label").alias("right")
+        F.count("*").alias("n"), F.sum("label").alias("right"),
+        F.sum(free).alias("n_free"), F.sum(free * F.col("label")).alias("right_free"),
     ).collect()  # at most 21 bins for each generator
     staging.drop(sample)
-    bounds = {}
-    for kind in {r["kind"] for r in table}:
-        n = right = 0.0
-        for r in sorted((r for r in table if r["kind"] == kind), key=lambda r: -r["bin"]):
-            n, right = n + r["n"], right + r["right"]
-            if right >= PRECISION * n:
-                bounds[kind] = r["bin"] / 20
-    return model, bounds
+    bounds = {kind: _bound([r for r in table if r["kind"] == kind]) for kind in {r["kind"] for r in table}}
+    return model, {kind: bound for kind, bound in bounds.items() if bound is not None}
+
+
+def _free() -> Column:
+    """True for a proposal that overlaps no base span."""
+    return ~F.exists("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
 
 
 def _judge(rows: DataFrame, model) -> DataFrame:
@@ -265,9 +297,8 @@ def find(docs: DataFrame) -> DataFrame:
     if fitted is None or not fitted[1]:
         return found.select("doc_id", "base", F.array_sort("base").alias("spans"))
     model, bounds = fitted
-    free = ~F.exists("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
     columns = [F.get("features", F.lit(i)).alias(name) for i, name in enumerate(FEATURES)]
-    judged = _judge(rows.where(free).select("doc_id", "text_key", "kind", "start", "end", *columns), model)
+    judged = _judge(rows.where(_free()).select("doc_id", "text_key", "kind", "start", "end", *columns), model)
     enough = F.lit(False)
     for kind, bound in bounds.items():
         enough = enough | ((F.col("kind") == kind) & (F.col("p") >= bound))

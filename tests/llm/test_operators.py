@@ -389,6 +389,18 @@ def test_disguised_personal_data(spark):
     assert sum(hits) >= 0.9 * len(hits) and sum(map(bool, wrong)) <= 0.1 * len(wrong)
 
 
+def test_rare_generators_beside_many_numbers(spark, monkeypatch):
+    """Few secrets beside many numbers reach their threshold, with a sample that is small."""
+    monkeypatch.setattr(pii, "MOST_PROPOSALS", 300)
+    rng = random.Random(31)
+    rows = [(i, " ".join(str(rng.randrange(10**8, 10**9)) + " x" for _ in range(40))) for i in range(600)]
+    key = "".join(rng.choice("0123456789abcdef") for _ in range(28))
+    rows += [(1000 + i, f"{prose(5000 + i, 4)} token = {key[:-3]}{i + 100}") for i in range(20)]
+    found = pii.find(spark.createDataFrame(rows, "doc_id long, text string"))
+    spans = {r.doc_id: r.spans for r in found.select("doc_id", pii.told("spans").alias("spans")).collect()}
+    assert sum("secret" in spans[1000 + i] for i in range(20)) >= 18
+
+
 def test_line_dedup(spark, docs, empty):
     rows = [(100 + i, f"own {i}\n  Menu \nbody {i}\n\nMenu\t", None, f"s{i % 6}", 1) for i in range(12)]
     rows += [(200 + i, f"Rare\nown {i}", None, f"s{i % 3}", 1) for i in range(9)]
