@@ -30,7 +30,6 @@ WINDOWS = (1, 4)
 THRESHOLD = 0.7
 STEM_CHARS = 4
 STEMS = 1 << 16
-SIDES = 256
 #: labelled rows the class models are fitted on at most; all other counts cover all rows
 MOST_LABELLED = 20_000
 #: words after a context that its pairs must outweigh; pairs are too rare in the smaller
@@ -38,9 +37,10 @@ MOST_LABELLED = 20_000
 PAIR_PRIOR = 50_000.0
 
 
-def expressions(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def expressions(texts: list[str], whole: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The words of texts as three flat arrays, and the number of words of each text:
-    hashes of the word with its predecessor, of the word, and the number of its stem.
+    hashes of the word with its predecessor, of the word, and the number of its stem (with
+    ``whole`` the stem's full hash).
     Words are runs of letters and digits, lower-cased; the first one follows a mark."""
     cp = flat.points(" ".join(texts) + " ")
     folded = flat.folded()[cp]
@@ -57,36 +57,31 @@ def expressions(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     counts = np.diff(stops, prepend=0)
     previous[(stops - counts)[counts > 0]] = 0
     pair = flat.mix(previous * flat.MULTIPLIER + word)
-    return pair, word, (stem % np.uint64(STEMS)).astype(np.int64), counts
+    return pair, word, stem if whole else _numbers(stem), counts
+
+
+def _numbers(stem: np.ndarray) -> np.ndarray:
+    return (stem % np.uint64(STEMS)).astype(np.int64)
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For every stem of a task's texts a bit map of the stems before it."""
-    maps = np.zeros((STEMS, SIDES // 64), np.uint64)
+    """The different pairs of a stem and the stem before it, of a few texts each."""
+    import pandas as pd
+
     for batch in batches:
         for _, _, texts in flat.slices(batch.column(0)):
-            _, _, stem, counts = expressions(texts)
-            side = np.roll(flat.mix(stem.astype(np.uint64)) % np.uint64(SIDES), 1).astype(np.int64)
+            _, _, stem, counts = expressions(texts, whole=True)
+            before = np.roll(stem, 1)
             stops = np.cumsum(counts)
-            side[(stops - counts)[counts > 0]] = 0
-            both = np.unique(stem * SIDES + side)
-            bits = np.uint64(1) << (both % 64).astype(np.uint64)
-            np.bitwise_or.at(maps, (both // SIDES, both % SIDES // 64), bits)
-    seen = np.flatnonzero(maps.any(axis=1))
-    parts = [pa.array(maps[seen, i].view(np.int64)) for i in range(SIDES // 64)]
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(seen, pa.int64()), *parts], ["stem", *(f"m{i}" for i in range(SIDES // 64))]
-    )
+            before[(stops - counts)[counts > 0]] = 0
+            both = pd.DataFrame({"stem": _numbers(stem), "before": before.view(np.int64)}).drop_duplicates()
+            yield pa.RecordBatch.from_pandas(both, preserve_index=False)
 
 
 def neighbour_counts(docs: DataFrame) -> DataFrame:
-    """``(stem, sides)``: how many groups of stems each stem follows in all of ``docs``."""
-    parts = [f"m{i}" for i in range(SIDES // 64)]
-    schema = "stem long, " + ", ".join(f"{p} long" for p in parts)
-    merged = docs.select("text").mapInArrow(_neighbours, schema).groupBy("stem").agg(
-        *(F.bit_or(p).alias(p) for p in parts)
-    )
-    return merged.select("stem", sum(F.bit_count(p) for p in parts).cast("long").alias("sides"))
+    """``(stem, sides)``: how many different stems each stem follows in all of ``docs``."""
+    pairs = docs.select("text").mapInArrow(_neighbours, "stem long, before long").distinct()
+    return pairs.groupBy("stem").agg(F.count("*").alias("sides"))
 
 
 def _class_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

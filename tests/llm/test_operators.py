@@ -200,6 +200,16 @@ def test_tokens_of_empty_table(empty):
     assert token_counts.count_tokens(empty, queries.piece_model()).collect() == []
 
 
+def test_neighbours_are_counted_without_a_limit(spark):
+    """A stem that follows 3 000 different ones counts them all, however often they are repeated."""
+    firsts = ["".join("abcdefghijklmnopqrst"[n // 20**p % 20] for p in range(4)) for n in range(3000)]
+    rows = [(i, f"{w} zorkish") for i, w in enumerate(firsts * 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    stem = int(toxicity.expressions(["zorkish"])[2][0])
+    sides = {r.stem: r.sides for r in toxicity.neighbour_counts(docs).collect()}
+    assert 3000 <= sides[stem] <= 3001  # a first one may share the number of the stem
+
+
 def test_toxicity(spark, docs, empty):
     rng = random.Random(8)
     rows, labels = [], []
