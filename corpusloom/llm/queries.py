@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import (
-    chat, decontaminate, line_dedup, minhash, pii, sentencepiece_codec, substring_dedup, token_counts, topk, toxicity,
+    chat, decontaminate, embedding_dedup, line_dedup, minhash, pii, runs, sentencepiece_codec, substring_dedup,
+    token_counts, topk, toxicity, whitening,
 )
 
 
@@ -92,6 +93,48 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def with_periods(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``; in a tenth of the documents, told by the id's checksum, the words
+    from some place on repeat with some period."""
+    told = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))
+    rows = docs.select("doc_id", "text", told.alias("h"), F.when(told % 10 == 0, words).alias("w"))
+    rows = rows.withColumn("g", F.expr("h div 10")).withColumn("n", F.size("w").cast("long"))
+    rows = rows.withColumn("a", F.expr("g % greatest(n, 1)"))
+    rows = rows.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    repeated = F.transform("w", lambda x, i: F.when(i < F.col("a"), x).otherwise(
+        F.get("w", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))
+    ))
+    return rows.select("doc_id", F.when(F.col("n") > 0, F.array_join(repeated, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(with_periods(_table(spark, sf_dir, "documents")))
+    none = F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>")
+    # runs are in order, so an equal one further on does not take the place
+    best = F.reduce("runs", none, lambda kept, x: F.when(
+        kept.isNull() | (x["length"] * kept["period"] > kept["length"] * x["period"]), x
+    ).otherwise(kept))
+    lines = F.transform("runs", lambda x: F.concat(F.concat_ws(",", x["start"], x["length"], x["period"]), F.lit("\n")))
+    found = found.withColumn("best", best)
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *(F.col(f"best.{name}").alias(name) for name in ("start", "length", "period")),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(whitening.whole_entries(_table(spark, sf_dir, "embeddings")), k=16)
+
+
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_chat": op2_chat,
@@ -103,6 +146,9 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_line_dedup": op9_line_dedup,
     "op10_decontaminate": op10_decontaminate,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_embedding_dedup": op12_embedding_dedup,
+    "op13_whitening": op13_whitening,
 }
 
 # words between the six white-space characters, with only A-Z lower-cased
@@ -221,5 +267,63 @@ scored AS (
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+""",
+    "op11_periodic_runs": r"""
+WITH table_of AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+    lambda c, b: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+told AS (
+  SELECT row_number() OVER () AS k, doc_id,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    xor(4294967295, list_reduce(
+      list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+      lambda c, b: xor(c // 256, t[1 + xor(c % 256, b)]))) AS h
+  FROM documents, table_of),
+sized AS (
+  SELECT *, len(w) AS n, h // 10 AS g, (h // 10) % greatest(len(w), 1) AS a FROM told),
+dealt AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM sized),
+worded AS (
+  SELECT k, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n),
+    lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE w END AS w FROM dealt),
+words AS (SELECT k, n, unnest(w) AS x, unnest(range(n)) AS i FROM worded),
+threes AS (SELECT k, n, i, x, lead(x) OVER v AS y, lead(x, 2) OVER v AS z FROM words WINDOW v AS (PARTITION BY k ORDER BY i)),
+same AS (
+  SELECT l.k, l.i, r.i - l.i AS q FROM threes l JOIN threes r
+  ON l.k = r.k AND l.x = r.x AND l.y = r.y AND l.z = r.z AND r.i > l.i AND 4 * (r.i - l.i) <= l.n),
+islands AS (SELECT k, q, i, i - row_number() OVER (PARTITION BY k, q ORDER BY i) AS island FROM same),
+stretches AS (
+  SELECT k, min(i) AS start, count(*) + 2 + q AS length, q FROM islands GROUP BY k, q, island
+  HAVING count(*) + 2 + q >= greatest(6, 4 * q)),
+runs AS (SELECT k, start, length, min(q) AS period FROM stretches GROUP BY k, start, length),
+gone AS (SELECT DISTINCT k, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT k, string_agg(x, ' ' ORDER BY i) AS text FROM words ANTI JOIN gone USING (k, i) GROUP BY k),
+listed AS (
+  SELECT k, count(*) AS n_runs,
+    string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS told
+  FROM runs GROUP BY k),
+-- fractions of numbers below 2**26 that differ also differ as doubles
+best AS (
+  SELECT k, start, length, period, row_number() OVER (
+    PARTITION BY k ORDER BY length::DOUBLE / period DESC, start, period) AS rank FROM runs)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start::BIGINT AS start, length::BIGINT AS length,
+  period::BIGINT AS period, (1000 * length // period)::BIGINT AS exponent_milli,
+  sha256(coalesce(told, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
+FROM worded LEFT JOIN listed USING (k) LEFT JOIN (SELECT * FROM best WHERE rank = 1) USING (k) LEFT JOIN kept USING (k)
+""",
+    "op12_embedding_dedup": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id
+  WHERE list_dot_product(x.v, y.v) >= 0.9 * sqrt(list_dot_product(x.v, x.v)) * sqrt(list_dot_product(y.v, y.v))),
+reach AS (SELECT a AS node, b AS root FROM pairs UNION SELECT p.b, r.root FROM reach r JOIN pairs p ON p.a = r.node),
+counts AS (SELECT a, count(*) AS n FROM pairs GROUP BY a),
+roots AS (SELECT node, min(root) AS root FROM reach GROUP BY node)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(root, vec_id)) AS component_id,
+       vec_id <= coalesce(root, vec_id) AS kept
+FROM embeddings LEFT JOIN counts ON a = vec_id LEFT JOIN roots ON node = vec_id
 """,
 }

@@ -6,7 +6,9 @@ from conftest import SF_DIR
 from corpusloom.llm import queries
 from oracle_check import compare, connect
 
-WITHOUT_SQL = ("op4_toxicity", "op8_pii", "op5_substring_dedup", "op3_sentencepiece", "op7_token_counts")
+WITHOUT_SQL = (
+    "op4_toxicity", "op8_pii", "op5_substring_dedup", "op3_sentencepiece", "op7_token_counts", "op13_whitening",
+)
 
 
 def test_all_are_registered():
