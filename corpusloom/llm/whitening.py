@@ -29,6 +29,8 @@ BLOCK = 4096
 LARGEST = 1 << 50
 #: pairs sought beyond the wanted ones, so that none of these is missed
 GUARD = 4
+#: numbers of a partial sum in one row
+WIDTH = 16
 INNER = 5
 OUTER = 300
 #: a residual of so many units of rounding of the largest eigenvalue ends the search
@@ -83,28 +85,35 @@ def _pack(dim: int):
 
 def _summed(packed: DataFrame, part: Callable[[np.ndarray], np.ndarray], dim: int, size: int) -> np.ndarray:
     """The sum of ``part(block)``, an array of ``size`` numbers, over all blocks of integer
-    vectors: each task adds up its own blocks, Spark the tasks, place by place."""
+    vectors: each task adds up its own blocks, Spark the tasks. ``WIDTH`` numbers share a row."""
     whole = np.issubdtype(np.asarray(part(np.zeros((0, dim), np.int64))).dtype, np.integer)
-    kind = pa.int64() if whole else pa.float64()
+    rows = -(-size // WIDTH)
+    places = pa.array(np.arange(rows, dtype=np.int32))
+    ends = pa.array(np.arange(rows + 1, dtype=np.int32) * WIDTH)
+
+    def told(total: np.ndarray) -> pa.RecordBatch:
+        filled = np.zeros(rows * WIDTH, np.int64 if whole else np.float64)
+        filled[:size] = total
+        return pa.RecordBatch.from_arrays([places, pa.ListArray.from_arrays(ends, pa.array(filled))], ["i", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, places = np.zeros(size), pa.array(np.arange(size, dtype=np.int32))
+        total = None
         for batch in batches:
             for data in batch.column(0):
-                block = np.frombuffer(data.as_buffer(), "<i8").reshape(-1, dim)
+                block = part(np.frombuffer(data.as_buffer(), "<i8").reshape(-1, dim)).ravel()
                 if whole:  # exact: only Spark's decimals add blocks
-                    yield pa.RecordBatch.from_arrays([places, pa.array(part(block).ravel(), kind)], ["i", "value"])
+                    yield told(block)
                 else:
-                    total += part(block).ravel()
-        if not whole:
-            yield pa.RecordBatch.from_arrays([places, pa.array(total, kind)], ["i", "value"])
-
-    value = F.sum(F.col("value").cast("decimal(38,0)")) if whole else F.sum("value")
-    rows = packed.select("x").mapInArrow(run, f"i int, value {'long' if whole else 'double'}")
-    found = np.zeros(size, object if whole else np.float64)
-    for i, v in rows.groupBy("i").agg(value.alias("value")).collect():
-        found[i] = int(v) if whole else v
-    return found
+                    total = block if total is None else total + block
+        if total is not None:
+            yield told(total)
+
+    value = [F.col("v")[j].cast("decimal(38,0)") if whole else F.col("v")[j] for j in range(WIDTH)]
+    parts = packed.select("x").mapInArrow(run, f"i int, v array<{'long' if whole else 'double'}>")
+    found = np.zeros(rows * WIDTH, object if whole else np.float64)
+    for i, *sums in parts.groupBy("i").agg(*(F.sum(v) for v in value)).collect():
+        found[i * WIDTH : (i + 1) * WIDTH] = [int(v) for v in sums] if whole else sums
+    return found[:size]
 
 
 def deviations(x: np.ndarray, n: int, sums: list[int]) -> np.ndarray:
