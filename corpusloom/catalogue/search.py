@@ -13,6 +13,7 @@ from corpusloom.functions import html as h
 from corpusloom.functions import match as m
 from corpusloom.functions import text as tx
 from corpusloom.functions.rows import keep, once
+from corpusloom.operators import fuzzy as fz
 from corpusloom.operators import relevance as rel
 from corpusloom.operators import words as ops
 from corpusloom.operators.records import drop_null_content, normalise_content
@@ -91,8 +92,38 @@ def fuzzy(spark, sf_dir):
 
 
 def fuzzy_documents(spark, sf_dir):
-    found = m.free_text([F.array_distinct("tokens")], "there~", "OR", "~")
-    return _ids(keep(_with_tokens(spark, sf_dir), found))
+    return _near_documents(spark, sf_dir, ["there"], 1)
+
+
+FAR_WORDS = ["there", "nihct", "dansk"]
+
+
+def fuzzy_documents_all(spark, sf_dir):
+    """Documents with a word near each of two."""
+    return _near_documents(spark, sf_dir, ["thare", "hass"], 2)
+
+
+def _postings(spark, sf_dir):
+    """Every document's distinct words with their counts, written once."""
+    counts = tx.term_counts(F.col("text"), F.col("lang"))
+    return ops.shared(_texts(spark, sf_dir).where(F.col("text").isNotNull()).select(
+        "doc_id", "lang", "source", counts.alias("terms")
+    ))
+
+
+def _near_documents(spark, sf_dir, words, n_words):
+    postings = _postings(spark, sf_dir)
+    vocabulary = ops.word_count_by_doc(postings).select("term").distinct()
+    most = max(m.allowed_edits(w) for w in words)
+    near = fz.similar_terms(fz.variant_index(vocabulary, most, words), words)
+    return _ids(fz.with_similar_words(postings, near, n_words))
+
+
+def fuzzy_terms(spark, sf_dir):
+    """The vocabulary's words near misspelt ones, through its index of deletion variants."""
+    stats = ops.corpus_word_stats(ops.word_count_by_doc(_postings(spark, sf_dir)))
+    near = fz.similar_terms(fz.variant_index(stats), FAR_WORDS, 2)
+    return near.join(stats, "term").select("word", "term", F.col("distance").cast("bigint").alias("distance"), "documents")
 
 
 def phrase(spark, sf_dir):
@@ -259,6 +290,16 @@ def spell_suggest(spark, sf_dir):
     return found.withColumn("distance", F.col("distance").cast("bigint"))
 
 
+MISTYPED = "thare wich plaec bettwen zzyyxx"
+
+
+def spell_indexed(spark, sf_dir):
+    """Suggestions from all documents, through the vocabulary's index."""
+    stats = ops.shared(ops.corpus_word_stats(ops.word_count_by_doc(_postings(spark, sf_dir))))
+    found = rel.suggest(stats, MISTYPED.split(), per_word=3, index=fz.variant_index(stats))
+    return found.withColumn("distance", F.col("distance").cast("bigint"))
+
+
 def spell_query(spark, sf_dir):
     found = rel.suggest(_part_stats(spark, sf_dir), MISSPELT.split())
     return rel.suggested_query(found, MISSPELT)
@@ -287,11 +328,11 @@ QUERIES = {
     f.__name__: f
     for f in (
         scan_filtered, null_text_dropped, match_all, term_and, range_filter, free_text_and,
-        free_text_or, free_text_fields, wildcard, fuzzy, fuzzy_documents, phrase, two_field_or,
+        free_text_or, free_text_fields, wildcard, fuzzy, fuzzy_documents, fuzzy_documents_all, fuzzy_terms, phrase, two_field_or,
         query_elision, query_possessive,
         or_group, or_group_table, nested_any, nested_any_rows, exclude, multivalue,
         predefined_filters, lone_or_compat, page_two, sort_field, fields_returned, highlight,
-        geo_radius, geo_plane, spell_suggest, spell_query, relevance_topk, search_hits_shown,
+        geo_radius, geo_plane, spell_suggest, spell_indexed, spell_query, relevance_topk, search_hits_shown,
     )
 }
 
@@ -316,6 +357,12 @@ ranked AS (
   WHERE word NOT IN (SELECT term FROM stats)),
 found AS (SELECT word, suggestion, distance, documents FROM ranked WHERE r = 1)"""
 
+# one ASCII sign for every other character, as distances count bytes on this side
+_ASCII = "regexp_replace(t, '[^\\x00-\\x7F]', '#', 'g')"
+_DOC_STATS = f"""{_DOCS},
+stats AS (SELECT t, count(*) AS documents FROM (
+  SELECT doc_id, unnest(list_distinct(tokens)) AS t FROM d) GROUP BY t)"""
+
 _PIECE = r"[\p{L}\p{N}]+(?:[''’][\p{L}\p{N}]+)*|[^\p{L}\p{N}]+"
 _ARC = """2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(lat - 48.85) / 2), 2)
   + cos(radians(lat)) * cos(radians(48.85)) * pow(sin(radians(lng - 2.35) / 2), 2))))"""
@@ -358,6 +405,11 @@ WHERE {_any('tokens', "levenshtein(t, 'smll') <= 1")} OR {_any('tokens', "levens
     "fuzzy_documents": f"""WITH {_DOCS} SELECT doc_id, lang, source FROM d
 -- one ASCII sign for every other character, as this side counts bytes
 WHERE {_any('tokens', "levenshtein(regexp_replace(t, '[^\\x00-\\x7F]', '#', 'g'), 'there') <= 1")}""",
+    "fuzzy_documents_all": f"""WITH {_DOCS} SELECT doc_id, lang, source FROM d
+WHERE {_any('tokens', f"levenshtein({_ASCII}, 'thare') <= 1")} AND {_any('tokens', f"levenshtein({_ASCII}, 'hass') <= 1")}""",
+    "fuzzy_terms": f"""WITH {_DOC_STATS}
+SELECT word, t AS term, levenshtein({_ASCII}, word)::BIGINT AS distance, documents
+FROM stats, (SELECT unnest({FAR_WORDS}) AS word) WHERE levenshtein({_ASCII}, word) <= 2""",
     "phrase": f"""WITH {_DOCS} SELECT doc_id, lang, source FROM d
 WHERE contains(' ' || array_to_string(tokens, ' ') || ' ', ' in the ')""",
     "two_field_or": f"""WITH p AS (
@@ -413,6 +465,13 @@ SELECT c_custkey, round({_ARC}, 4) AS km FROM g WHERE {_ARC} <= 1500""",
   ((s_suppkey * 91) % 360 - 180)::DOUBLE AS lng FROM supplier)
 SELECT s_suppkey, round({_PLANE}, 4) AS miles FROM g WHERE {_PLANE} <= 2500""",
     "spell_suggest": f"WITH {_PART_STATS} SELECT word, suggestion, distance, documents FROM found",
+    "spell_indexed": f"""WITH {_DOC_STATS},
+near AS (
+  SELECT word, t AS suggestion, levenshtein({_ASCII}, word)::BIGINT AS distance, documents
+  FROM stats, (SELECT unnest({MISTYPED.split()}) AS word)
+  WHERE levenshtein({_ASCII}, word) <= 2 AND word NOT IN (SELECT t FROM stats)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY distance, documents DESC, suggestion) AS r FROM near)
+SELECT word, suggestion, distance, documents FROM ranked WHERE r <= 3""",
     "spell_query": f"""WITH {_PART_STATS},
 parts AS (SELECT unnest({MISSPELT.split()}) AS w, generate_subscripts({MISSPELT.split()}, 1) AS i)
 SELECT string_agg(coalesce(f.suggestion, p.w), ' ' ORDER BY p.i) AS suggested

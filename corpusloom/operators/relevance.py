@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from corpusloom.functions import match as m
 from corpusloom.functions.rows import once
+from corpusloom.operators import fuzzy
 from corpusloom.session import small_side
 
 
@@ -55,7 +56,11 @@ def relevance(terms: DataFrame, words: Sequence[str], k: int | None = 10) -> Dat
 
 
 def suggest(
-    stats: DataFrame, words: Sequence[str], edits: int = 2, per_word: int = 1
+    stats: DataFrame,
+    words: Sequence[str],
+    edits: int = 2,
+    per_word: int = 1,
+    index: DataFrame | None = None,
 ) -> DataFrame:
     """``(word, suggestion, distance, documents)`` for words not in ``stats``.
 
@@ -63,18 +68,25 @@ def suggest(
     documents, then term. The query's words are the
     small side; the vocabulary is read once and never moved whole, as each task
     keeps its best candidates per word. A known word meets itself at distance 0
-    and is dropped with its candidates.
+    and is dropped with its candidates. With an ``index`` of the vocabulary's
+    deletion variants (``fuzzy.variant_index``) only terms that share a variant
+    with a word are looked at.
     """
     words = sorted({w.lower() for w in words})
     lengths = [(w, n) for w in words for n in range(max(1, len(w) - edits), len(w) + edits + 1)]
     asked = stats.sparkSession.createDataFrame(lengths, "word string, size int")
     best = Window.partitionBy("word").orderBy(F.asc("distance"), F.desc("documents"), F.asc("term"))
+    if index is None:
+        near = (
+            stats.withColumn("size", F.length("term"))
+            .join(small_side(asked), "size")
+            .withColumn("distance", F.levenshtein(F.col("term"), F.col("word"), edits))
+            .where(F.col("distance") >= 0)
+        )
+    else:
+        near = stats.join(small_side(fuzzy.similar_terms(index, words, edits)), "term")
     ranked = (
-        stats.withColumn("size", F.length("term"))
-        .join(small_side(asked), "size")
-        .withColumn("distance", F.levenshtein(F.col("term"), F.col("word"), edits))
-        .where(F.col("distance") >= 0)
-        .withColumn("rank", F.row_number().over(best))
+        near.withColumn("rank", F.row_number().over(best))
         .where(F.col("rank") <= per_word)
     )
     nearest = F.min("distance").over(Window.partitionBy("word"))
