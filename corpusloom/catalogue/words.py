@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.catalogue import common as c
-from corpusloom.functions import stopwords
+from corpusloom.catalogue import stems_sql
+from corpusloom.functions import stems, stopwords
 from corpusloom.functions import text as tx
 from corpusloom.functions.rows import expand
 from corpusloom.operators import words as ops
@@ -80,15 +81,29 @@ def stopword_table(spark, sf_dir):
     return ops.drop_stopwords(totals, listed)
 
 
-def stem_vocab(spark, sf_dir):
-    totals = _term_totals(c.documents(spark, sf_dir), tx.index_rule)
+def _by_stem(stemmed):
     return (
-        ops.stem_counts(totals)
+        stemmed
         .groupBy("lang", "stem")
         .agg(F.count(F.lit(1)).alias("terms"), F.sum("count").alias("count"))
     )
 
 
+def stem_vocab(spark, sf_dir):
+    return _by_stem(ops.stem_counts(_term_totals(c.documents(spark, sf_dir), tx.index_rule)))
+
+
+def stem_plurals(spark, sf_dir):
+    totals = _term_totals(c.documents(spark, sf_dir), tx.index_rule)
+    return _by_stem(ops.stem_counts(totals, rule=tx.light_stem))
+
+
+def stem_terms(spark, sf_dir):
+    """The stem of every word of the corpus under the rules of both languages."""
+    stats = ops.corpus_word_stats(ops.word_count_by_doc(ops.doc_terms(c.documents(spark, sf_dir), None)))
+    return stats.select("term", stems.english(F.col("term")).alias("en"), stems.french(F.col("term")).alias("fr"))
+
+
 def surface_words(spark, sf_dir):
     return _term_totals(c.documents(spark, sf_dir), tx.index_rule)
 
@@ -168,7 +183,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         tfidf_top, tfidf_sparse, tfidf_dense, tokenise_documents, tokens_by_lang,
-        stopwords_removed, stopword_table, stem_vocab, surface_words, shingle_stats,
+        stopwords_removed, stopword_table, stem_vocab, stem_plurals, stem_terms, surface_words, shingle_stats,
         token_filters, word_count_by_doc, word_count_digits_rule, corpus_stats,
         total_docs, vocabulary, idf_natural, upper_case_counts, tfidf_wide,
     )
@@ -223,10 +238,20 @@ free AS (SELECT * FROM tokens WHERE NOT (
   (lang = 'en' AND token IN {c.in_list(stopwords.ENGLISH)}) OR
   (lang = 'fr' AND token IN {c.in_list(stopwords.FRENCH)})))
 {_TOTALS.format(source='free')}""",
-    "stem_vocab": f"""WITH {c.COUNTS},
+    "stem_plurals": f"""WITH {c.COUNTS},
 totals AS ({_TOTALS.format(source='kept')}),
 stemmed AS (SELECT lang, {_STEM} AS stem, "count" FROM totals)
 SELECT lang, stem, count(*) AS terms, sum("count")::BIGINT AS "count" FROM stemmed GROUP BY lang, stem""",
+    "stem_vocab": f"""WITH {c.COUNTS},
+totals AS ({_TOTALS.format(source='kept')}),
+words AS (SELECT DISTINCT term FROM totals),
+{stems_sql.STAGES},
+stemmed AS (
+  SELECT lang, CASE lang WHEN 'en' THEN s.en WHEN 'fr' THEN s.fr ELSE term END AS stem, "count"
+  FROM totals JOIN stems s USING (term))
+SELECT lang, stem, count(*) AS terms, sum("count")::BIGINT AS "count" FROM stemmed GROUP BY lang, stem""",
+    "stem_terms": f"""WITH {c.TOKENS}, words AS (SELECT DISTINCT token AS term FROM tokens),
+{stems_sql.STAGES} SELECT term, en, fr FROM stems""",
     "surface_words": f"WITH {c.COUNTS} {_TOTALS.format(source='kept')}",
     "shingle_stats": f"""WITH numbered AS (
   SELECT doc_id, lang, unnest(ws) AS raw, generate_subscripts(ws, 1) AS pos

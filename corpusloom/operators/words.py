@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from corpusloom.functions import text as tx
 from corpusloom.functions.rows import expand
+from corpusloom.functions.stems import stem as suffix_stem
 from corpusloom.session import small_side, stage
 
 TokenRule = Callable[[Column], Callable[[Column], Column]]
@@ -72,14 +73,19 @@ def drop_stopwords(tokens: DataFrame, words: DataFrame, token: str = "term") ->
     return tokens.join(words, same, "left_anti")
 
 
-def stem_counts(counts: DataFrame, stems: DataFrame | None = None) -> DataFrame:
-    """Merge ``(lang, term, documents, count)`` rows by stem.
+def stem_counts(
+    counts: DataFrame,
+    stems: DataFrame | None = None,
+    rule: Callable[[Column, Column], Column] = suffix_stem,
+) -> DataFrame:
+    """``(lang, term, documents, count)`` rows with their ``stem``.
 
-    Stems are looked up on the vocabulary, once per distinct term. ``stems`` is
-    an optional ``(lang, term, stem)`` table that overrides the light rule.
+    Stems are computed on the vocabulary, once per distinct term, by ``rule`` (suffix
+    stages; ``text.light_stem`` takes plurals only). ``stems`` is an optional
+    ``(lang, term, stem)`` table instead; a term it lacks is its own stem.
     """
     if stems is None:
-        return counts.withColumn("stem", tx.light_stem(F.col("term"), F.col("lang")))
+        return counts.withColumn("stem", rule(F.col("term"), F.col("lang")))
     looked_up = counts.join(stems, ["lang", "term"], "left")
     return looked_up.withColumn("stem", F.coalesce("stem", "term"))
 
