@@ -280,6 +280,54 @@ def test_repeated_passages(spark, docs):
     assert substring_dedup.repeated(rows.limit(0)).collect() == []
 
 
+def test_fuzzy_passages_are_found(spark):
+    """Pairs of documents with a passage in which words are substituted at random, its ends
+    excepted: at least 0.9 of them link, at every length and similarity."""
+    rng, rows, cases = random.Random(12), [], []
+    for size in (50, 80, 120):
+        for equal in (0.8, 0.85, 0.9):
+            for _ in range(40):
+                words = prose(rng.randrange(10**9), size).split()
+                other = list(words)
+                for i in rng.sample(range(1, size - 1), round(size * (1 - equal))):
+                    other[i] += "x"
+                for text in (words, other):
+                    around = prose(rng.randrange(10**9), 90).split()
+                    rows.append((len(rows), " ".join(around[:40] + text + around[40:])))
+                cases.append((size, equal, len(rows) - 2))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    linked = {r.doc_id: r.n_links for r in substring_dedup.repeated(docs).collect()}
+    found = defaultdict(list)
+    for size, equal, d in cases:
+        found[size, equal].append(linked[d] > 0 and linked[d + 1] > 0)
+    assert {c: sum(f) / len(f) for c, f in found.items() if sum(f) < 0.9 * len(f)} == {}
+
+
+def test_passages_are_as_similar_as_they_say():
+    """Insertions, deletions and substitutions, and stretches just below the similarity."""
+    rng = random.Random(3)
+    for case in range(60):
+        vocabulary = np.arange(1, 4000)
+        core = [rng.choice(vocabulary) for _ in range(rng.choice([60, 90, 150]))]
+        other = []
+        for i, w in enumerate(core):
+            kind = rng.random() if 0 < i < len(core) - 1 else 1
+            other += [] if kind < 0.02 else [w, 5000 + i] if kind < 0.04 else [6000 + i] if kind < case % 4 * 0.1 else [w]
+        a = np.array([rng.choice(vocabulary) for _ in range(70)] + core + [rng.choice(vocabulary) for _ in range(70)], np.int32)
+        b = np.array([7000 + i for i in range(30)] + other + [8000 + i for i in range(80)], np.int32)
+        for a0, a1, b0, b1, equal in substring_dedup.passages(a, b, 50, 0.8):
+            assert min(a1 - a0, b1 - b0) >= 50 and equal >= 0.8 * max(a1 - a0, b1 - b0)
+            x, y = a[a0:a1].tolist(), b[b0:b1].tolist()
+            row = [0] * (len(y) + 1)
+            for u in x:
+                last = 0
+                for t, v in enumerate(y, 1):
+                    last, row[t] = row[t], last + 1 if u == v else max(row[t], row[t - 1])
+            assert equal <= row[-1] and x[0] == y[0] and x[-1] == y[-1]
+        if case % 4 == 0:
+            assert substring_dedup.passages(a, b, 50, 0.8)
+
+
 def test_exact_runs_are_all_found(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
     words = {r.doc_id: re.findall(r"[^\x20\x09-\x0D]+", r.text.lower()) for r in rows}
