@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +52,22 @@ class Staging:
             where.getFileSystem(conf).delete(where, True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> Iterator[None]:
+    """What is written meanwhile goes to Python workers in batches of at most ``most`` bytes
+    (or the session's own smaller bound): a task's buffers on both sides follow them."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    told = str(before).lower().rstrip("b")
+    unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(told[-1:], 1)
+    if int(told.rstrip("kmg")) * unit > most:
+        spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def few(keys: DataFrame) -> DataFrame:
     """``keys`` (written rows of a few numbers) hinted for broadcast when counted to
     be at most ``BROADCAST_ROWS``; a larger table is left to a shuffled join."""
