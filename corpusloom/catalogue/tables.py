@@ -66,6 +66,19 @@ def index_field_delta(spark, sf_dir):
     return _digest(table.read())
 
 
+def index_folded(spark, sf_dir):
+    """Two writers and single fields, some of it folded into the buckets' base files."""
+    path = work_path(spark, "folded")
+    table, other = (ix.IndexTable(spark, path, "doc_id", DOCUMENT, buckets=12, fold_after=3) for _ in range(2))
+    table.write(_index(spark, sf_dir), 0)
+    other.write(_batch(spark, sf_dir), 0, "version", writer="second")
+    labels = c.table(spark, sf_dir, "labels")
+    table.write_field(labels.select("doc_id", F.lit("zz").alias("lang")), "lang", 0)
+    known = labels.where("toxic = 1").select("doc_id", F.lit(None).cast("string").alias("source"))
+    other.write_field(known, "source", 0, writer="second")
+    return _digest(table.read())
+
+
 def index_partial_update(spark, sf_dir):
     labels = c.table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("bigint").alias("cluster"))
     shifted = labels.withColumn("doc_id", F.col("doc_id") + 10_000_000)
@@ -189,7 +202,7 @@ def train_predict_tf(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        index_upsert, index_table_twice, index_field_delta, index_partial_update, index_update_existing,
+        index_upsert, index_table_twice, index_field_delta, index_folded, index_partial_update, index_update_existing,
         index_stamped, positional_join, cluster_words, top_words, top_words_lines,
         assigned_words, assignment_lines, nearest_centre, train_assign, wssse, model_roundtrip, train_predict_tf,
     )
@@ -217,6 +230,10 @@ ORACLES = {
 SELECT coalesce(d.doc_id, u.doc_id) AS doc_id, md5(d.text) AS text, d.lang,
   coalesce(u.source, d.source) AS source, d.n_chars
 FROM documents d FULL JOIN u ON u.doc_id = d.doc_id""",
+    "index_folded": f"""WITH written AS ({_UPSERT})
+SELECT w.doc_id, w.text, CASE WHEN l.doc_id IS NULL THEN w.lang ELSE 'zz' END AS lang,
+  CASE WHEN l.toxic = 1 THEN NULL ELSE w.source END AS source, w.n_chars
+FROM written w LEFT JOIN labels l ON l.doc_id = w.doc_id""",
     "index_partial_update": """WITH u AS (
   SELECT doc_id, quality::BIGINT AS cluster FROM labels
   UNION ALL SELECT doc_id + 10000000, quality FROM labels)

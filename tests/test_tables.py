@@ -61,6 +61,101 @@ def test_index_table(spark):
     assert rows_of(table.compact(table.path + "-compact").read()) == want
 
 
+def small_index(spark, path, **options):
+    return ix.IndexTable(spark, str(path), "doc_id", INDEX, **options)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_index_table_folds_touched_buckets_and_reads_without_exchange(spark, tmp_path):
+    table = small_index(spark, tmp_path / "t", buckets=8, fold_after=100)
+    rows = spark.range(200).select(F.col("id").alias("doc_id"), F.lit("x").alias("a"), F.lit(0).alias("v"))
+    table.write(rows, 0)
+    assert table.fold() and not table.fold()
+    first = table.snapshot()
+    assert "Exchange" not in plan_of(table.read()) and table.read().count() == 200
+    table.write_field(spark.createDataFrame([(7, 70), (900, 9)], "doc_id bigint, v int"), "v", 0)
+    touched = table.snapshot().touched()
+    assert 1 <= len(touched) <= 2
+    assert "Exchange" in plan_of(table.read())
+    want = {i: (i, "x", 0) for i in range(200)} | {7: (7, "x", 70), 900: (900, None, 9)}
+    assert rows_of(table.read()) == want
+    assert table.fold() and rows_of(table.read()) == want and "Exchange" not in plan_of(table.read())
+    after = table.snapshot()
+    assert {b for b in after.base if after.base[b] != first.base.get(b)} == set(touched)
+    assert table.clean() >= 2 and rows_of(table.read()) == want
+
+
+def test_index_table_folds_by_itself_and_keeps_the_order_of_commits(spark, tmp_path):
+    table = small_index(spark, tmp_path / "t", buckets=3, fold_after=2)
+    want = {}
+    for batch in range(5):
+        table.write(spark.createDataFrame([(1, f"w{batch}", batch), (10 + batch, "n", None)], INDEX), batch)
+        table.write_field(spark.createDataFrame([(1, None), (2, batch)], "doc_id bigint, v int"), "v", batch)
+        want |= {1: (1, f"w{batch}", None), 10 + batch: (10 + batch, "n", None), 2: (2, None, batch)}
+        assert rows_of(table.read()) == want and len(table.snapshot().open) < 2
+    assert table.snapshot().seen == {"rows/main": [[0, 4]], "fields/main": [[0, 4]]}
+    # opened again, with other options: the number of buckets stays
+    again = small_index(spark, tmp_path / "t", buckets=99)
+    assert again.snapshot().buckets == 3 and rows_of(again.read()) == want
+    # a repeated batch of before the fold changes nothing, a gap in the numbers is filled
+    again.write(spark.createDataFrame([(1, "repeated", 0)], INDEX), 2)
+    assert rows_of(again.read()) == want
+    again.write(spark.createDataFrame([(3, "late", 0)], INDEX), 9)
+    again.write(spark.createDataFrame([(4, "gap", 0)], INDEX), 7)
+    assert rows_of(again.read()) == want | {3: (3, "late", 0), 4: (4, "gap", 0)}
+
+
+def test_index_table_with_null_keys_hot_keys_and_empty_batches(spark, tmp_path):
+    table = small_index(spark, tmp_path / "t", buckets=2, fold_after=100)
+    table.write(spark.createDataFrame([], INDEX), 0)
+    assert not table.fold() and table.read().count() == 0
+    rows = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, None).otherwise(F.col("id") % 5).alias("doc_id"), F.lit("h").alias("a"), F.col("id").cast("int").alias("v")
+    )
+    table.write(rows, 1, "v")
+    table.write_field(spark.createDataFrame([(None, 5)], "doc_id bigint, v int"), "v", 1)
+    for _ in range(2):
+        got = rows_of(table.read())
+        assert set(got) == {None, 0, 1, 2, 3, 4} and got[None] == (None, "h", 5)
+        table.fold()
+    with pytest.raises(ValueError):
+        ix.IndexTable(spark, str(tmp_path / "u"), "doc_id", "doc_id bigint, _bucket int")
+
+
+def test_two_writers_and_two_folds_at_once(spark, tmp_path, monkeypatch):
+    table = small_index(spark, tmp_path / "t", fold_after=100)
+    other = small_index(spark, tmp_path / "t", fold_after=100)
+    table.write(spark.createDataFrame([(1, "x", 0), (2, "x", 0)], INDEX), 0)
+    claim, meanwhile = ix.IndexTable._claim, []
+
+    def delayed(self, version, entry):
+        # another writer takes the number between this one's reading the log and its claim
+        if self is table and meanwhile:
+            meanwhile.pop()()
+        return claim(self, version, entry)
+
+    monkeypatch.setattr(ix.IndexTable, "_claim", delayed)
+    meanwhile.append(lambda: other.write(spark.createDataFrame([(2, "other", 5), (3, "other", 5)], INDEX), 0, writer="other"))
+    table.write(spark.createDataFrame([(2, "later", 6)], INDEX), 1)
+    want = {1: (1, "x", 0), 2: (2, "later", 6), 3: (3, "other", 5)}
+    assert not meanwhile and rows_of(table.read()) == want
+    # a commit that ends during a fold stays open and keeps its rank
+    meanwhile.append(lambda: other.write(spark.createDataFrame([(1, "during", 7)], INDEX), 1, writer="other"))
+    assert table.fold() and len(table.snapshot().open) == 1
+    want[1] = (1, "during", 7)
+    assert rows_of(table.read()) == rows_of(other.read()) == want
+    # of two folds one is given up, without loss
+    meanwhile.append(lambda: other.fold())
+    table.write(spark.createDataFrame([(4, "x", 0)], INDEX), 2)
+    meanwhile.append(lambda: other.fold())
+    other.write(spark.createDataFrame([(5, "x", 0)], INDEX), 2, writer="other")
+    assert not table.fold()
+    assert rows_of(table.read()) == want | {4: (4, "x", 0), 5: (5, "x", 0)}
+
+
 def test_positional_join_drops_the_longer_rest(spark):
     left = spark.createDataFrame([(1, "a"), (2, "b")], "position bigint, path string")
     right = spark.createDataFrame([(1, "7")], "position bigint, cluster string")
