@@ -15,7 +15,7 @@ from corpusloom.operators import records as rec
 from corpusloom.operators import words as ops
 from corpusloom.session import stage, work_path
 from corpusloom.sources import files as io
-from corpusloom.streaming import flows
+from corpusloom.streaming import changing, flows
 
 DOCUMENT = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -140,6 +140,25 @@ def stream_corpus_stats(spark, sf_dir):
     return table.read()
 
 
+def stream_changed_stats(spark, sf_dir):
+    """Documents that change while they stream in: a draft of each, the real text of those
+    with a label, and an old version of all that comes last."""
+    docs = c.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    labelled = c.table(spark, sf_dir, "labels").select("doc_id")
+    path = work_path(spark, "versions")
+    draft = F.concat_ws(" ", F.lit("draft"), F.substring_index("text", " ", 40), F.col("lang"))
+    for version, rows in (
+        (1, docs.withColumn("text", draft)),
+        (2, docs.join(labelled, "doc_id", "left_semi")),
+        (0, docs.withColumn("text", F.lit("late words of long ago"))),
+    ):
+        rows.withColumn("version", F.lit(version)).coalesce(2).write.mode("append").json(path)
+    stream = flows.json_stream(spark, path, "doc_id bigint, text string, lang string, version bigint", 3)
+    table = ix.new_index(spark, "term", "term string, documents bigint, count bigint", "changing")
+    changing.changing_stats(stream, "version", table, flows.new_checkpoint(spark))
+    return changing.current_stats(table)
+
+
 def stream_tfidf(spark, sf_dir):
     terms = stage(ops.doc_terms(c.documents(spark, sf_dir)), "terms")
     vocab_path = work_path(spark, "vocabulary")
@@ -212,7 +231,7 @@ QUERIES = {
     for f in (
         json_roundtrip, json_bad_lines, binary_scan, tsv_roundtrip, cluster_column,
         corpus_stats_json, user_parser, batched_writer, stream_word_count, stream_corpus_stats,
-        stream_tfidf, stream_upsert, stream_bad_lines, stream_extract, stream_files,
+        stream_changed_stats, stream_tfidf, stream_upsert, stream_bad_lines, stream_extract, stream_files,
     )
 }
 
@@ -233,6 +252,11 @@ UNION ALL SELECT '{{"term":"' || term || '","documents":' || documents || ',"cou
     "batched_writer": "SELECT count(*) AS rows, 0::BIGINT AS failed FROM customer",
     "stream_word_count": wd.ORACLES["word_count_by_doc"],
     "stream_corpus_stats": wd.ORACLES["corpus_stats"],
+    "stream_changed_stats": f"""WITH newest AS (
+  SELECT doc_id, lang, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN text ELSE
+    concat_ws(' ', 'draft', array_to_string(list_slice(string_split(text, ' '), 1, 40), ' '), lang) END AS text
+  FROM documents), {c.STATS.replace("FROM documents", "FROM newest")}
+SELECT term, documents, "count" FROM stats""",
     "stream_tfidf": f"WITH {c.TFIDF} SELECT doc_id, term, round(tfidf, 6) AS tfidf FROM scores",
     "stream_upsert": "SELECT doc_id, md5(text) AS text, lang, source, n_chars FROM documents",
     "stream_extract": f"WITH {pg.RECORDS} SELECT page_id, path, file, title, body, lang, error FROM records",

@@ -16,7 +16,7 @@ from corpusloom.plans import corpus as corpus_job
 from corpusloom.plans import train as train_job
 from corpusloom.sources import files as io
 from corpusloom.sources.tables import scan
-from corpusloom.streaming import flows
+from corpusloom.streaming import changing, flows
 
 INDEX = "doc_id bigint, a string, v int"
 
@@ -304,6 +304,32 @@ def test_stream_restart_neither_loses_nor_doubles(spark, tmp_path):
     assert rows_of(table.read(), "term") == rows_of(batch, "term")
 
 
+def test_changed_documents_take_their_counts_back(spark, tmp_path):
+    source, mark = str(tmp_path / "in"), str(tmp_path / "mark")
+    schema = "doc_id bigint, text string, lang string, version bigint, terms string"
+    table = ix.new_index(spark, "term", "term string, documents bigint, count bigint")
+    drops = [
+        [(1, "cat dog cat", "en", 1, "x"), (2, "dog", "en", 1, "x"), (3, "fish bird", "en", None, "x"), (None, "owl", "en", 1, "x")],
+        # a change with a repeat of the old version, a text taken away, a late older version, ties
+        [(1, "cat mouse", "en", 2, "x"), (1, "cat dog cat", "en", 1, "x"), (2, None, "en", 5, "x"), (3, "fish", "en", 0, "x"), (4, "ant", "en", 1, "x")],
+        [(2, "dog dog", "en", 4, "x"), (1, "cat mouse", "en", 2, "x"), (4, "bee", "en", 1, "x"), (4, "ant", "en", 1, "x"), (None, "owl owl", "en", 2, "x")],
+        [(5, "", "en", 1, "x"), (3, "fish tree tree", "en", 1, "x")],
+    ]
+    stats = []
+    for rows in drops:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(source)
+        changing.changing_stats(flows.json_stream(spark, source, schema), "version", table, mark)
+        stats.append({r.term: (r.documents, r["count"]) for r in changing.current_stats(table).collect()})
+    assert stats[0] == {"cat": (1, 2), "dog": (2, 2), "fish": (1, 1), "bird": (1, 1), "owl": (1, 1)}
+    assert stats[1] == {"cat": (1, 1), "mouse": (1, 1), "fish": (1, 1), "ant": (1, 1), "owl": (1, 1)}
+    assert stats[2] == {"cat": (1, 1), "mouse": (1, 1), "fish": (1, 1), "bee": (1, 1), "owl": (1, 2)}
+    assert stats[3] == {"cat": (1, 1), "mouse": (1, 1), "fish": (1, 1), "tree": (1, 2), "bee": (1, 1), "owl": (1, 2)}
+    # a batch that is run again after its commit adds nothing
+    again = spark.createDataFrame([("cat", 9, 9)], "term string, documents bigint, count bigint")
+    table.write(again, 0, writer=flows.writer_of(mark))
+    assert {r.term: (r.documents, r["count"]) for r in changing.current_stats(table).collect()} == stats[3]
+
+
 def test_limits_of_a_stream(spark, tmp_path):
     source = str(tmp_path / "in")
     for i in range(4):
