@@ -235,6 +235,18 @@ def page_two(spark, sf_dir):
     return hits.select("o_orderkey", "o_totalprice")
 
 
+def page_deep(spark, sf_dir):
+    """The eleventh page of 100, each page found from the last row of the one before."""
+    orders = c.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_totalprice")
+    request = SearchRequest(size=100, sort=(("o_orderdate", "desc"), ("o_totalprice", "asc")))
+    for _ in range(10):
+        rows = search(orders, request, "o_orderkey").hits.collect()
+        if not rows:
+            break
+        request = request.page_after(rows[-1], "o_orderkey")
+    return search(orders, request, "o_orderkey").hits
+
+
 def sort_field(spark, sf_dir):
     request = SearchRequest(text=F.col("lang") == "es", size=20).sorted_by("n_chars", "asc")
     return search(c.table(spark, sf_dir, "documents"), request).hits.select("doc_id", "n_chars")
@@ -331,7 +343,7 @@ QUERIES = {
         free_text_or, free_text_fields, wildcard, fuzzy, fuzzy_documents, fuzzy_documents_all, fuzzy_terms, phrase, two_field_or,
         query_elision, query_possessive,
         or_group, or_group_table, nested_any, nested_any_rows, exclude, multivalue,
-        predefined_filters, lone_or_compat, page_two, sort_field, fields_returned, highlight,
+        predefined_filters, lone_or_compat, page_two, page_deep, sort_field, fields_returned, highlight,
         geo_radius, geo_plane, spell_suggest, spell_indexed, spell_query, relevance_topk, search_hits_shown,
     )
 }
@@ -438,6 +450,8 @@ ORDER BY p_retailprice DESC, p_partkey LIMIT 50""",
     "lone_or_compat": """SELECT 'term' AS mode, count(*) AS total FROM customer WHERE c_mktsegment = 'BUILDING'
 UNION ALL SELECT 'match_all', count(*) FROM customer""",
     "page_two": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25 OFFSET 25",
+    "page_deep": """SELECT o_orderkey, o_orderdate, o_totalprice FROM orders
+ORDER BY o_orderdate DESC, o_totalprice, o_orderkey LIMIT 100 OFFSET 1000""",
     "sort_field": "SELECT doc_id, n_chars FROM documents WHERE lang = 'es' ORDER BY n_chars, doc_id LIMIT 20",
     "fields_returned": "SELECT doc_id, lang, source FROM documents",
     "highlight": f"""WITH cut AS (

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field, replace
+from functools import reduce
+from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from corpusloom.functions import match as m
@@ -28,7 +30,8 @@ class SearchRequest:
     """What a search page asks for.
 
     ``choices``, ``predefined`` and ``text`` narrow hits and facets. ``post``
-    narrows hits only. A chosen field whose facet has a ``where`` of its own
+    narrows hits only. ``after`` is the place (:func:`cursor_of`) the hits start behind;
+    ``start`` then counts from there. A chosen field whose facet has a ``where`` of its own
     applies that filter to the hits and to every facet; ``post`` then takes its
     place on the hits.
     """
@@ -43,28 +46,34 @@ class SearchRequest:
     size: int = 10
     fields: tuple[str, ...] = ()
     lone_or: str = "term"
+    after: tuple | None = None
 
     # --- changing a request: each returns a new one -------------------------
     def add(self, choice: Choice) -> SearchRequest:
-        return replace(self, choices=(*self.choices, choice), start=0)
+        return replace(self, choices=(*self.choices, choice), start=0, after=None)
 
     def remove(self, choice: Choice) -> SearchRequest:
         kept = tuple(ch for ch in self.choices if ch is not choice)
-        return replace(self, choices=kept, start=0)
+        return replace(self, choices=kept, start=0, after=None)
 
     def clear(self, field_name: str) -> SearchRequest:
         kept = tuple(ch for ch in self.choices if ch.field != field_name)
-        return replace(self, choices=kept, start=0)
+        return replace(self, choices=kept, start=0, after=None)
 
     def set(self, choice: Choice) -> SearchRequest:
         return self.clear(choice.field).add(choice)
 
     def sorted_by(self, field_name: str, order: str = "desc") -> SearchRequest:
-        return replace(self, sort=((field_name, order),), start=0)
+        return replace(self, sort=((field_name, order),), start=0, after=None)
 
     def next_page(self) -> SearchRequest:
         return replace(self, start=self.start + self.size)
 
+    def page_after(self, last: Row, key: str = "doc_id") -> SearchRequest:
+        """The page behind ``last``, the last hit seen, found by its values and not by counting.
+        Its row has to hold the sort fields and the key."""
+        return replace(self, start=0, after=cursor_of(last, self.sort, key))
+
     def previous_page(self) -> SearchRequest:
         return replace(self, start=max(0, self.start - self.size))
 
@@ -118,6 +127,57 @@ def page(
     return ordered(top, sort, key).offset(start) if start > 0 else top
 
 
+def cursor_of(last: Row, sort: Sequence[tuple[str, str]], key: str) -> tuple:
+    """The place of a row in the order of :func:`ordered`: its sort values and its key."""
+    return tuple(last[name] for name, _ in (*sort, (key, "asc")))
+
+
+def behind(cursor: tuple, sort: Sequence[tuple[str, str]], key: str) -> Column:
+    """Rows that come after ``cursor`` in the order of :func:`ordered`.
+
+    Nulls come first in ascending and last in descending order. The first field's bound
+    stands by itself too, so that a scan can skip row groups by it.
+    """
+    order = [*sort, (key, "asc")]
+
+    def after(name: str, way: str, value) -> Column:
+        column = F.col(name)
+        if way == "asc":
+            return column.isNotNull() if value is None else column > F.lit(value)
+        return F.lit(False) if value is None else (column < F.lit(value)) | column.isNull()
+
+    def same(name: str, value) -> Column:
+        return F.col(name).isNull() if value is None else F.col(name) == F.lit(value)
+
+    cases, tied = [], []
+    for (name, way), value in zip(order, cursor, strict=True):
+        cases.append(reduce(and_, [*tied, after(name, way, value)]))
+        tied.append(same(name, value))
+    (name, way), value = order[0], cursor[0]
+    return (same(name, value) | after(name, way, value)) & reduce(or_, cases)
+
+
+def page_after(
+    df: DataFrame, sort: Sequence[tuple[str, str]], key: str, cursor: tuple | None, size: int = 10
+) -> DataFrame:
+    """The ``size`` rows behind ``cursor`` (from the start if None): a condition and a top-k
+    over ``size`` rows, however deep the page is. ``key`` has to be unique, as in a keyed
+    table; of rows that share sort values and key only those of one page are seen."""
+    rest = df if cursor is None else df.where(behind(cursor, sort, key))
+    return ordered(rest, sort, key).limit(size)
+
+
+def deep_pages(df: DataFrame, sort: Sequence[tuple[str, str]], key: str, size: int = 1000) -> Iterator[list[Row]]:
+    """All pages one after the other, each a job of its own with at most ``size`` rows on
+    the driver; stop when enough was seen."""
+    cursor = None
+    while rows := page_after(df, sort, key, cursor, size).collect():
+        yield rows
+        if len(rows) < size:
+            return
+        cursor = cursor_of(rows[-1], sort, key)
+
+
 def search(df: DataFrame, request: SearchRequest, key: str = "doc_id") -> SearchResult:
     """Hits of one page, total hits and facet counts.
 
@@ -128,7 +188,12 @@ def search(df: DataFrame, request: SearchRequest, key: str = "doc_id") -> Search
     chosen = selected_facet_filter(request)
     post = request.post if request.post is not None else chosen
     hits = matching if post is None else matching.where(post)
-    wanted = page(hits, request.sort, key, request.start, request.size)
+    if request.after is None:
+        wanted = page(hits, request.sort, key, request.start, request.size)
+    else:
+        # a step on from a cursor is a few rows behind it, not behind the start
+        rest = hits.where(behind(request.after, request.sort, key))
+        wanted = page(rest, request.sort, key, request.start, request.size)
     if request.fields:
         wanted = wanted.select(*request.fields)
     counts = None

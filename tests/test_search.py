@@ -10,6 +10,7 @@ from corpusloom.functions import highlight as hl
 from corpusloom.functions import match as m
 from corpusloom.functions import text as tx
 from corpusloom.operators import relevance as rel
+from corpusloom.operators import search as sr
 from corpusloom.operators import words as ops
 from corpusloom.operators.facets import Facet, facet_date, facet_field, facet_range, facet_terms
 from corpusloom.operators.search import Choice, SearchRequest, page, search
@@ -218,3 +219,29 @@ def test_suggestions(spark):
     found = rel.suggest(stats, ["houze", "horse", "hoes", "zzz"])
     assert {r.word: r.suggestion for r in found.collect()} == {"houze": "house", "hoes": "horse"}
     assert rel.suggested_query(found, "Houze zzz horse").first()[0] == "house zzz horse"
+
+
+@pytest.mark.parametrize("sort", [(), (("a", "asc"),), (("a", "desc"),), (("a", "desc"), ("b", "asc")), (("b", "asc"), ("a", "desc"))])
+def test_pages_by_cursor_equal_pages_by_offset(spark, sort):
+    values = [None, 1.0, float("nan"), 2.0, 1.0]
+    rows = [(i, values[i % 5], [None, "x", "y"][i % 3]) for i in range(23)]
+    df = spark.createDataFrame(rows, "k int, a double, b string").repartition(3)
+    pages = list(sr.deep_pages(df, sort, "k", 4))
+    assert [len(p) for p in pages] == [4, 4, 4, 4, 4, 3]
+    assert [[r.k for r in p] for p in pages] == [[r.k for r in sr.page(df, sort, "k", 4 * n, 4).collect()] for n in range(6)]
+
+
+def test_cursor_reaches_the_scan_and_a_new_choice_starts_over(spark, tmp_path):
+    spark.range(1000).select(F.col("id").alias("doc_id"), (F.col("id") % 7).alias("n")).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    request = sr.SearchRequest(size=5, sort=(("n", "desc"),))
+    second = request.page_after(sr.search(df, request).hits.collect()[-1])
+    hits = sr.search(df, second).hits
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "LessThan(n,6)" in plan.split("PushedFilters")[1] and "GreaterThan(doc_id,34)" in plan.split("PushedFilters")[1]
+    assert [r.doc_id for r in hits.collect()] == [41, 48, 55, 62, 69]
+    assert [r.doc_id for r in sr.search(df, second.next_page()).hits.collect()] == [76, 83, 90, 97, 104]
+    assert sr.search(df, second).total.first().total == 1000
+    assert second.sorted_by("n", "asc").after is None
+    empty = df.where("doc_id < 0")
+    assert list(sr.deep_pages(empty, (), "doc_id")) == []
