@@ -85,6 +85,17 @@ def corpus_stats_json(spark, sf_dir):
     return io.corpus_stats_json(stats, ops.total_docs(terms))
 
 
+def line_pairs(spark, sf_dir):
+    """Two folders of text files, written in another number of parts, joined line by line."""
+    docs = c.table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("\t", "doc_id", "source").alias("line"))
+    vectors = c.table(spark, sf_dir, "embeddings").select("vec_id", F.concat_ws(" ", "label", "vec_id").alias("line"))
+    paths = []
+    for rows, key, parts in ((docs, "doc_id", 5), (vectors, "vec_id", 3)):
+        paths.append(work_path(spark, "lines"))
+        rows.repartitionByRange(parts, key).sortWithinPartitions(key).select("line").write.text(paths[-1])
+    return io.paired_lines(spark, *paths)
+
+
 def user_parser(spark, sf_dir):
     def parse(path: str, content: bytes) -> dict:
         html = content.decode("utf-8")
@@ -230,7 +241,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         json_roundtrip, json_bad_lines, binary_scan, tsv_roundtrip, cluster_column,
-        corpus_stats_json, user_parser, batched_writer, stream_word_count, stream_corpus_stats,
+        corpus_stats_json, line_pairs, user_parser, batched_writer, stream_word_count, stream_corpus_stats,
         stream_changed_stats, stream_tfidf, stream_upsert, stream_bad_lines, stream_extract, stream_files,
     )
 }
@@ -245,6 +256,10 @@ FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id""",
     "corpus_stats_json": f"""WITH {c.STATS}
 SELECT '{{"totalDocs":' || count(DISTINCT doc_id) || '}}' AS line FROM counts
 UNION ALL SELECT '{{"term":"' || term || '","documents":' || documents || ',"count":' || "count" || '}}' FROM stats""",
+    "line_pairs": """WITH l AS (
+  SELECT row_number() OVER (ORDER BY doc_id) AS position, concat_ws(chr(9), doc_id, source) AS "left" FROM documents),
+r AS (SELECT row_number() OVER (ORDER BY vec_id) AS position, concat_ws(' ', label, vec_id) AS "right" FROM embeddings)
+SELECT position, "left", "right" FROM l JOIN r USING (position)""",
     "user_parser": """SELECT url AS path, split_part(url, '/', -1) AS file,
   CASE WHEN contains(html, '</html>') THEN 'text/html' END AS content_type,
   CASE WHEN contains(html, '</html>') THEN regexp_extract(html, '<title>(.*?)</title>', 1) END AS title,

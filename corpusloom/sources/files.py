@@ -8,6 +8,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
+
+from corpusloom.session import small_side, stage
 
 JSON_GLOB = "*.[jJ][sS][oO][nN]"
 CORRUPT = "_corrupt_record"
@@ -161,3 +164,33 @@ def send_batches(
         yield pa.RecordBatch.from_arrays([*columns, pa.array([error], pa.string())], ["batches", "rows", "failed", "error"])
 
     return df.mapInArrow(run, "batches bigint, rows bigint, failed bigint, error string")
+
+
+def numbered_lines(spark: SparkSession, path: str, first: int = 1) -> DataFrame:
+    """``(position, line)`` of text files, counted on from one file to the next by path.
+
+    A file is read in splits, each in order by one task. What is counted is the lines per
+    split; a running sum over the splits, one row for each, gives every split its first
+    number, and a line adds its place in its split. The lines themselves are neither
+    sorted nor gathered. Empty lines count, an empty folder gives no rows. The files
+    must not change while they are read.
+    """
+    lines = spark.read.text(path).select(
+        F.col("value").alias("line"),
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_id"),
+    )
+    splits = lines.groupBy("_file", "_start").agg(F.count(F.lit(1)).alias("_lines"), F.min("_id").alias("_least"))
+    before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    begun = splits.withColumn("_before", F.coalesce(F.sum("_lines").over(before), F.lit(0))).drop("_lines")
+    placed = lines.join(small_side(stage(begun, "splits")), ["_file", "_start"])
+    return placed.select((F.col("_before") + F.col("_id") - F.col("_least") + first).alias("position"), "line")
+
+
+def paired_lines(spark: SparkSession, left: str, right: str) -> DataFrame:
+    """``(position, left, right)``: the lines of two texts that have the same number; the
+    longer one's rest goes."""
+    one = numbered_lines(spark, left).withColumnRenamed("line", "left")
+    other = numbered_lines(spark, right).withColumnRenamed("line", "right")
+    return one.join(other, "position")

@@ -338,3 +338,30 @@ def test_limits_of_a_stream(spark, tmp_path):
     stream = flows.json_stream(spark, source, "doc_id bigint, text string", 1)
     flows.each_batch(stream, lambda df, n: sizes.append(df.count()), str(tmp_path / "mark"), timeout=120)
     assert sizes == [1, 1, 1, 1]
+
+
+def test_lines_are_numbered_across_splits_and_files(spark, tmp_path):
+    want = {"b.txt": [f"line {i} " + "x" * (i % 50) for i in range(700)], "a.txt": ["", "alone", ""], "c.txt": ["end"]}
+    folder = tmp_path / "texts"
+    folder.mkdir()
+    for name, lines in want.items():
+        (folder / name).write_text("\n".join(lines) + "\n")
+    whole = [line for name in sorted(want) for line in want[name]]
+    size, cost = "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"
+    old = {key: spark.conf.get(key) for key in (size, cost)}
+    try:
+        spark.conf.set(size, "1000")
+        spark.conf.set(cost, "1")
+        numbered = io.numbered_lines(spark, str(folder))
+        assert spark.read.text(str(folder)).rdd.getNumPartitions() > 10
+        got = {r.position: r.line for r in numbered.collect()}
+    finally:
+        for key, value in old.items():
+            spark.conf.set(key, value)
+    assert got == dict(enumerate(whole, 1))
+    other = tmp_path / "other.txt"
+    other.write_text("one\ntwo")
+    pairs = sorted(tuple(r) for r in io.paired_lines(spark, str(folder), str(other)).collect())
+    assert pairs == [(1, "", "one"), (2, "alone", "two")]
+    (tmp_path / "none").mkdir()
+    assert io.numbered_lines(spark, str(tmp_path / "none")).count() == 0
