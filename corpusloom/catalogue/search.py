@@ -14,6 +14,7 @@ from corpusloom.functions import match as m
 from corpusloom.functions import text as tx
 from corpusloom.functions.rows import keep, once
 from corpusloom.operators import fuzzy as fz
+from corpusloom.operators import places
 from corpusloom.operators import relevance as rel
 from corpusloom.operators import words as ops
 from corpusloom.operators.records import drop_null_content, normalise_content
@@ -275,17 +276,24 @@ def _places(spark, sf_dir, table, key):
 
 
 def geo_radius(spark, sf_dir):
-    places = _places(spark, sf_dir, "customer", "c_custkey")
+    homes = _places(spark, sf_dir, "customer", "c_custkey")
     near = geo.within(F.col("lat"), F.col("lng"), 48.85, 2.35, 1500.0)
     km = geo.arc_distance(F.col("lat"), F.col("lng"), 48.85, 2.35)
-    return places.where(near).select("c_custkey", F.round(km, 4).alias("km"))
+    return homes.where(near).select("c_custkey", F.round(km, 4).alias("km"))
 
 
 def geo_plane(spark, sf_dir):
-    places = _places(spark, sf_dir, "supplier", "s_suppkey")
+    homes = _places(spark, sf_dir, "supplier", "s_suppkey")
     near = geo.within(F.col("lat"), F.col("lng"), 10.0, 20.0, 2500.0, "miles", "plane")
     miles = geo.plane_distance(F.col("lat"), F.col("lng"), 10.0, 20.0, "miles")
-    return places.where(near).select("s_suppkey", F.round(miles, 4).alias("miles"))
+    return homes.where(near).select("s_suppkey", F.round(miles, 4).alias("miles"))
+
+
+def geo_pairs(spark, sf_dir):
+    """Suppliers around every customer."""
+    customers, suppliers = _places(spark, sf_dir, "customer", "c_custkey"), _places(spark, sf_dir, "supplier", "s_suppkey")
+    found = places.within_radius(suppliers, customers, "s_suppkey", "c_custkey", 800.0)
+    return found.withColumn("distance", F.round("distance", 4))
 
 
 MISSPELT = "smal rign blu widgett gren"
@@ -344,7 +352,7 @@ QUERIES = {
         query_elision, query_possessive,
         or_group, or_group_table, nested_any, nested_any_rows, exclude, multivalue,
         predefined_filters, lone_or_compat, page_two, page_deep, sort_field, fields_returned, highlight,
-        geo_radius, geo_plane, spell_suggest, spell_indexed, spell_query, relevance_topk, search_hits_shown,
+        geo_radius, geo_plane, geo_pairs, spell_suggest, spell_indexed, spell_query, relevance_topk, search_hits_shown,
     )
 }
 
@@ -478,6 +486,12 @@ SELECT c_custkey, round({_ARC}, 4) AS km FROM g WHERE {_ARC} <= 1500""",
     "geo_plane": f"""WITH g AS (SELECT s_suppkey, ((s_suppkey * 37) % 180 - 90)::DOUBLE AS lat,
   ((s_suppkey * 91) % 360 - 180)::DOUBLE AS lng FROM supplier)
 SELECT s_suppkey, round({_PLANE}, 4) AS miles FROM g WHERE {_PLANE} <= 2500""",
+    "geo_pairs": """WITH a AS (SELECT c_custkey, ((c_custkey * 37) % 180 - 90)::DOUBLE AS lat0,
+  ((c_custkey * 91) % 360 - 180)::DOUBLE AS lng0 FROM customer),
+b AS (SELECT s_suppkey, ((s_suppkey * 37) % 180 - 90)::DOUBLE AS lat, ((s_suppkey * 91) % 360 - 180)::DOUBLE AS lng FROM supplier),
+pairs AS (SELECT c_custkey, s_suppkey, 2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(lat - lat0) / 2), 2)
+  + cos(radians(lat)) * cos(radians(lat0)) * pow(sin(radians(lng - lng0) / 2), 2)))) AS distance FROM a, b)
+SELECT c_custkey, s_suppkey, round(distance, 4) AS distance FROM pairs WHERE distance <= 800""",
     "spell_suggest": f"WITH {_PART_STATS} SELECT word, suggestion, distance, documents FROM found",
     "spell_indexed": f"""WITH {_DOC_STATS},
 near AS (

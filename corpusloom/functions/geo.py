@@ -21,6 +21,14 @@ def arc_distance(lat: Column, lng: Column, lat0: float, lng0: float, unit: str =
     return 2 * EARTH[unit] * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
 
 
+def haversine(lat: Column, lng: Column, lat0: Column, lng0: Column, unit: str = "km") -> Column:
+    """Great-circle distance between two places that are both columns."""
+    a = F.pow(F.sin(F.radians(lat - lat0) / 2), 2) + F.cos(F.radians(lat)) * F.cos(F.radians(lat0)) * F.pow(
+        F.sin(F.radians(lng - lng0) / 2), 2
+    )
+    return 2 * EARTH[unit] * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
+
+
 def degrees_east(lng: Column, lng0: float) -> Column:
     """Longitude difference between -180 and 180."""
     return F.pmod(lng - lng0 + 180, F.lit(360.0)) - 180

@@ -9,6 +9,7 @@ from corpusloom.functions import geo
 from corpusloom.functions import highlight as hl
 from corpusloom.functions import match as m
 from corpusloom.functions import text as tx
+from corpusloom.operators import places as pl
 from corpusloom.operators import relevance as rel
 from corpusloom.operators import search as sr
 from corpusloom.operators import words as ops
@@ -245,3 +246,22 @@ def test_cursor_reaches_the_scan_and_a_new_choice_starts_over(spark, tmp_path):
     assert second.sorted_by("n", "asc").after is None
     empty = df.where("doc_id < 0")
     assert list(sr.deep_pages(empty, (), "doc_id")) == []
+
+
+@pytest.mark.parametrize("radius", [0.0, 0.5, 60.0, 900.0, 7000.0, 30000.0])
+def test_places_around_many_centres(spark, radius):
+    spots = [(i, (i * 37.3) % 180 - 90, (i * 91.7) % 360 - 180) for i in range(300)]
+    spots += [(400 + i, lat, lng) for i, (lat, lng) in enumerate(
+        [(90.0, 0.0), (-90.0, 7.0), (89.9, 170.0), (0.0, 180.0), (0.0, -180.0), (0.001, 179.999), (45.0, 10.0), (45.0, 370.0), (45.004, 10.0)])]
+    odd = [(900, None, 1.0), (901, 1.0, None), (902, float("nan"), 1.0), (903, 1.0, float("nan"))]
+    left = spark.createDataFrame(spots + odd, "p int, lat double, lng double")
+    right = spark.createDataFrame([(k, a, b, "x") for k, a, b in spots[:300:7] + spots[300:] + odd], "c int, lat double, lng double, distance string")
+
+    def far(a, b, c, d):
+        a, b, c, d = map(math.radians, (a, b, c, d))
+        h = math.sin((a - c) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((b - d) / 2) ** 2
+        return 2 * 6371.0 * math.asin(math.sqrt(min(1.0, h)))
+
+    want = {(k, j) for k, a, b in spots[:300:7] + spots[300:] for j, c, d in spots if far(c, d, a, b) <= radius + 1e-6}
+    rows = pl.within_radius(left, right, "p", "c", radius + 1e-6).collect()
+    assert len(rows) == len(want) and {(r.c, r.p) for r in rows} == want
