@@ -114,8 +114,8 @@ class IndexTable:
     as they are, without an exchange. After ``fold_after`` open commits, a write folds them
     into new base files of just these buckets. A null key is a key like any other. Choose
     ``buckets`` so that one bucket's rows suit one task; it is fixed when the table is
-    made. The folder's file system has to refuse a rename onto an existing file, as HDFS
-    and local disks do.
+    made. The folder's file system has to refuse a rename onto an existing file, as HDFS does;
+    a local disk looks first and then renames, which suits one machine's tests.
     """
 
     def __init__(self, spark: SparkSession, path: str, key: str, schema: str, buckets: int = 16, fold_after: int = 8):
