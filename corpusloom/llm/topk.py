@@ -8,8 +8,10 @@ most vectors (a unit vector within the angle keeps close to the query in each of
 otherwise vectors are cut off by their own length. What remains is verified by exact
 integer products.
 
-Queries and buckets meet block by block, as joins of packed blocks; a block holds a
-bounded number of vectors, and only each query's best k of a block leave it.
+Queries with similar local thresholds form a block. Blocks and buckets that cannot meet are
+ruled out on a small table of both before anything is shuffled, and of a bucket only the vectors
+long enough for the block are sent. Blocks hold a bounded number of vectors, and only each
+query's best k of a block leave it.
 """
 
 from __future__ import annotations
@@ -123,6 +125,21 @@ def quantised(vectors: DataFrame, factor: int = 256) -> DataFrame:
     return rows.select(F.col("vec_id").cast("long").alias("vec_id"), scaled.alias("v"))
 
 
+def may_reach(length: str, need: str) -> Column:
+    """Whether a vector of this length can reach the score that asks for the length ``need``."""
+    return F.col(length) * (1 + 1e-9) >= F.col(need)
+
+
+def reachable(blocks: DataFrame, longest: DataFrame) -> DataFrame:
+    """``(dim, bucket, longest, block, need)``: the buckets that some query of a block needs.
+
+    ``blocks(dim, block, need)`` has the least length that its queries ask for, ``longest(dim,
+    bucket, longest)`` a bucket's greatest one. Both are small tables, one row for thousands of
+    vectors, so what cannot meet is settled before a vector is copied.
+    """
+    return blocks.join(few(longest), "dim").where(may_reach("longest", "need"))
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     """``query_id, rank, vec_id, score``: for every vector that meets ``is_query`` (a
     condition on vec_id) the ``k`` others with the highest inner products, ties to the
@@ -136,38 +153,48 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     ship(vectors.sparkSession)
     staging = Staging(vectors.sparkSession)
     once = vectors.groupBy("vec_id").agg(F.min("v").alias("v"))
-    length = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
-    once = staging.keep(once.withColumn("length", length), "vectors")
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
+    once = staging.keep(once.withColumn("length", length).withColumn("dim", F.size("v")), "vectors")
     total = once.count()
     n_buckets = max(1, -(-total // BUCKET))
-    buckets = once.repartitionByRange(n_buckets, F.size("v"), F.desc("length"), "vec_id")
-    buckets = staging.keep(buckets.select("vec_id", "v", F.spark_partition_id().alias("bucket")), "buckets")
-    queries = staging.keep(buckets.where(is_query).select("vec_id", "v"), "queries")
+    buckets = once.repartitionByRange(n_buckets, "dim", F.desc("length"), "vec_id")
+    buckets = staging.keep(buckets.withColumn("bucket", F.spark_partition_id()), "buckets")
+    queries = staging.keep(buckets.where(is_query).drop("bucket"), "queries")
     n_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    queries = queries.withColumn("block", (F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks))).cast("int"))
-    numbers = buckets.groupBy("bucket").agg(F.first(F.size("v")).alias("dim"))
-
-    def searched(rows: DataFrame, asked: DataFrame, held: DataFrame) -> DataFrame:
-        left = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-        # every block of queries meets every bucket
-        right = asked.crossJoin(few(held.select("bucket")))
-        return left.groupBy("bucket", "block").cogroup(right.groupBy("bucket", "block")).applyInPandas(
+    longest = buckets.groupBy("dim", "bucket").agg(F.max("length").alias("longest"))
+    longest = staging.keep(longest, "longest")
+
+    def searched(rows: DataFrame, asked: DataFrame, pairs: DataFrame) -> DataFrame:
+        """Each query's best of the buckets that ``pairs`` lists for its block."""
+        met = few(staging.keep(pairs, "pairs"))
+        left = rows.join(met, ["dim", "bucket"]).where(may_reach("length", "need"))
+        right = asked.withColumnRenamed("need", "own").join(met, ["dim", "block"]).where(may_reach("longest", "own"))
+        left = left.select("dim", "bucket", "block", "vec_id", "v")
+        right = right.select("dim", "bucket", "block", "vec_id", "v", "least")
+        key = ["dim", "bucket", "block"]
+        return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(
             _search(k), "query_id long, vec_id long, score long"
         )
 
-    first = numbers.groupBy("dim").agg(F.min("bucket").alias("bucket"))
+    # the longest vectors of each dimension, for every query
+    first = longest.groupBy("dim").agg(F.max_by("bucket", "longest").alias("bucket"), F.max("longest").alias("longest"))
     first = staging.keep(first, "first")
-    none = F.lit(None).cast("double").alias("least")
-    heads = staging.keep(
-        searched(buckets.join(few(first), "bucket", "left_semi"), queries.select("*", none), first), "heads"
-    )
+    any_length = F.lit(float("-inf"))
+    asked = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int"))
+    asked = asked.withColumn("least", F.lit(None).cast("double")).withColumn("need", any_length)
+    blocks = asked.groupBy("dim", "block").agg(F.min("need").alias("need"))
+    heads = staging.keep(searched(buckets, asked, blocks.join(few(first), "dim")), "heads")
+
+    # now every query has a score to reach, so a length that others need to reach it
     by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     least = heads.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") == k)
     least = least.select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("least"))
-    rest = searched(
-        buckets.join(few(first), "bucket", "left_anti"), queries.join(least, "vec_id", "left"),
-        staging.keep(numbers.join(few(first), "bucket", "left_anti"), "rest"),
-    )
+    need = F.when((F.col("least") > 0) & (F.col("length") > 0), F.col("least") / F.col("length")).otherwise(any_length)
+    asked = queries.join(least, "vec_id", "left").withColumn("need", need)
+    asked = asked.repartitionByRange(n_blocks, "dim", "need", "vec_id").withColumn("block", F.spark_partition_id())
+    asked = staging.keep(asked, "asked")
+    blocks = staging.keep(asked.groupBy("dim", "block").agg(F.min("need").alias("need")), "blocks")
+    rest = searched(buckets, asked, reachable(blocks, longest.join(few(first), ["dim", "bucket"], "left_anti")))
     ranked = heads.union(rest).withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
     found = staging.keep(ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"), "top")
     staging.only(found)

@@ -374,6 +374,33 @@ def test_top_k_pruning_is_exact():
         assert set(np.flatnonzero(scores >= least)) <= set(kept.tolist()) and len(kept) < 200
 
 
+def test_top_k_meets_only_buckets_that_can_win(spark, monkeypatch):
+    """Short vectors are far too short for any query: their buckets are in no pair, so never copied."""
+    monkeypatch.setattr(topk, "BUCKET", 32)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 4)
+    rng = np.random.default_rng(11)
+    rows = [(i, (rng.normal(size=6) * (100 if i < 40 else 0.5)).tolist()) for i in range(400)]
+    vectors = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    pairs = []
+    real = topk.reachable
+
+    def watched(blocks, longest):
+        found = real(blocks, longest)
+        pairs.append((found.count(), blocks.count() * longest.count()))
+        return found
+
+    monkeypatch.setattr(topk, "reachable", watched)
+    found = topk.top_k(vectors, F.col("vec_id") % 10 == 0, 5).collect()
+    whole = {i: np.floor(np.array(v) * 256).astype(int) for i, v in rows}
+    expected = set()
+    for q in range(0, 400, 10):
+        scored = sorted((-int(whole[q] @ p), i) for i, p in whole.items() if i != q)
+        expected |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:5])}
+    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in found} == expected
+    met, possible = pairs[0]
+    assert possible > 50 and met < possible / 4
+
+
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
