@@ -130,6 +130,22 @@ def may_reach(length: str, need: str) -> Column:
     return F.col(length) * (1 + 1e-9) >= F.col(need)
 
 
+def in_blocks(staging: Staging, rows: DataFrame, size: int, name: str, *order: Column) -> DataFrame:
+    """``rows`` (written) with the number ``name`` of their block: ``size`` rows each, in this order.
+
+    Ranges are sorted each by a task of its own, however many there are; a running sum over one
+    row for each tells the blocks where a range begins.
+    """
+    ranges = rows.repartitionByRange(max(1, -(-rows.count() // size)), *order)
+    ranges = staging.keep(ranges.withColumn("_range", F.spark_partition_id()), "ranges")
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"))
+    begin = sizes.select("_range", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_begin"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1 + F.col("_begin")
+    numbered = ranges.join(few(staging.keep(begin, "begin")), "_range").withColumn(name, F.floor(place / size).cast("int"))
+    return staging.keep(numbered.drop("_range", "_begin"), name)
+
+
 def reachable(blocks: DataFrame, longest: DataFrame) -> DataFrame:
     """``(dim, bucket, longest, block, need)``: the buckets that some query of a block needs.
 
@@ -155,10 +171,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     once = vectors.groupBy("vec_id").agg(F.min("v").alias("v"))
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
     once = staging.keep(once.withColumn("length", length).withColumn("dim", F.size("v")), "vectors")
-    total = once.count()
-    n_buckets = max(1, -(-total // BUCKET))
-    buckets = once.repartitionByRange(n_buckets, "dim", F.desc("length"), "vec_id")
-    buckets = staging.keep(buckets.withColumn("bucket", F.spark_partition_id()), "buckets")
+    buckets = in_blocks(staging, once, BUCKET, "bucket", F.col("dim"), F.desc("length"), F.col("vec_id"))
     queries = staging.keep(buckets.where(is_query).drop("bucket"), "queries")
     n_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     longest = buckets.groupBy("dim", "bucket").agg(F.max("length").alias("longest"))
@@ -191,8 +204,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     least = least.select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("least"))
     need = F.when((F.col("least") > 0) & (F.col("length") > 0), F.col("least") / F.col("length")).otherwise(any_length)
     asked = queries.join(least, "vec_id", "left").withColumn("need", need)
-    asked = asked.repartitionByRange(n_blocks, "dim", "need", "vec_id").withColumn("block", F.spark_partition_id())
-    asked = staging.keep(asked, "asked")
+    asked = in_blocks(staging, asked, QUERY_BLOCK, "block", F.col("dim"), F.col("need"), F.col("vec_id"))
     blocks = staging.keep(asked.groupBy("dim", "block").agg(F.min("need").alias("need")), "blocks")
     rest = searched(buckets, asked, reachable(blocks, longest.join(few(first), ["dim", "bucket"], "left_anti")))
     ranked = heads.union(rest).withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
