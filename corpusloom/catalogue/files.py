@@ -15,7 +15,8 @@ from corpusloom.operators import records as rec
 from corpusloom.operators import words as ops
 from corpusloom.session import stage, work_path
 from corpusloom.sources import files as io
-from corpusloom.streaming import changing, flows
+from corpusloom.sources import rolling
+from corpusloom.streaming import changing, flows, metrics
 
 DOCUMENT = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -27,6 +28,18 @@ def json_roundtrip(spark, sf_dir):
     return back.select("doc_id", "lang", "n_chars", F.md5("text").alias("digest"), F.col(io.CORRUPT).alias("bad"))
 
 
+def json_rolled(spark, sf_dir):
+    """Documents in files of at most ``limit`` bytes; ``fits`` looks at the file a row came from."""
+    path, limit = work_path(spark, "rolled"), 200_000
+    rolling.write_json_rolled(c.table(spark, sf_dir, "documents"), path, limit)
+    back = io.scan_json_lines(spark, path, DOCUMENT)
+    size, line = F.col("_metadata.file_size"), F.octet_length("text")
+    return back.select(
+        "doc_id", "lang", "n_chars", F.md5("text").alias("digest"),
+        ((size <= limit) | (line > limit / 2)).alias("fits"), F.col(io.CORRUPT).alias("bad"),
+    )
+
+
 def json_bad_lines(spark, sf_dir):
     turns = c.table(spark, sf_dir, "conversations")
     line = F.to_json(F.struct("conv_id", "role", "text"))
@@ -54,17 +67,14 @@ def tsv_roundtrip(spark, sf_dir):
     terms = ops.shared(ops.doc_terms(c.documents(spark, sf_dir)))
     vocab = ops.vocabulary_with_total(terms)
     path = work_path(spark, "matrix")
-    io.write_lines(ops.header_line(vocab).unionByName(ops.dense_lines(terms, vocab).select("line")), path)
+    matrix = ops.dense_lines(terms, vocab, digits=6).select("line")
+    io.write_lines(ops.header_line(vocab).unionByName(matrix), path)
     back = io.scan_tsv(spark, path)
+    tabs = F.length("cells") - F.length(F.replace("cells", F.lit("\t"), F.lit("")))
     return back.select(
         F.col("path").cast("bigint").alias("doc_id"),
-        (F.size(F.split("cells", "\t")) + 1).cast("bigint").alias("cells"),
-        F.md5(
-            F.concat_ws(
-                "\t", "path",
-                F.transform(F.split("cells", "\t"), lambda x: F.format_string("%.6f", x.cast("double"))),
-            )
-        ).alias("digest"),
+        (tabs + 2).cast("bigint").alias("cells"),
+        F.md5(F.concat_ws("\t", "path", "cells")).alias("digest"),
     )
 
 
@@ -225,6 +235,23 @@ def stream_extract(spark, sf_dir):
     return spark.read.schema(wanted.schema).parquet(out)
 
 
+def stream_metrics(spark, sf_dir):
+    """Totals of the table of metrics that was written while pages were extracted."""
+    pages = c.table(spark, sf_dir, "pages")
+    path, third = _dropped(spark, sf_dir, pages)
+    stream = flows.json_stream(spark, path, "page_id bigint, url string, html string", third)
+    records = metrics.watched(
+        rec.page_records(stream, "url", "html", "page_id"), "extract",
+        processed=F.count(F.lit(1)), errors=F.count_if(F.col("error").isNotNull()),
+        characters=F.sum(F.length("body")),
+    )
+    folder, out = work_path(spark, "metrics"), work_path(spark, "records")
+    with metrics.recorded(spark, "extract", folder) as listener:
+        query = flows.append_to(records.select("page_id", "body", "error"), out, flows.new_checkpoint(spark))
+        listener.wait(query.runId)
+    return metrics.totals(metrics.table(spark, folder)).select("metric", "total", (F.col("batches") > 1).alias("running"))
+
+
 def stream_files(spark, sf_dir):
     pages = c.table(spark, sf_dir, "pages")
     path, third = _dropped(spark, sf_dir, pages)
@@ -240,14 +267,16 @@ def stream_files(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        json_roundtrip, json_bad_lines, binary_scan, tsv_roundtrip, cluster_column,
+        json_roundtrip, json_rolled, json_bad_lines, binary_scan, tsv_roundtrip, cluster_column,
         corpus_stats_json, line_pairs, user_parser, batched_writer, stream_word_count, stream_corpus_stats,
-        stream_changed_stats, stream_tfidf, stream_upsert, stream_bad_lines, stream_extract, stream_files,
+        stream_changed_stats, stream_tfidf, stream_upsert, stream_bad_lines, stream_extract, stream_metrics, stream_files,
     )
 }
 
 ORACLES = {
     "json_roundtrip": "SELECT doc_id, lang, n_chars, md5(text) AS digest, NULL::VARCHAR AS bad FROM documents",
+    "json_rolled": """SELECT doc_id, lang, n_chars, md5(text) AS digest, true AS fits, NULL::VARCHAR AS bad
+FROM documents""",
     "json_bad_lines": "SELECT conv_id AS id, turn, role = 'assistant' AS bad FROM conversations",
     "binary_scan": "SELECT page_id, url FROM pages",
     "tsv_roundtrip": wd.ORACLES["tfidf_dense"],
@@ -275,6 +304,10 @@ SELECT term, documents, "count" FROM stats""",
     "stream_tfidf": f"WITH {c.TFIDF} SELECT doc_id, term, round(tfidf, 6) AS tfidf FROM scores",
     "stream_upsert": "SELECT doc_id, md5(text) AS text, lang, source, n_chars FROM documents",
     "stream_extract": f"WITH {pg.RECORDS} SELECT page_id, path, file, title, body, lang, error FROM records",
+    "stream_metrics": f"""WITH {pg.RECORDS}
+SELECT 'processed' AS metric, count(*) AS total, true AS running FROM records
+UNION ALL SELECT 'errors', count(error), true FROM records
+UNION ALL SELECT 'characters', coalesce(sum(length(body)), 0)::BIGINT, true FROM records""",
     "stream_bad_lines": """SELECT conv_id, CASE WHEN role = 'assistant' THEN 'no ' || turn ELSE turn::VARCHAR END AS turn
 FROM conversations""",
     "stream_files": "SELECT page_id, url, md5(html) AS html FROM pages",

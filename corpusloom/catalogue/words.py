@@ -36,15 +36,9 @@ def tfidf_sparse(spark, sf_dir):
 
 def tfidf_dense(spark, sf_dir):
     terms = ops.shared(_terms(spark, sf_dir))
-    lines = ops.dense_lines(terms, ops.vocabulary_with_total(terms))
-    # cells hold the whole number; only the comparison rounds
-    cells = F.split("line", "\t")
-    rounded = F.transform(F.slice(cells, F.lit(2), F.size(cells)), lambda x: F.format_string("%.6f", x.cast("double")))
-    return lines.select(
-        "doc_id",
-        F.size(cells).cast("bigint").alias("cells"),
-        F.md5(F.concat_ws("\t", F.get(cells, F.lit(0)), rounded)).alias("digest"),
-    )
+    lines = ops.dense_lines(terms, ops.vocabulary_with_total(terms), digits=6)
+    tabs = F.length("line") - F.length(F.replace("line", F.lit("\t"), F.lit("")))
+    return lines.select("doc_id", (tabs + 1).cast("bigint").alias("cells"), F.md5("line").alias("digest"))
 
 
 def tokenise_documents(spark, sf_dir):

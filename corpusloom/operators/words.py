@@ -225,9 +225,11 @@ def idf_natural(counts: DataFrame, total: DataFrame) -> DataFrame:
     )
 
 
-def dense_lines(terms: DataFrame, vocab: DataFrame, sep: str = "\t") -> DataFrame:
+def dense_lines(terms: DataFrame, vocab: DataFrame, sep: str = "\t", digits: int | None = None) -> DataFrame:
     """One text line per document, a cell for every vocabulary word.
 
+    Cells hold the whole number, or ``digits`` decimals of it.
+
     The cells stay sparse until the text is built: each entry carries its column
     number, and runs of empty cells are written with ``repeat``. Documents
     without any vocabulary word get a line of zeros. A line holds at most as many
@@ -246,6 +248,7 @@ def dense_lines(terms: DataFrame, vocab: DataFrame, sep: str = "\t") -> DataFram
     value = (
         F.col("n") / F.col("distinct_terms") * F.log10(F.col("total_docs") / F.col("documents"))
     )
+    shown = value.cast("string") if digits is None else F.format_string(f"%.{digits}f", value)
     cells = (
         entries.join(small_side(numbered), "term", "left")
         .groupBy("doc_id")
@@ -254,13 +257,13 @@ def dense_lines(terms: DataFrame, vocab: DataFrame, sep: str = "\t") -> DataFram
                 F.collect_list(
                     F.when(
                         F.col("column").isNotNull(),
-                        F.struct("column", value.cast("string").alias("cell")),
+                        F.struct("column", shown.alias("cell")),
                     )
                 )
             ).alias("cells")
         )
     )
-    zero = "0.0"
+    zero = "0.0" if digits is None else f"{0:.{digits}f}"
 
     def piece(entry: Column, i: Column) -> Column:
         before = F.coalesce(F.get("cells", i - 1)["column"], F.lit(0))
