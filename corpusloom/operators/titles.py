@@ -109,9 +109,9 @@ def median_font(spans: DataFrame) -> DataFrame:
     )
 
 
-def paragraph_stats(spans: DataFrame) -> DataFrame:
+def paragraph_stats(spans: DataFrame, *more: Column) -> DataFrame:
     """Per paragraph: largest font, whether half of it is bold, position of its
-    first span and length of its text."""
+    first span and length of its text, and ``more`` aggregates."""
     weight = glyphs(F.col("text"))
     bold = F.sum(F.when(is_bold(F.col("font_name")), weight).otherwise(0))
     return spans.groupBy("doc_id", "page", "paragraph").agg(
@@ -120,6 +120,7 @@ def paragraph_stats(spans: DataFrame) -> DataFrame:
         F.min_by("y", "pos").alias("y"),
         F.max("page_height").alias("page_height"),
         F.sum(F.length("text")).alias("length"),
+        *more,
     )
 
 
@@ -127,27 +128,19 @@ def title_candidates(spans: DataFrame, n: int = 3, min_length: int = 5) -> DataF
     """``(doc_id, titles)``: of the first page's paragraphs longer than
     ``min_length`` the ``n`` with the largest font, nearest to the middle first.
 
-    Ranking works on numbers only; text is gathered for the ``n`` winners.
+    A page's paragraphs are put together where they are measured, so the spans are cut
+    once, and what is ranked is one page of each document. Rows without doc_id are left out.
     """
-    first = spans.where(F.col("page") == 1)
+    first = spans.where((F.col("page") == 1) & F.col("doc_id").isNotNull())
     by_size = Window.partitionBy("doc_id").orderBy(F.desc("max_size"), F.asc("paragraph"))
+    pieces = F.sort_array(F.collect_list(F.struct("pos", "text")))
+    whole = F.array_join(F.transform(pieces, lambda p: p["text"]), "").alias("text")
     largest = (
-        paragraph_stats(first)
+        paragraph_stats(first, whole)
         .where(F.col("length") > min_length)
         .withColumn("rank", F.row_number().over(by_size))
         .where(F.col("rank") <= n)
-        .select(
-            "doc_id",
-            "paragraph",
-            F.abs(F.col("page_height") / 2 - F.col("y")).alias("distance"),
-            "rank",
-        )
-    )
-    pieces = F.sort_array(F.collect_list(F.struct("pos", "text")))
-    texts = (
-        first.join(largest, ["doc_id", "paragraph"])
-        .groupBy("doc_id", "paragraph", "distance", "rank")
-        .agg(F.array_join(F.transform(pieces, lambda p: p["text"]), "").alias("text"))
+        .select("doc_id", F.abs(F.col("page_height") / 2 - F.col("y")).alias("distance"), "rank", "text")
     )
     ordered = F.sort_array(F.collect_list(F.struct("distance", "rank", "text")))
-    return texts.groupBy("doc_id").agg(F.transform(ordered, lambda t: t["text"]).alias("titles"))
+    return largest.groupBy("doc_id").agg(F.transform(ordered, lambda t: t["text"]).alias("titles"))
