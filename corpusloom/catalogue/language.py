@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.catalogue import common as c
 from corpusloom.operators import language as lg
+from corpusloom.session import stage
 
 LANGUAGES = ("de", "en", "es", "fr")
 
@@ -20,7 +21,14 @@ def lang_detect(spark, sf_dir):
     return found.withColumn("score", F.round("score", 6))
 
 
-QUERIES = {f.__name__: f for f in (lang_profiles, lang_detect)}
+def lang_detect_row(spark, sf_dir):
+    docs = c.documents(spark, sf_dir)
+    profiles = stage(lg.hashed_profiles(docs), "profiles")
+    found = lg.detect_in_row(docs, profiles, LANGUAGES)
+    return found.withColumn("score", F.round("score", 6))
+
+
+QUERIES = {f.__name__: f for f in (lang_profiles, lang_detect, lang_detect_row)}
 
 _PROFILES = f"""chars AS (
   SELECT doc_id, lang, regexp_extract_all(
@@ -35,7 +43,20 @@ summed AS (
 profiles AS (
   SELECT lang, gram, n, sum(n) OVER (PARTITION BY lang)::BIGINT AS total FROM summed)"""
 
+_HASHED = f"(unicode(gram[1]) * {lg.FIRST} + unicode(gram[2]) * {lg.SECOND} + unicode(gram[3])) % {lg.BUCKETS}"
+
 ORACLES = {
+    "lang_detect_row": f"""WITH {_PROFILES},
+places AS (SELECT doc_id, lang, {_HASHED} AS bucket, n FROM counts),
+learned AS (SELECT lang, bucket, sum(n) AS n FROM places WHERE lang IN {c.in_list(LANGUAGES)} GROUP BY lang, bucket),
+wholes AS (SELECT lang, sum(n) AS total FROM learned GROUP BY lang),
+scores AS (
+  SELECT p.doc_id, w.lang, sum(p.n * ln((coalesce(l.n, 0) + 1) / (w.total + 1))) / sum(p.n) AS score
+  FROM places p CROSS JOIN wholes w LEFT JOIN learned l ON l.lang = w.lang AND l.bucket = p.bucket
+  GROUP BY p.doc_id, w.lang),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang) AS r FROM scores)
+SELECT d.doc_id, b.lang AS detected, round(b.score, 6) AS score
+FROM documents d LEFT JOIN best b ON b.doc_id = d.doc_id AND b.r = 1 WHERE d.text IS NOT NULL""",
     "lang_profiles": f"WITH {_PROFILES} SELECT lang, gram, n, total FROM profiles",
     "lang_detect": f"""WITH {_PROFILES},
 totals AS (SELECT DISTINCT lang, total FROM profiles),

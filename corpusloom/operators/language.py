@@ -104,3 +104,72 @@ def detect_language(
     return sums.select("doc_id", best.alias("best")).select(
         "doc_id", F.col("best.lang").alias("detected"), (-F.col("best.loss")).alias("score")
     )
+
+
+BUCKETS = 1 << 16
+# multipliers of a trigram's first two characters; with them two-character suffixes below U+0100 stay apart
+FIRST, SECOND = 40503, 257
+
+
+def hashed_trigrams(docs: DataFrame, text: str = "text", *keep: str) -> DataFrame:
+    """``keep`` and ``hashed``, the trigrams of the whole text as numbers below ``BUCKETS``.
+
+    A character's code is read once and used by three trigrams. Null texts are left out,
+    texts without letters have no trigrams.
+    """
+    letters = F.trim(F.regexp_replace(F.lower(F.col(text)), r"[^\p{L}]+", " "))
+    characters = F.split(F.concat(F.lit(" "), letters, F.lit(" ")), "")
+    codes = docs.where(F.col(text).isNotNull()).select(*keep, F.transform(characters, lambda x: F.ascii(x)).alias("codes"))
+    starts = F.when(F.size("codes") >= 3, F.sequence(F.lit(0), F.size("codes") - 3)).otherwise(F.array().cast("array<int>"))
+
+    def number(i: Column) -> Column:
+        first, second, third = (F.get("codes", i + k).cast("bigint") for k in range(3))
+        return ((first * FIRST + second * SECOND + third) % BUCKETS).cast("int")
+
+    return codes.select(*keep, F.transform(starts, number).alias("hashed"))
+
+
+def hashed_profiles(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """``(lang, bucket, n, total)`` of labelled documents; at most ``BUCKETS`` rows a language."""
+    rows = hashed_trigrams(docs.where(F.col(lang).isNotNull()), text, lang)
+    summed = (
+        # not a plain explode: its inferred filter would compute the characters once per trigram
+        rows.select(F.col(lang).alias("lang"), F.explode_outer("hashed").alias("bucket"))
+        .where(F.col("bucket").isNotNull())
+        .groupBy("lang", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    )
+    return summed.withColumn("total", F.sum("n").over(Window.partitionBy("lang")))
+
+
+def detect_in_row(
+    docs: DataFrame, profiles: DataFrame, languages: Sequence[str], doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """``(doc_id, detected, score)`` by a linear model: hashed trigrams times a weight per language.
+
+    ``profiles`` come from :func:`hashed_profiles`. The weights are those of :func:`detect_language`,
+    with trigrams told apart by their bucket only, and the score is their mean. They
+    are one array of ``BUCKETS`` numbers for each language, so a document is neither exploded
+    nor joined nor shuffled. Equal scores go to the first language code; documents without
+    letters and languages without a profile get null.
+    """
+    codes = sorted(languages)
+    weight = F.log((F.coalesce("n", F.lit(0)) + 1) / (F.col("total") + 1))
+
+    def weights(code: str) -> Column:
+        known = profiles.where(F.col("lang") == code)
+        total = known.agg(F.max("total").alias("total")).select("total").scalar()
+        every = known.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
+        row = every.join(known.select("bucket", "n"), "bucket", "left").withColumn("total", total)
+        ordered = F.sort_array(F.collect_list(F.struct("bucket", weight.alias("weight"))))
+        return row.agg(F.transform(ordered, lambda e: e["weight"]).alias("weights")).select("weights").scalar()
+
+    hashed = hashed_trigrams(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", "doc_id")
+    choices = []
+    for code in codes:
+        table = weights(code)
+        total = F.aggregate("hashed", F.lit(0.0), lambda s, x, table=table: s + F.get(table, x))
+        choices.append(F.struct((-F.try_divide(total, F.size("hashed"))).alias("loss"), F.lit(code).alias("lang")))
+    best = F.array_min(F.filter(F.array(*choices), lambda choice: choice["loss"].isNotNull()))
+    return hashed.select("doc_id", best.alias("best")).select(
+        "doc_id", F.col("best.lang").alias("detected"), (-F.col("best.loss")).alias("score")
+    )
