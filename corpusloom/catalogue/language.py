@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from corpusloom.catalogue import common as c
 from corpusloom.operators import language as lg
-from corpusloom.session import stage
 
 LANGUAGES = ("de", "en", "es", "fr")
 
@@ -23,8 +22,7 @@ def lang_detect(spark, sf_dir):
 
 def lang_detect_row(spark, sf_dir):
     docs = c.documents(spark, sf_dir)
-    profiles = stage(lg.hashed_profiles(docs), "profiles")
-    found = lg.detect_in_row(docs, profiles, LANGUAGES)
+    found = lg.detect_in_row(docs, lg.hashed_profiles(docs), LANGUAGES)
     return found.withColumn("score", F.round("score", 6))
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,9 +23,12 @@ def trigrams(text: Column) -> Column:
     yields every overlapping trigram; ``substring`` would scan from the start of
     the text for each of them.
     """
+    return F.regexp_extract_all(_padded(text), F.lit("(?s)(?=(...))."), F.lit(1))
+
+
+def _padded(text: Column) -> Column:
     letters = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}]+", " "))
-    padded = F.concat(F.lit(" "), letters, F.lit(" "))
-    return F.regexp_extract_all(padded, F.lit("(?s)(?=(...))."), F.lit(1))
+    return F.concat(F.lit(" "), letters, F.lit(" "))
 
 
 def language_profiles(
@@ -111,65 +117,75 @@ BUCKETS = 1 << 16
 FIRST, SECOND = 40503, 257
 
 
-def hashed_trigrams(docs: DataFrame, text: str = "text", *keep: str) -> DataFrame:
-    """``keep`` and ``hashed``, the trigrams of the whole text as numbers below ``BUCKETS``.
+def _buckets(padded: str) -> np.ndarray:
+    """The trigrams of one padded text as numbers below ``BUCKETS``."""
+    codes = np.frombuffer(padded.encode("utf-32-le"), np.uint32).astype(np.int64)
+    return (codes[:-2] * FIRST + codes[1:-1] * SECOND + codes[2:]) % BUCKETS
 
-    A character's code is read once and used by three trigrams. Null texts are left out,
-    texts without letters have no trigrams.
-    """
-    letters = F.trim(F.regexp_replace(F.lower(F.col(text)), r"[^\p{L}]+", " "))
-    characters = F.split(F.concat(F.lit(" "), letters, F.lit(" ")), "")
-    codes = docs.where(F.col(text).isNotNull()).select(*keep, F.transform(characters, lambda x: F.ascii(x)).alias("codes"))
-    starts = F.when(F.size("codes") >= 3, F.sequence(F.lit(0), F.size("codes") - 3)).otherwise(F.array().cast("array<int>"))
 
-    def number(i: Column) -> Column:
-        first, second, third = (F.get("codes", i + k).cast("bigint") for k in range(3))
-        return ((first * FIRST + second * SECOND + third) % BUCKETS).cast("int")
+def hashed_profiles(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """``(lang, bucket, n, total)`` of labelled documents; at most ``BUCKETS`` rows a language.
 
-    return codes.select(*keep, F.transform(starts, number).alias("hashed"))
+    A batch of texts is counted in one array per language before anything is shuffled.
+    Rows without a text or a label are left out, texts without letters add nothing.
+    """
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts: dict[str, np.ndarray] = {}
+            for code, padded in zip(batch["lang"].to_pylist(), batch["padded"].to_pylist()):
+                found = counts.setdefault(code, np.zeros(BUCKETS, np.int64))
+                found += np.bincount(_buckets(padded), minlength=BUCKETS)
+            for code, found in counts.items():
+                places = np.flatnonzero(found)
+                columns = [pa.array([code] * len(places), pa.string()), pa.array(places.astype(np.int32)), pa.array(found[places])]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "bucket", "n"])
 
-def hashed_profiles(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """``(lang, bucket, n, total)`` of labelled documents; at most ``BUCKETS`` rows a language."""
-    rows = hashed_trigrams(docs.where(F.col(lang).isNotNull()), text, lang)
-    summed = (
-        # not a plain explode: its inferred filter would compute the characters once per trigram
-        rows.select(F.col(lang).alias("lang"), F.explode_outer("hashed").alias("bucket"))
-        .where(F.col("bucket").isNotNull())
-        .groupBy("lang", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    )
+    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    rows = labelled.select(F.col(lang).alias("lang"), _padded(F.col(text)).alias("padded"))
+    summed = rows.mapInArrow(count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    # one row a bucket, so a language's window holds BUCKETS rows at most
     return summed.withColumn("total", F.sum("n").over(Window.partitionBy("lang")))
 
 
 def detect_in_row(
-    docs: DataFrame, profiles: DataFrame, languages: Sequence[str], doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame,
+    profiles: DataFrame,
+    languages: Sequence[str],
+    doc_id: str = "doc_id",
+    text: str = "text",
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """``(doc_id, detected, score)`` by a linear model: hashed trigrams times a weight per language.
+    """``(doc_id, detected, score)`` and ``keep`` by a linear model: hashed trigrams times a weight per language.
 
-    ``profiles`` come from :func:`hashed_profiles`. The weights are those of :func:`detect_language`,
-    with trigrams told apart by their bucket only, and the score is their mean. They
-    are one array of ``BUCKETS`` numbers for each language, so a document is neither exploded
-    nor joined nor shuffled. Equal scores go to the first language code; documents without
-    letters and languages without a profile get null.
+    ``profiles`` come from :func:`hashed_profiles` and are read when this is called. The weights are
+    those of :func:`detect_language`, with trigrams told apart by their bucket only, and the score is
+    their mean. They are ``BUCKETS`` numbers for each asked language, whatever the corpus, so a
+    document is neither exploded nor joined nor shuffled. Equal scores go to the first language code;
+    null texts are left out, and documents without letters and languages without a profile get null.
     """
-    codes = sorted(languages)
-    weight = F.log((F.coalesce("n", F.lit(0)) + 1) / (F.col("total") + 1))
-
-    def weights(code: str) -> Column:
-        known = profiles.where(F.col("lang") == code)
-        total = known.agg(F.max("total").alias("total")).select("total").scalar()
-        every = known.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
-        row = every.join(known.select("bucket", "n"), "bucket", "left").withColumn("total", total)
-        ordered = F.sort_array(F.collect_list(F.struct("bucket", weight.alias("weight"))))
-        return row.agg(F.transform(ordered, lambda e: e["weight"]).alias("weights")).select("weights").scalar()
-
-    hashed = hashed_trigrams(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", "doc_id")
-    choices = []
-    for code in codes:
-        table = weights(code)
-        total = F.aggregate("hashed", F.lit(0.0), lambda s, x, table=table: s + F.get(table, x))
-        choices.append(F.struct((-F.try_divide(total, F.size("hashed"))).alias("loss"), F.lit(code).alias("lang")))
-    best = F.array_min(F.filter(F.array(*choices), lambda choice: choice["loss"].isNotNull()))
-    return hashed.select("doc_id", best.alias("best")).select(
-        "doc_id", F.col("best.lang").alias("detected"), (-F.col("best.loss")).alias("score")
+    asked = profiles.where(F.col("lang").isin(list(languages))).select("lang", "bucket", "n", "total").toPandas()
+    codes = sorted(asked["lang"].unique())
+    weights = np.zeros((len(codes), BUCKETS))
+    for row, code in zip(weights, codes):
+        known = asked[asked["lang"] == code]
+        row[known["bucket"]] = known["n"]
+        row[:] = np.log((row + 1) / (known["total"].iloc[0] + 1))
+
+    def means(padded: str) -> np.ndarray | None:
+        buckets = _buckets(padded)
+        return weights[:, buckets].mean(axis=1) if len(buckets) else None
+
+    @F.pandas_udf("array<double>")
+    def scores(padded: pd.Series) -> pd.Series:
+        return padded.map(means)
+
+    rows = docs.where(F.col(text).isNotNull()).select(
+        F.col(doc_id).alias("doc_id"), *keep, scores(_padded(F.col(text))).alias("_scores")
+    )
+    choices = [F.struct((-F.get("_scores", F.lit(i))).alias("loss"), F.lit(code).alias("lang")) for i, code in enumerate(codes)]
+    none = F.lit(None).cast("struct<loss: double, lang: string>")
+    best = F.array_min(F.filter(F.array(*choices, none), lambda choice: choice["loss"].isNotNull()))
+    return rows.withColumn("_best", best).select(
+        "doc_id", F.col("_best.lang").alias("detected"), (-F.col("_best.loss")).alias("score"), *keep
     )

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.operators.language import detect_language
+from corpusloom.operators.language import detect_in_row, detect_language
 from corpusloom.plans import clustering as km
 from corpusloom.session import build_session, discard, stage
 from corpusloom.sources.tables import scan
@@ -25,14 +25,19 @@ def read_corpus(
     languages: Sequence[str] = ("en", "fr"),
 ) -> DataFrame:
     """``(doc_id, text, lang)`` without null texts. Given a profile table, the
-    language is detected; otherwise the table has to bring it."""
+    language is detected; otherwise the table has to bring it. With hashed profiles
+    (a ``bucket`` column) it is detected in the row, so texts are read once."""
     condition = F.col("text").isNotNull()
     if where:
         condition = condition & F.expr(where)
     if profiles is None:
         return scan(spark, path, ["doc_id", "text", "lang"], condition, "doc_id")
     docs = scan(spark, path, ["doc_id", "text"], condition, "doc_id")
-    found = detect_language(docs, spark.read.parquet(profiles), languages)
+    learned = spark.read.parquet(profiles)
+    if "bucket" in learned.columns:
+        found = detect_in_row(docs, learned, languages, keep=["text"])
+        return found.select("doc_id", "text", F.col("detected").alias("lang"))
+    found = detect_language(docs, learned, languages)
     return docs.join(found.select("doc_id", F.col("detected").alias("lang")), "doc_id")
 
 
@@ -40,7 +45,7 @@ def arguments(description: str) -> argparse.ArgumentParser:
     args = argparse.ArgumentParser(description=description)
     args.add_argument("--documents", required=True, help="parquet with doc_id, text and lang")
     args.add_argument("--where", help="SQL condition on the documents")
-    args.add_argument("--profiles", help="language profile table; detects the language")
+    args.add_argument("--profiles", help="language profile table, of trigrams or hashed; detects the language")
     args.add_argument("--languages", default="en,fr", help="codes the profiles cover")
     args.add_argument("--master")
     return args

@@ -10,10 +10,10 @@ from corpusloom.operators import words as ops
 from corpusloom.session import SCAN_PARTITIONS, planned_bytes, shared_folder, small_side, spread, stage, work_path
 
 QUERIES = catalogue.all_queries()
-PYTHON = {"train_assign", "wssse", "user_parser", "batched_writer"}
+PYTHON = {"train_assign", "wssse", "user_parser", "batched_writer", "lang_detect_row"}
 EAGER = {
     "train_assign", "wssse", "model_roundtrip", "train_predict_tf", "index_table_twice",
-    "json_roundtrip", "binary_scan", "tsv_roundtrip", "cluster_column",
+    "json_roundtrip", "binary_scan", "tsv_roundtrip", "cluster_column", "assign_tf", "train_apply_jobs",
 }
 
 

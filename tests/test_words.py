@@ -118,6 +118,45 @@ def test_language_on_held_out_rows(spark):
     assert got == {1: "en", 2: "fr", 3: "de", 4: None}
 
 
+def test_language_in_the_row(spark):
+    train = [
+        (1, "the house and the garden with the other thing", "en"),
+        (2, "la maison et le jardin avec les autres choses", "fr"),
+        (3, "das haus und der garten mit den anderen sachen", "de"),
+        (4, "nobody told", None), (5, None, "en"), (6, "", "fr"),
+    ]
+    docs = spark.createDataFrame(train, "doc_id bigint, text string, lang string")
+    profiles = lg.hashed_profiles(docs)
+    totals = {r.lang: (r.total, r.n) for r in profiles.groupBy("lang", "total").agg({"n": "sum"}).toDF("lang", "total", "n").collect()}
+    # a padded text has as many trigrams as letters and inner blanks
+    assert totals == {code: (len(text), len(text)) for _, text, code in train[:3]}
+    asked = spark.createDataFrame(
+        [(1, "the weather and the other house"), (1, "the weather and the other house"), (2, "le temps et les maisons"),
+         (3, "der andere garten"), (4, "12 34"), (5, None), (6, ""), (7, "the house " * 20_000), (8, "\u4e2d\U0001f600\U00020000")],
+        "doc_id bigint, text string",
+    ).withColumn("scores", F.lit("kept out"))
+    found = lg.detect_in_row(asked, profiles, ["fr", "de", "en", "xx"])
+    got = sorted((r.doc_id, r.detected) for r in found.collect())
+    assert [g for g in got if g[0] != 8] == [(1, "en"), (1, "en"), (2, "fr"), (3, "de"), (4, None), (6, None), (7, "en")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and "Generate" not in plan
+    none = lg.detect_in_row(asked, lg.hashed_profiles(docs.limit(0)), ["en"]).collect()
+    assert len(none) == 8 and not any(r.detected for r in none)
+
+
+def test_language_buckets_and_weights(spark):
+    """Against counts made with plain Python."""
+    text = "abc abcd"
+    grams = [f" {text} "[i : i + 3] for i in range(len(text))]
+    places = [(ord(g[0]) * lg.FIRST + ord(g[1]) * lg.SECOND + ord(g[2])) % lg.BUCKETS for g in grams]
+    docs = spark.createDataFrame([(1, text, "en"), (2, "abx", "en")], "doc_id bigint, text string, lang string")
+    profiles = lg.hashed_profiles(docs.where("doc_id = 1"))
+    counts = {r.bucket: r.n for r in profiles.collect()}
+    assert counts == {p: places.count(p) for p in places}
+    [row] = lg.detect_in_row(docs.where("doc_id = 1"), profiles, ["en"]).collect()
+    assert row.score == pytest.approx(sum(math.log((counts[p] + 1) / (len(text) + 1)) for p in places) / len(places))
+
+
 def test_one_document_with_most_tokens(spark):
     rows = [(i, "tiny word", "en") for i in range(50)] + [(99, "huge " * 50_000 + "word", "en")]
     terms = ops.doc_terms(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
