@@ -12,7 +12,7 @@ from corpusloom.functions import html as h
 from corpusloom.functions import match as m
 from corpusloom.operators import facets as fc
 from corpusloom.operators.facets import Facet, facet_field, facet_terms
-from corpusloom.operators.search import Choice, SearchRequest, search
+from corpusloom.operators.search import Choice, SearchRequest, search, search_once
 
 
 def _long(df):
@@ -64,6 +64,15 @@ def facet_options(spark, sf_dir):
     )
 
 
+def facet_ranked(spark, sf_dir):
+    """One pass over ``orders``: values with their place, and the null row of those without a label."""
+    orders = c.table(spark, sf_dir, "orders")
+    status = F.when(F.col("o_orderstatus") != "P", F.col("o_orderpriority")).alias("status")
+    dear = F.col("o_totalprice") > 150000
+    rows = orders.select(status, "o_totalprice")
+    return facet_field(rows, "status", dear, limit=3, offset=1, mincount=1, missing=True, ranked=True)
+
+
 def facet_zero_counts(spark, sf_dir):
     parts = c.table(spark, sf_dir, "part")
     return facet_field(parts, "p_brand", F.col("p_name") == "red widget", mincount=0, limit=None)
@@ -137,6 +146,19 @@ def facet_post_filter(spark, sf_dir):
     return totals[0].unionByName(totals[1])
 
 
+def search_answer(spark, sf_dir):
+    """Hits, total and facets of one request, from one pass over the texts."""
+    docs = c.table(spark, sf_dir, "documents", "doc_id", ["doc_id", "text", "lang", "source", "n_chars"])
+    request = SearchRequest(
+        text=m.text_query(F.col("text"), F.col("lang"), "that"), sort=(("n_chars", "desc"),), start=5, size=20,
+        facets=(Facet("lang"), Facet("source", size=4)), fields=("doc_id", "n_chars"),
+    )
+    found, _ = search_once(docs, request)
+    hits = found.hits.select(F.lit("hit").alias("part"), F.col("doc_id").cast("string").alias("value"), F.col("n_chars").alias("n"))
+    total = found.total.select(F.lit("total").alias("part"), F.lit("all").alias("value"), F.col("total").alias("n"))
+    return hits.unionAll(total).unionAll(found.facets.select("facet", "value", "n"))
+
+
 def total_hits(spark, sf_dir):
     docs = c.table(spark, sf_dir, "documents", "doc_id", ["doc_id", "text", "lang"])
     request = SearchRequest(text=m.text_query(F.col("text"), F.col("lang"), "that"), start=30)
@@ -148,7 +170,7 @@ QUERIES = {
     for f in (
         facets_multi, facet_text, facet_orders, facet_nested, facet_options, facet_zero_counts,
         facet_range, facet_range_hardend, facet_range_edge, facet_date, facet_date_years, facet_date_hours,
-        facet_scopes, facet_post_filter, total_hits,
+        facet_scopes, facet_post_filter, facet_ranked, search_answer, total_hits,
     )
 }
 
@@ -203,6 +225,13 @@ ORACLES = {
   ORDER BY p_brand LIMIT 6 OFFSET 2)
 UNION ALL
 SELECT 'quality', quality::VARCHAR, count(*) FROM documents LEFT JOIN labels USING (doc_id) GROUP BY quality""",
+    "facet_ranked": """WITH o AS (
+  SELECT CASE WHEN o_orderstatus <> 'P' THEN o_orderpriority END AS value FROM orders WHERE o_totalprice > 150000),
+r AS (
+  SELECT value, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, value) AS rank
+  FROM o WHERE value IS NOT NULL GROUP BY value)
+SELECT value, n, rank FROM r WHERE rank BETWEEN 2 AND 4
+UNION ALL SELECT NULL, count(*), NULL FROM o WHERE value IS NULL""",
     "facet_zero_counts": """SELECT p_brand AS value, count(*) FILTER (WHERE p_name = 'red widget') AS n
 FROM part GROUP BY p_brand""",
     "facet_range": _buckets_sql(
@@ -274,5 +303,11 @@ FROM part GROUP BY p_brand""",
     ),
     "facet_post_filter": f"""SELECT 'chosen' AS scope, count(*) AS total FROM orders WHERE {_CHOSEN}
 UNION ALL SELECT 'post', count(*) FROM orders WHERE o_orderstatus = 'F' AND o_totalprice < 200000""",
+    "search_answer": f"""WITH {c.TOKENS},
+d AS (SELECT * FROM documents WHERE doc_id IN (SELECT doc_id FROM tokens WHERE token = 'that'))
+SELECT * FROM (SELECT 'hit' AS part, doc_id::VARCHAR AS value, n_chars AS n FROM d ORDER BY n_chars DESC, doc_id LIMIT 20 OFFSET 5)
+UNION ALL SELECT 'total', 'all', count(*) FROM d
+UNION ALL SELECT facet, value, n FROM ({_facet_sql("lang", "lang", "d", _BY_COUNT, 10)})
+UNION ALL SELECT facet, value, n FROM ({_facet_sql("source", "source", "d", _BY_COUNT, 4)})""",
     "total_hits": f"""WITH {c.TOKENS} SELECT count(DISTINCT doc_id) AS total FROM tokens WHERE token = 'that'""",
 }

@@ -90,28 +90,45 @@ def facet_field(
     offset: int = 0,
     mincount: int = 0,
     missing: bool = False,
+    ranked: bool = False,
 ) -> DataFrame:
     """``(value, n)`` of one field with prefix, order, window and least count.
 
     ``mincount=0`` lists values of the whole table that the query does not reach,
-    with a count of zero. ``missing`` adds a null row, outside ``limit``.
+    with a count of zero; with more the query is a condition of the scan. ``missing`` adds
+    a null row, outside ``limit`` and last, from the same pass. ``ranked`` adds ``rank``, the
+    place in the order from 1 (null for the null row), which needs a ``limit``.
     """
+    if ranked and limit is None:
+        raise ValueError("a rank needs a limit")
     match = F.lit(True) if query is None else F.coalesce(query, F.lit(False))
-    value = F.col(field).cast("string")
-    counts = df.groupBy(value.alias("value")).agg(F.count_if(match).alias("n"))
-    listed = counts.where(F.col("value").isNotNull() & (F.col("n") >= mincount))
-    if prefix:
-        listed = listed.where(F.col("value").startswith(prefix))
+    value = F.col(field).cast("string").alias("value")
+    if mincount >= 1:
+        found = df if query is None else df.where(query)
+        rows = found.select(value, F.lit(1).alias("hit"))
+    else:
+        rows = df.select(value, match.cast("int").alias("hit"))
+    wanted = F.col("value").startswith(prefix) if prefix else F.col("value").isNotNull()
+    if missing:
+        # a row without a hit, so that there is a null row in any case
+        rows = rows.union(df.sparkSession.range(1).select(F.lit(None).cast("string"), F.lit(0)))
+        wanted = wanted | F.col("value").isNull()
+    counts = rows.where(wanted).groupBy("value").agg(F.sum("hit").alias("n"))
+    listed = counts.where((F.col("n") >= mincount) | F.col("value").isNull())
     keys = [F.desc("n"), F.asc("value")] if sort == "count" else [F.asc("value")]
-    listed = listed.orderBy(*keys)
-    if offset:
-        listed = listed.offset(offset)
+    if limit is None and not offset:
+        return listed.orderBy(F.col("value").isNull(), *keys)
+    # the rank limit cuts every task's part before the two groups, values and the null row, are ranked
+    order = Window.partitionBy(F.col("value").isNull()).orderBy(*keys)
+    placed = listed.withColumn("rank", F.row_number().over(order))
+    inside = F.lit(True) if limit is None else F.col("rank") <= offset + limit
+    inside = (inside & (F.col("rank") > offset)) | F.col("value").isNull()
     if limit is not None:
-        listed = listed.limit(limit)
-    if missing:
-        nulls = df.where(F.col(field).isNull()).agg(F.count_if(match).alias("n"))
-        listed = listed.unionByName(nulls.select(F.lit(None).cast("string").alias("value"), "n"))
-    return listed
+        placed = placed.where(F.col("rank") <= max(offset + limit, 1))
+    placed = placed.where(inside).orderBy(F.col("value").isNull(), *keys)
+    if not ranked:
+        return placed.select("value", "n")
+    return placed.select("value", "n", F.when(F.col("value").isNotNull(), F.col("rank").cast("bigint")).alias("rank"))
 
 
 # --- buckets ------------------------------------------------------------------

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import match as m
 from corpusloom.functions.rows import keep
 from corpusloom.operators.facets import Facet, facet_terms
+from corpusloom.session import stage
 
 
 @dataclass(frozen=True)
@@ -181,10 +182,24 @@ def deep_pages(df: DataFrame, sort: Sequence[tuple[str, str]], key: str, size: i
 def search(df: DataFrame, request: SearchRequest, key: str = "doc_id") -> SearchResult:
     """Hits of one page, total hits and facet counts.
 
-    The three results are separate plans over one filtered table; ``persist`` the
-    input when several of them are wanted from an expensive source.
+    The three results are separate plans over one filtered table; :func:`search_once`
+    matches once when several of them are wanted.
     """
-    matching = matching_rows(df, request)
+    return _results(matching_rows(df, request), request, key)
+
+
+def search_once(df: DataFrame, request: SearchRequest, key: str = "doc_id") -> tuple[SearchResult, DataFrame]:
+    """The results of :func:`search` and the rows that match, written once to the shared folder.
+
+    Choices, filters and text are tested in one pass over ``df``; hits, total and facets read
+    what it kept. ``df`` should hold only the columns that these need. Call
+    :func:`corpusloom.session.discard` on the second value when all results were read.
+    """
+    matching = stage(matching_rows(df, request), "matching")
+    return _results(matching, request, key), matching
+
+
+def _results(matching: DataFrame, request: SearchRequest, key: str) -> SearchResult:
     chosen = selected_facet_filter(request)
     post = request.post if request.post is not None else chosen
     hits = matching if post is None else matching.where(post)

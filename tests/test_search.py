@@ -147,6 +147,37 @@ def test_facet_field_options(docs):
     assert rows(prefix="bl", missing=True) == [("blog", 2), (None, 1)]
 
 
+def test_facet_field_in_one_pass(spark, docs, tmp_path):
+    rows = lambda **k: [tuple(r) for r in facet_field(docs, "source", **k).collect()]
+    assert rows(ranked=True, missing=True) == [("blog", 2, 1), ("news", 2, 2), (None, 1, None)]
+    assert rows(ranked=True, limit=1, offset=1, query=F.col("n") < 35, mincount=1, missing=True) == [("blog", 1, 2), (None, 0, None)]
+    assert rows(limit=0, missing=True) == [(None, 1)] and rows(limit=None, missing=True)[-1] == (None, 1)
+    assert rows(limit=None, offset=1) == [("news", 2)] and rows(query=F.col("n") > 99, mincount=1) == []
+    with pytest.raises(ValueError):
+        facet_field(docs, "source", limit=None, ranked=True)
+    docs.write.parquet(str(tmp_path / "docs"))
+    stored = spark.read.parquet(str(tmp_path / "docs"))
+    text = facet_field(stored, "source", F.col("n") > 15, mincount=1, missing=True)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(n,15)" in text and text.count("FileScan") == 1
+    assert "GreaterThan(n,15)" not in facet_field(stored, "source", F.col("n") > 15)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_search_once_matches_once(docs):
+    request = SearchRequest(
+        text=m.text_query(F.col("text"), F.lit("en"), "quick"), sort=(("n", "desc"),), start=1, size=2,
+        facets=(Facet("source"), Facet("tags", kind="array")), post=F.col("n") < 50,
+    )
+    plain, (once, kept) = search(docs, request), sr.search_once(docs, request)
+    assert [r.doc_id for r in once.hits.collect()] == [r.doc_id for r in plain.hits.collect()] == [2, 1]
+    assert once.total.first().total == plain.total.first().total == 3
+    assert sorted(map(tuple, once.facets.collect())) == sorted(map(tuple, plain.facets.collect()))
+    assert ids(kept) == [1, 2, 3, 5]
+    for part in (once.hits, once.total, once.facets):
+        assert "quick" not in part._jdf.queryExecution().optimizedPlan().toString()
+    none, _ = sr.search_once(docs.limit(0), request)
+    assert none.total.first().total == 0 and not none.hits.collect() and not none.facets.collect()
+
+
 def test_facet_range_counts_by_brute_force(spark):
     values = [0.0, 5.0, 10.0, 15.0, 20.0, 24.0, 25.0, 30.0, 31.0, -1.0]
     frame = spark.createDataFrame([(v,) for v in values] + [(None,)], "x double")
