@@ -9,8 +9,10 @@ from corpusloom.catalogue import common as c
 from corpusloom.functions import text as tx
 from corpusloom.operators import clusters as cl
 from corpusloom.operators import index as ix
+from corpusloom.plans import apply as apply_job
 from corpusloom.plans import clustering as km
-from corpusloom.session import stage, work_path
+from corpusloom.plans import train as train_job
+from corpusloom.session import small_side, stage, work_path
 
 CLUSTERS = 8
 BATCH_TIME = "2024-05-01 12:00:00"
@@ -199,12 +201,74 @@ def train_predict_tf(spark, sf_dir):
     return found.select("doc_id", (F.col("own") <= F.col("nearest") * (1 + 1e-9)).alias("nearest"))
 
 
+def hashed_counts(spark, sf_dir):
+    """A document's hashed vector holds all its tokens, each where the word alone is put."""
+    tokens = _tokens(spark, sf_dir)
+    hashing = km.clustering_stages(CLUSTERS).getStages()[0]
+    words = tokens.select("doc_id", F.explode("tokens").alias("word"))
+    alone = hashing.transform(words.select("word").distinct().withColumn("tokens", F.array("word")))
+    places = alone.select("word", F.array_position(vector_to_array("tf"), F.lit(1.0)).alias("place"))
+    plain = words.join(places, "word").groupBy("doc_id", "place").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    plain = plain.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("place", "n"))).alias("plain"), F.sum("n").alias("tokens"))
+    cells = F.arrays_zip(F.sequence(F.lit(1).cast("bigint"), F.lit(km.FEATURES).cast("bigint")).alias("place"), vector_to_array("tf").alias("n"))
+    hashed = hashing.transform(tokens).select("doc_id", F.filter(cells, lambda e: e["n"] > 0).alias("cells"))
+    return hashed.join(plain, "doc_id").select(
+        "doc_id", F.col("tokens").cast("bigint").alias("tokens"), (F.col("cells") == F.col("plain")).alias("same")
+    )
+
+
+def assign_tf(spark, sf_dir):
+    """Clusters of raw term counts against distances summed from words and centres as plain rows."""
+    tokens = _tokens(spark, sf_dir)
+    model = km.train(tokens, CLUSTERS)
+    hashing, _, kmeans = model.stages
+    # one row a feature, whatever the corpus
+    centres = spark.createDataFrame(
+        [(i, [float(x) for x in values]) for i, values in enumerate(zip(*kmeans.clusterCenters()))], "place long, centre array<double>"
+    )
+    lengths = [float((centre**2).sum()) for centre in kmeans.clusterCenters()]
+    entries = hashing.transform(tokens).select(
+        "doc_id", F.posexplode(vector_to_array("tf")).alias("place", "n")
+    ).where(F.col("n") > 0)
+    products = [F.sum(F.col("n") * F.get("centre", F.lit(k))) for k in range(len(lengths))]
+    sums = entries.join(small_side(centres), "place").groupBy("doc_id").agg(
+        F.array(*[F.lit(length) - 2 * product for length, product in zip(lengths, products)]).alias("far")
+    )
+    found = km.assign(model, tokens, "tf").select("doc_id", "cluster").join(sums, "doc_id")
+    return found.select("doc_id", (F.get("far", "cluster") <= F.array_min("far") + 1e-6).alias("nearest"))
+
+
+def train_apply_jobs(spark, sf_dir):
+    """The two jobs on ``documents``: every document with tokens is placed once, and the listed
+    words are the commonest of each cluster, counted again from the placed documents."""
+    documents, model = f"{sf_dir}/documents.parquet", work_path(spark, "model")
+    placed, listed = work_path(spark, "placed"), work_path(spark, "listed")
+    train_job.main(["--documents", documents, "-o", model, "-n", str(CLUSTERS)])
+    apply_job.main(["--documents", documents, "-i", model, "--output1", placed, "--output2", listed, "--top", "5"])
+    cells = F.split("value", "\t")
+    found = spark.read.text(placed).select(cells[0].cast("int").alias("cluster"), cells[1].cast("bigint").alias("doc_id"))
+    words = spark.read.text(listed).select(
+        cells[0].cast("int").alias("cluster"), F.explode(F.slice(cells, 2, 5)).alias("listed")
+    )
+    tokens = km.document_tokens(c.documents(spark, sf_dir)).select("doc_id", F.explode("tokens").alias("word"))
+    counts = tokens.join(found, "doc_id").groupBy("cluster", "word").agg(F.count(F.lit(1)).alias("n"))
+    tops = counts.groupBy("cluster").agg(F.max("n").alias("most"))
+    right = words.withColumn("n", F.regexp_extract("listed", ":(\\d+)$", 1).cast("bigint")).groupBy("cluster").agg(
+        F.max("n").alias("listed"), F.count(F.lit(1)).alias("words")
+    )
+    same = tops.join(right, "cluster").select("cluster", ((F.col("most") == F.col("listed")) & (F.col("words") <= 5)).alias("same"))
+    return found.join(same, "cluster", "left").select(
+        "doc_id", F.col("cluster").between(0, CLUSTERS - 1).alias("placed"), F.coalesce("same", F.lit(False)).alias("commonest")
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         index_upsert, index_table_twice, index_field_delta, index_folded, index_partial_update, index_update_existing,
         index_stamped, positional_join, cluster_words, top_words, top_words_lines,
         assigned_words, assignment_lines, nearest_centre, train_assign, wssse, model_roundtrip, train_predict_tf,
+        hashed_counts, assign_tf, train_apply_jobs,
     )
 }
 
@@ -262,4 +326,7 @@ SELECT vec_id, label::BIGINT AS label, round(d, 6) AS distance FROM best WHERE r
     "wssse": "SELECT true AS sum_of_nearest, true AS not_above_training, true AS same_in_columns",
     "model_roundtrip": f"WITH {_WITH_TOKENS} SELECT count(*) AS docs, 0::BIGINT AS differences FROM with_tokens",
     "train_predict_tf": f"WITH {_WITH_TOKENS} SELECT doc_id, true AS nearest FROM with_tokens",
+    "assign_tf": f"WITH {_WITH_TOKENS} SELECT doc_id, true AS nearest FROM with_tokens",
+    "hashed_counts": f"WITH {c.COUNTS} SELECT doc_id, sum(n)::BIGINT AS tokens, true AS same FROM counts GROUP BY doc_id",
+    "train_apply_jobs": f"WITH {_WITH_TOKENS} SELECT doc_id, true AS placed, true AS commonest FROM with_tokens",
 }

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from corpusloom.functions import text as tx
 from corpusloom.functions.rows import expand
 from corpusloom.operators.words import TokenRule
-from corpusloom.session import small_side
+from corpusloom.session import BROADCAST_BYTES, planned_bytes
 
 TOP_WORDS = 50
 
@@ -86,18 +86,26 @@ def squared_distance(a: Column, b: Column) -> Column:
 
 
 def nearest_centre(
-    vectors: DataFrame, centres: DataFrame, key: str, vector: str, group: str
+    vectors: DataFrame, centres: DataFrame, key: str, vector: str, group: str, parts: int | None = None
 ) -> DataFrame:
     """``(key, group, distance)`` of the closest centre; ties go to the lowest.
 
     Every vector meets every centre of its dimension, which is the task; the centres
-    are broadcast where their size allows. Keys are unique: a task keeps one row per key, so
+    are broadcast where their size allows. Beyond that, or with ``parts``, vectors are dealt
+    to so many parts (the shuffle partitions by default) and each part gets its copy of the
+    centres, as a dimension is one key only. Keys are unique: a task keeps one row per key, so
     that the pairs are folded where they are made.
     """
     prepared = vectors.select(key, F.col(vector).cast("array<double>").alias("_vector"))
     prepared = prepared.withColumn("_size", F.size("_vector"))
     sides = centres.select(F.col(group).alias("_group"), F.col("centre").alias("_centre"), F.size("centre").alias("_size"))
     distance = squared_distance(F.col("_vector"), F.col("_centre"))
-    pairs = prepared.join(small_side(sides), "_size")
+    if parts is None and planned_bytes(sides) <= BROADCAST_BYTES:
+        pairs = prepared.join(F.broadcast(sides), "_size")
+    else:
+        parts = parts or int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = prepared.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
+        copies = sides.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        pairs = dealt.join(copies, ["_size", "_part"])
     near = pairs.groupBy(key).agg(F.min(F.struct(distance.alias("distance"), F.col("_group").alias("group"))).alias("near"))
     return near.select(key, F.col("near.group").alias(group), F.col("near.distance").alias("distance"))

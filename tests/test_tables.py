@@ -182,6 +182,18 @@ def test_nearest_centre_takes_the_lowest_of_equals(spark):
     assert cl.nearest_centre(vectors, twice, "id", "v", "g").first().g == -1
 
 
+def test_nearest_centre_in_parts(spark):
+    """Dealt vectors find the same centres, and no part holds all vectors of the one dimension."""
+    vectors = spark.range(200).select("id", F.array(F.cos("id"), F.sin(F.col("id") * 3)).alias("v"))
+    odd = spark.createDataFrame([(900, None), (901, [1.0]), (902, [0.0, None])], "id bigint, v array<double>")
+    centres = spark.range(9).select(F.col("id").alias("g"), F.array(F.sin("id"), F.cos("id")).alias("centre"))
+    rows = vectors.union(odd)
+    whole, dealt = (cl.nearest_centre(rows, centres, "id", "v", "g", parts) for parts in (None, 7))
+    assert sorted(map(tuple, dealt.collect()), key=str) == sorted(map(tuple, whole.collect()), key=str)
+    plan = dealt._jdf.queryExecution().optimizedPlan().toString()
+    assert "_part" in plan and "_part" not in whole._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.fixture(scope="module")
 def corpus(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("corpus") / "docs")
@@ -205,7 +217,7 @@ def test_train_and_apply_jobs(spark, corpus, tmp_path):
 
 
 def test_job_detects_language(spark, corpus, tmp_path):
-    from corpusloom.operators.language import language_profiles
+    from corpusloom.operators.language import hashed_profiles, language_profiles
 
     rows = [(1, "the house and the garden", "en"), (2, "la maison et le jardin", "fr")]
     train = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
@@ -213,6 +225,11 @@ def test_job_detects_language(spark, corpus, tmp_path):
     language_profiles(train).write.parquet(profiles)
     docs = train_job.read_corpus(spark, corpus, "doc_id < 5", profiles)
     assert docs.count() == 5 and {r.lang for r in docs.collect()} <= {"en", "fr"}
+    hashed = str(tmp_path / "hashed")
+    hashed_profiles(train).write.parquet(hashed)
+    again = train_job.read_corpus(spark, corpus, "doc_id < 5", hashed)
+    assert again.columns == ["doc_id", "text", "lang"] and sorted(again.collect()) == sorted(docs.collect())
+    assert "Join" not in again._jdf.queryExecution().executedPlan().toString()
 
 
 def test_corpus_job(spark, corpus, tmp_path):
