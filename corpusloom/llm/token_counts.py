@@ -9,9 +9,10 @@ to one next state and emits the change of the count. States are compiled when th
 first reached.
 
 A word starts in the start state, so the map of a chunk that begins with a word is a
-constant: its count. Words of more than ``CHUNK`` characters are cut into chunks whose
-maps, from each state they are entered in, are kept for the chunks that recur; the state
-at a chunk's end enters the next. The counts of texts come from a prefix sum over words.
+constant: its count. Words of more than ``CHUNK`` characters are cut into chunks, whose
+maps from entry state to exit state and count are tabulated for the states they are reached
+in and composed through a parallel prefix scan. The counts of texts come from another
+prefix sum over words.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from corpusloom.llm.staging import ship
 CHUNK = 48
 BLOCK_CHARS = 2 << 20
 MOST_STEPS = 400_000
+#: rounds in which entry states of chunks are looked for; more only make maps larger
+ROUNDS = 3
 START = ((0, -1, 0),)
 
 
@@ -65,7 +68,6 @@ class Transducer:
         self.states = [START]
         self.numbers = {START: 0}
         self.steps: dict[int, int] = {}  # (state, symbol) to next state * 64 + change + 32
-        self.chunks: dict[tuple[int, bytes], tuple[int, int]] = {}
 
     def _is_stable(self, left: int, right: int) -> bool:
         """Whether two pieces side by side are the encoding of their text; ``left`` is
@@ -111,26 +113,84 @@ class Transducer:
             found = self._compile(key // self.model.size, key % self.model.size)
         return found
 
-    def _run_long(self, symbols: np.ndarray) -> int:
-        """The count of a long word: its chunks' maps, composed from left to right."""
-        state = count = 0
-        for low in range(0, len(symbols), CHUNK):
-            chunk = symbols[low : low + CHUNK]
-            key = state, chunk.tobytes()
-            found = self.chunks.get(key)
-            if found is None:
-                change = 0
-                for symbol in chunk.tolist():
-                    step = self._step(state * self.model.size + symbol)
-                    state, change = step >> 6, change + (step & 63) - 32
-                found = state, change
-                if len(self.chunks) < MOST_STEPS // 4:
-                    self.chunks[key] = found
-            state, count = found[0], count + found[1]
+    def _read(
+        self, symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray, entries: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """The state behind each span and the change of the count in it, from the state it is
+        entered in; all spans read their n-th character at once."""
+        state, change = entries.copy(), np.zeros(len(starts), np.int64)
+        active = np.argsort(-sizes, kind="stable")
+        left = sizes[active]
+        place = 0
+        while going := int(np.searchsorted(-left, -place, side="left")):
+            active, left = active[:going], left[:going]
+            keys, back = np.unique(
+                state[active] * self.model.size + symbols[starts[active] + place], return_inverse=True
+            )
+            moves = np.array([self._step(k) for k in keys.tolist()], np.int64)[back]
+            state[active] = moves >> 6
+            change[active] += (moves & 63) - 32
+            place += 1
+        return state, change
+
+    def _long(self, symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Tokens of long words: maps of all chunks at once, composed by a prefix scan.
+
+        A chunk's map has a row for the start state and for each state in which it is entered
+        behind such a row, found in ``ROUNDS`` rounds: automata like this one forget where
+        they began, so these nearly always hold the state that the word brings. The scan
+        links a row with the one it leads to in the next chunk and doubles the links, so that
+        each row knows the last one it leads to and the sum on the way. A state that no row
+        has is carried chunk by chunk up to one that has.
+        """
+        pieces = -(-sizes // CHUNK)
+        behind = np.cumsum(pieces)
+        word = np.repeat(np.arange(len(sizes)), pieces)
+        chunk = np.arange(len(word))
+        low = starts[word] + (chunk - (behind - pieces)[word]) * CHUNK
+        length = np.minimum(CHUNK, (starts + sizes)[word] - low)
+        final = np.zeros(len(chunk), bool)
+        final[behind - 1] = True
+        # rows of the maps, each by chunk and entry state
+        rows = exits = changes = np.empty(0, np.int64)
+        fresh = chunk << 32
+        for _ in range(ROUNDS):
+            state, change = self._read(symbols, low[fresh >> 32], length[fresh >> 32], fresh & 0xFFFFFFFF)
+            rows, exits, changes = (np.concatenate(x) for x in ((rows, fresh), (exits, state), (changes, change)))
+            on = ~final[fresh >> 32]
+            fresh = np.setdiff1d(((fresh >> 32) + 1 << 32 | state)[on], rows)
+        order = np.argsort(rows)
+        rows, exits, changes = rows[order], exits[order], changes[order]
+
+        def find(asked: np.ndarray) -> np.ndarray:
+            at = np.minimum(np.searchsorted(rows, asked), len(rows) - 1)
+            return np.where(rows[at] == asked, at, -1)
+
+        follow = np.where(final[rows >> 32], -1, find((rows >> 32) + 1 << 32 | exits))
+        to = np.where(follow < 0, np.arange(len(rows)), follow)
+        total = np.where(follow < 0, 0, changes)
+        while not np.array_equal(to, far := to[to]):
+            total, to = total + total[to], far
+        start = find(behind - pieces << 32)
+        count = total[start] + changes[to[start]]
+        for w in np.flatnonzero(~final[rows[to[start]] >> 32]).tolist():
+            row = int(to[start[w]])
+            while row >= 0:
+                at, state = int(rows[row]) >> 32, exits[row : row + 1]
+                row = -1
+                while row < 0 and not final[at]:
+                    at += 1
+                    row = int(find((at << 32) + state)[0])
+                    if row < 0:
+                        state, change = self._read(symbols, low[at : at + 1], length[at : at + 1], state)
+                        count[w] += change[0]
+                if row >= 0:
+                    count[w] += total[row] + changes[to[row]]
+                    row = int(to[row])
         return count
 
     def counts(self, words: Words) -> np.ndarray:
-        """Tokens of each distinct word; all words read their n-th character at once."""
+        """Tokens of each distinct word."""
         if len(self.steps) > MOST_STEPS:
             self._clear()
         sizes = words.lengths.astype(np.int64)
@@ -139,22 +199,11 @@ class Transducer:
         odd = words.symbols[base] < 0 if len(sizes) else np.zeros(0, bool)
         for w in np.flatnonzero(odd):
             total[w] = len(self.model.byte_pieces(int(words.points[w])))
-        for w in np.flatnonzero(sizes > CHUNK):
-            total[w] = self._run_long(words.symbols[base[w] : base[w] + sizes[w]])
-        active = np.flatnonzero((sizes <= CHUNK) & ~odd)
-        active = active[np.argsort(-sizes[active], kind="stable")]
-        left = sizes[active]
-        state = np.zeros(len(active), np.int64)
-        place = 0
-        while len(active):
-            keys, back = np.unique(
-                state * self.model.size + words.symbols[base[active] + place], return_inverse=True
-            )
-            moves = np.array([self._step(k) for k in keys.tolist()], np.int64)[back]
-            total[active] += (moves & 63) - 32
-            place += 1
-            going = int(np.searchsorted(-left, -place, side="left"))
-            active, left, state = active[:going], left[:going], moves[:going] >> 6
+        long = np.flatnonzero(sizes > CHUNK)
+        if len(long):
+            total[long] = self._long(words.symbols, base[long], sizes[long])
+        short = np.flatnonzero((sizes <= CHUNK) & ~odd)
+        total[short] = self._read(words.symbols, base[short], sizes[short], np.zeros(len(short), np.int64))[1]
         return total
 
 
