@@ -1,6 +1,7 @@
 """Shapes of physical plans that matter at scale."""
 
 import re
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -102,6 +103,25 @@ def test_stage_and_shared_folder(spark):
     assert staged.count() == 10 and folder in staged.inputFiles()[0]
 
 
+def _on_cluster(spark, settings, chosen=None):
+    """The session as a cluster's: other settings, same JVM."""
+    conf = SimpleNamespace(get=settings.get, set=settings.__setitem__)
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: chosen, _jsc=spark.sparkContext._jsc)
+    return SimpleNamespace(conf=conf, sparkContext=context, _jvm=spark._jvm)
+
+
+def test_shared_folder_on_a_cluster(spark, tmp_path):
+    plain = f"file:{tmp_path}/kept"
+    for told in (f"{tmp_path}/kept", f"file://{tmp_path}/kept/"):
+        found = shared_folder(_on_cluster(spark, {"spark.checkpoint.dir": told}))
+        assert found.replace("file://", "file:") == plain
+        assert shared_folder(_on_cluster(spark, {}, told)).replace("file://", "file:") == plain
+    assert shared_folder(_on_cluster(spark, {"spark.sql.warehouse.dir": f"{tmp_path}/kept"})) == plain
+    default = f"file:{spark._jvm.java.lang.System.getProperty('user.dir')}/spark-warehouse"
+    with pytest.raises(ValueError):
+        shared_folder(_on_cluster(spark, {"spark.sql.warehouse.dir": default}))
+
+
 def test_only_small_sides_are_broadcast(spark):
     small, big = spark.range(10), spark.range(10**12)
     join = lambda side: plan(spark.range(10**9).join(small_side(side), "id"))
