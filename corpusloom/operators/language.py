@@ -9,11 +9,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from corpusloom.functions import text as tx
 from corpusloom.functions.rows import expand
-from corpusloom.session import small_side
+from corpusloom.session import small_side, stage
 
 
 def trigrams(text: Column) -> Column:
@@ -31,17 +32,65 @@ def _padded(text: Column) -> Column:
     return F.concat(F.lit(" "), letters, F.lit(" "))
 
 
+#: bits of a character in a trigram's number, and trigrams that a task holds before it counts them
+BITS = 21
+HELD = 1 << 20
+
+
+def _numbers(padded: str) -> np.ndarray:
+    """The trigrams of one padded text, each as one number."""
+    codes = np.frombuffer(padded.encode("utf-32-le"), np.uint32).astype(np.int64)
+    return (codes[:-2] << 2 * BITS) | (codes[1:-1] << BITS) | codes[2:]
+
+
+def _grams(numbers: np.ndarray) -> list[str]:
+    mask = (1 << BITS) - 1
+    codes = np.stack([numbers >> 2 * BITS, numbers >> BITS & mask, numbers & mask], axis=1)
+    joined = codes.astype("<u4").tobytes().decode("utf-32-le")
+    return [joined[i : i + 3] for i in range(0, len(joined), 3)]
+
+
+def _number_of(gram: Column) -> Column:
+    """The number of a trigram that is a string; null for other lengths."""
+    first, second, third = (F.ascii(gram.substr(i, 1)).cast("bigint") for i in (1, 2, 3))
+    number = F.shiftleft(first, 2 * BITS).bitwiseOR(F.shiftleft(second, BITS)).bitwiseOR(third)
+    return F.when(F.length(gram) == 3, number)
+
+
 def language_profiles(
     docs: DataFrame, text: str = "text", lang: str = "lang", size: int | None = None
 ) -> DataFrame:
     """``(lang, gram, n, total)``: the trigrams of each language, all of them or the
     ``size`` commonest; ``total`` is the sum of the kept counts.
 
-    A text's trigrams are counted in its row, so a text gives a row per distinct one.
+    The trigrams of a batch of texts are counted as numbers, so a language gives a row per
+    distinct one and about ``HELD`` of them.
     """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[np.ndarray]] = {}
+
+        def told(code: str) -> pa.RecordBatch:
+            numbers, n = np.unique(np.concatenate(held.pop(code)), return_counts=True)
+            columns = [pa.array([code] * len(n), pa.string()), pa.array(_grams(numbers), pa.string()), pa.array(n, pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, names=["lang", "gram", "n"])
+
+        sizes: dict[str, int] = {}
+        for batch in batches:
+            for code, padded in zip(batch["lang"].to_pylist(), batch["padded"].to_pylist()):
+                numbers = _numbers(padded)
+                held.setdefault(code, []).append(numbers)
+                sizes[code] = sizes.get(code, 0) + len(numbers)
+                if sizes[code] >= HELD:
+                    sizes[code] = 0
+                    yield told(code)
+        for code in list(held):
+            yield told(code)
+
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    rows = labelled.select(F.col(lang).alias("lang"), tx.count_terms(trigrams(F.col(text))).alias("grams"))
-    summed = expand(rows, "grams", "lang").groupBy("lang", F.col("term").alias("gram")).agg(F.sum("n").alias("n"))
+    rows = labelled.select(F.col(lang).alias("lang"), _padded(F.col(text)).alias("padded"))
+    counted = rows.mapInArrow(count, "lang string, gram string, n bigint")
+    summed = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     if size is not None:
         best = Window.partitionBy("lang").orderBy(F.desc("n"), F.asc("gram"))
         summed = summed.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= size)
@@ -49,6 +98,39 @@ def language_profiles(
     return summed.select("lang", "gram", "n", F.sum("n").over(Window.partitionBy("lang")).alias("total"))
 
 
+def _counted(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``(doc_id, number, n)``: the distinct trigrams of each text; a text without any has
+    one row of nulls."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, rows, numbers, counts, held = batch.column(0), [], [], [], 0
+
+            def told() -> pa.RecordBatch:
+                found, n = np.concatenate(numbers), np.concatenate(counts)
+                none = n == 0
+                columns = [ids.take(pa.array(np.concatenate(rows))), pa.array(found, pa.int64(), mask=none), pa.array(n, pa.int64(), mask=none)]
+                return pa.RecordBatch.from_arrays(columns, names=["doc_id", "number", "n"])
+
+            for row, padded in enumerate(batch.column(1).to_pylist()):
+                found, n = np.unique(_numbers(padded), return_counts=True)
+                if not len(found):
+                    found, n = np.zeros(1, np.int64), np.zeros(1, np.int64)
+                rows.append(np.full(len(found), row))
+                numbers.append(found)
+                counts.append(n)
+                held += len(found)
+                if held >= HELD // 8:
+                    yield told()
+                    rows, numbers, counts, held = [], [], [], 0
+            if held:
+                yield told()
+
+    rows = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), _padded(F.col(text)).alias("padded"))
+    kind = StructType([rows.schema["doc_id"], StructField("number", LongType()), StructField("n", LongType())])
+    return rows.mapInArrow(count, kind)
+
+
 def detect_language(
     docs: DataFrame,
     profiles: DataFrame,
@@ -60,11 +142,14 @@ def detect_language(
 
     A trigram of language L weighs ``ln((n + 1) / (total + 1))``, an unlisted one
     ``ln(1 / (total + 1))``. The common part is a factor of the document's trigram
-    count, so only listed trigrams have to be joined. Trigrams are counted in the
-    row first; the profiles are broadcast where their size allows. Equal scores go
+    count, so only listed trigrams have to be joined. A text's trigrams are counted as
+    numbers first; the profiles are written when this is called and broadcast where their
+    size allows. Equal scores go
     to the first language code; documents without letters get null.
     """
     codes = sorted(languages)
+    # written once: learning is not done again for the floors, and its true size decides the join
+    profiles = stage(profiles, "profiles")
     wide = profiles.groupBy("gram").agg(
         *[
             F.max(F.when(F.col("lang") == code, F.log(F.col("n") + 1))).alias(f"w_{i}")
@@ -79,12 +164,9 @@ def detect_language(
             ]
         )
     ).scalar()
-    rows = docs.where(F.col(text).isNotNull()).select(
-        F.col(doc_id).alias("doc_id"), F.explode_outer(tx.count_terms(trigrams(F.col(text)))).alias("entry")
-    )
-    rows = rows.select("doc_id", F.col("entry.term").alias("gram"), "entry.n")
+    wide = wide.select(_number_of(F.col("gram")).alias("number"), *[c for c in wide.columns if c != "gram"])
     sums = (
-        rows.join(small_side(wide), "gram", "left")
+        _counted(docs, doc_id, text).join(small_side(wide), "number", "left")
         .groupBy("doc_id")
         .agg(
             F.sum("n").alias("grams"),

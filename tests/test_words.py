@@ -1,6 +1,7 @@
 """Counts, vocabulary and TF-IDF on a five-document corpus."""
 
 import math
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -17,6 +18,10 @@ DOCS = [
 ]
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.fixture(scope="module")
 def terms(spark):
     return ops.doc_terms(spark.createDataFrame(DOCS, "doc_id bigint, text string, lang string"))
@@ -118,6 +123,38 @@ def test_language_on_held_out_rows(spark):
     assert got == {1: "en", 2: "fr", 3: "de", 4: None}
 
 
+def test_trigrams_are_counted_as_numbers(spark):
+    texts = [
+        (1, "The house, the garden", "en"), (2, "la maison", "fr"), (2, "la maison", "fr"), (3, "\u4e2d\U0001f600\U00020000\u4e2d", "zh"),
+        (4, "12 34", "en"), (5, "", "fr"), (6, None, "fr"), (7, "no label", None), (None, "the garden " * 30_000, "en"),
+    ]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string, lang string")
+    profiles = lg.language_profiles(docs)
+    # sorted in batches before they leave a task, not as strings in each row
+    assert "MapInArrow" in plan(profiles) and "sort_array" not in plan(profiles)
+    grams = lambda padded: Counter(padded[i : i + 3] for i in range(len(padded) - 2))
+    letters = lambda text: "".join(ch if ch.isalpha() else " " for ch in text.lower()).split()
+    counted = [(i, lang, grams(f" {' '.join(letters(text))} ")) for i, text, lang in texts if text is not None]
+    want, totals = Counter(), Counter()
+    for _, lang, held in counted:
+        if lang is not None:
+            want.update({(lang, gram): n for gram, n in held.items()})
+            totals[lang] += held.total()
+    assert {(r.lang, r.gram): r.n for r in profiles.collect()} == dict(want)
+
+    def best(held):
+        weights = {code: [n * math.log((want[code, gram] + 1) / (totals[code] + 1)) for gram, n in held.items()] for code in totals}
+        return min((-math.fsum(w) / held.total(), code) for code, w in weights.items())
+
+    found = lg.detect_language(docs, profiles, ["en", "fr", "zh"])
+    assert "sort_array" not in plan(found) and "BroadcastHashJoin" in plan(found)
+    got = {r.doc_id: (r.detected, r.score) for r in found.collect()}
+    # an empty text has no letters, nor has one of digits; a null text is left out
+    for i, _, held in counted:
+        assert got[i] == ((None, None) if not held else (best(held)[1], pytest.approx(-best(held)[0])))
+    assert got.keys() == {i for i, *_ in counted}
+
+
 def test_language_in_the_row(spark):
     train = [
         (1, "the house and the garden with the other thing", "en"),
