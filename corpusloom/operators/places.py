@@ -39,6 +39,7 @@ def within_radius(
     lies in one cell, a centre asks for the cells its circle can reach, round the date line
     and over a pole too, so a pair meets exactly once; its distance decides. Rows
     without a position (null or not a number) have no partner, repeated rows count each.
+    Centres are dealt over the session's shuffle partitions; no task holds its pairs.
     """
     angle = radius / EARTH[unit]
     height = min(180.0, max(math.degrees(angle) * (1 + 1e-9) + 1e-9, LEAST_BAND))
@@ -48,6 +49,8 @@ def within_radius(
     spots = spots.withColumn("_cell", F.pmod(F.floor((F.col("_lng") + 180) / 360 * around), around))
 
     asked = _on_earth(centres, centre).select(F.col(centre).alias("_centre"), F.col("lat").alias("_lat0"), F.col("lng").alias("_lng0"))
+    # a centre makes far more pairs than it has bytes: dealt out evenly, however its table is stored
+    asked = asked.repartition(int(centres.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     own = F.floor((F.col("_lat0") + 90) / height)
     asked = asked.withColumn("_band", F.explode(F.sequence(own - 1, own + 1)))
     # how far the circle reaches east and west; all round where it holds a pole

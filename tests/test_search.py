@@ -296,3 +296,12 @@ def test_places_around_many_centres(spark, radius):
     want = {(k, j) for k, a, b in spots[:300:7] + spots[300:] for j, c, d in spots if far(c, d, a, b) <= radius + 1e-6}
     rows = pl.within_radius(left, right, "p", "c", radius + 1e-6).collect()
     assert len(rows) == len(want) and {(r.c, r.p) for r in rows} == want
+
+
+def test_centres_of_one_file_are_dealt_out(spark):
+    ids = spark.range(0, 200, 1, 1)
+    spots = ids.select("id", F.lit(10.0).alias("lat"), F.lit(20.0).alias("lng"))
+    found = pl.within_radius(spots.limit(5).toDF("p", "lat", "lng"), spots.toDF("c", "lat", "lng"), "p", "c", 1.0)
+    parts = found.groupBy(F.spark_partition_id().alias("part")).count().collect()
+    assert sum(r["count"] for r in parts) == 1000
+    assert len(parts) > 1 and max(r["count"] for r in parts) < 500
