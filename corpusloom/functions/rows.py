@@ -8,10 +8,22 @@ once for the result. Filters on a generator's output stay above it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def literal_rows(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A few given ``rows`` as constants of the plan.
+
+    Catalyst takes a frame made from Python objects for boundless and would rather broadcast
+    the other side of a join; the size of this one it knows.
+    """
+    fields = [F.struct(*[F.lit(value) for value in row]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*fields).cast(f"array<struct<{schema}>>")))
+
+
 def expand(df: DataFrame, array: str, *keep: str) -> DataFrame:
     """``keep`` columns and the fields of each struct in ``array``, one row each.
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.match import allowed_edits
-from corpusloom.functions.rows import expand
+from corpusloom.functions.rows import expand, literal_rows
 from corpusloom.functions.text import let
 from corpusloom.session import small_side
 
@@ -72,7 +72,7 @@ def similar_terms(index: DataFrame, words: Sequence[str], edits: int | None = No
     count once, and no word gives no rows."""
     limits = {w.lower(): allowed_edits(w) if edits is None else edits for w in words}
     spark = index.sparkSession
-    asked = spark.createDataFrame(list(limits.items()), "word string, most int")
+    asked = literal_rows(spark, list(limits.items()), "word: string, most: int")
     every = [
         asked.where(F.col("most") == n).select("word", "most", F.explode(variants(F.col("word"), n)).alias("variant"))
         for n in sorted(set(limits.values())) or [0]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.functions import match as m
-from corpusloom.functions.rows import once
+from corpusloom.functions.rows import literal_rows, once
 from corpusloom.operators import fuzzy
 from corpusloom.session import small_side
 
@@ -74,7 +74,7 @@ def suggest(
     """
     words = sorted({w.lower() for w in words})
     lengths = [(w, n) for w in words for n in range(max(1, len(w) - edits), len(w) + edits + 1)]
-    asked = stats.sparkSession.createDataFrame(lengths, "word string, size int")
+    asked = literal_rows(stats.sparkSession, lengths, "word: string, size: int")
     best = Window.partitionBy("word").orderBy(F.asc("distance"), F.desc("documents"), F.asc("term"))
     if index is None:
         near = (
@@ -84,7 +84,8 @@ def suggest(
             .where(F.col("distance") >= 0)
         )
     else:
-        near = stats.join(small_side(fuzzy.similar_terms(index, words, edits)), "term")
+        # few terms are near a request's words, but the plan cannot tell
+        near = stats.join(F.broadcast(fuzzy.similar_terms(index, words, edits)), "term")
     ranked = (
         near.withColumn("rank", F.row_number().over(best))
         .where(F.col("rank") <= per_word)

@@ -88,3 +88,14 @@ def test_suggestions_through_the_index(spark):
     asked = ["houze", "horse", "hoes", "zzz"]
     plain = rel.suggest(stats, asked, per_word=2).collect()
     assert sorted(rel.suggest(stats, asked, per_word=2, index=fuzzy.variant_index(stats)).collect()) == sorted(plain)
+
+
+def test_words_and_not_the_vocabulary_are_broadcast(spark, tmp_path):
+    named = F.concat(F.lit("w"), "id")
+    spark.range(1000).select(named.alias("term"), F.lit(1).alias("documents")).write.parquet(f"{tmp_path}/stats")
+    stats = spark.read.parquet(f"{tmp_path}/stats")
+    near = rel.suggest(stats, ["w1x"], index=fuzzy.variant_index(stats))
+    assert [r.suggestion for r in near.collect()] == ["w1"]
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    held = [re.search(r"(left|right)Hint=\(strategy=broadcast\)|(\w+)Hint", x) for x in plan.splitlines() if "Join" in x]
+    assert len(held) == 2 and all(h and h.group(1) == "right" for h in held)
