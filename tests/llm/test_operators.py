@@ -13,6 +13,7 @@ from corpusloom.llm import (
     chat,
     components,
     decontaminate,
+    flat,
     line_dedup,
     minhash,
     pii,
@@ -303,6 +304,32 @@ def test_fuzzy_passages_are_found(spark):
     assert {c: sum(f) / len(f) for c, f in found.items() if sum(f) < 0.9 * len(f)} == {}
 
 
+def test_no_pair_of_passages_is_left_out(spark):
+    """Every fifth word replaced, and documents that share their passages with others than the
+    first document of a seed."""
+    rng, rows = random.Random(23), []
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    passage = fresh(50)
+    edited = [w if i % 5 != 2 else "x" + w for i, w in enumerate(passage)]
+    rows += [(1, fresh(40) + passage + fresh(40)), (2, fresh(30) + edited + fresh(60))]
+    # document 10 has short pieces of both passages, 11 and 12 as well as 13 and 14 have them whole
+    left, right = fresh(60), fresh(60)
+    pieces = [x for k in range(0, 60, 12) for p in (left, right) for x in p[k : k + 11] + fresh(30)]
+    rows.append((10, pieces))
+    rows += [(i, fresh(20) + (left if i < 13 else right) + fresh(20)) for i in (11, 12, 13, 14)]
+    # members of a group that have more and more of their words replaced
+    long = fresh(80)
+    for i in range(12):
+        rows.append((20 + i, [f"y{i}" if j % 6 == i % 6 and j < 12 * i else w for j, w in enumerate(long)]))
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: set(r.partners) for r in substring_dedup.repeated(docs).collect()}
+    hashed = {i: next(flat.words([" ".join(w)])) for i, w in rows}
+    words = {i: (h >> np.uint64(32)).astype(np.uint32).view(np.int32) for i, h in hashed.items()}
+    expected = {i: {j for j in words if i != j and substring_dedup.passages(words[min(i, j)], words[max(i, j)], 50, 0.8)} for i in words}
+    assert expected[1] == {2} and expected[11] == {12} and expected[13] == {14} and len(expected[20]) > 6
+    assert got == expected
+
+
 def test_passages_are_as_similar_as_they_say():
     """Insertions, deletions and substitutions, and stretches just below the similarity."""
     rng = random.Random(3)
