@@ -103,9 +103,9 @@ def surface_words(spark, sf_dir):
 
 
 def shingle_stats(spark, sf_dir):
-    grams = tx.count_terms(tx.shingles(tx.tokenise(F.col("text"), F.col("lang"))))
-    counts = expand(c.documents(spark, sf_dir).select(grams.alias("grams")), "grams")
-    return ops.corpus_word_stats(counts)
+    tokens = tx.tokenise(F.col("text"), F.col("lang"))
+    grams = ops.shingle_counts(c.documents(spark, sf_dir).select(tokens.alias("tokens")))
+    return ops.corpus_word_stats(grams, "documents")
 
 
 def token_filters(spark, sf_dir):

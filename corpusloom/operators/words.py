@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from corpusloom.functions import text as tx
 from corpusloom.functions.rows import expand
+from corpusloom.functions.shingles import shingle_counter
 from corpusloom.functions.stems import stem as suffix_stem
 from corpusloom.session import small_side, stage
 
@@ -90,15 +91,25 @@ def stem_counts(
     return looked_up.withColumn("stem", F.coalesce("stem", "term"))
 
 
-def corpus_word_stats(counts: DataFrame) -> DataFrame:
+def corpus_word_stats(counts: DataFrame, documents: str | None = None) -> DataFrame:
     """``(term, documents, count)`` from ``(doc_id, term, n)`` rows.
 
     Each (document, term) pair is one row, so ``documents`` needs no distinct;
-    a hot term is folded map-side before the shuffle.
+    a hot term is folded map-side before the shuffle. Rows that stand for several
+    documents (:func:`shingle_counts`) have their number in the column ``documents``.
     """
-    return counts.groupBy("term").agg(
-        F.count(F.lit(1)).alias("documents"), F.sum("n").alias("count")
-    )
+    seen = F.sum(documents) if documents else F.count(F.lit(1))
+    return counts.groupBy("term").agg(seen.alias("documents"), F.sum("n").alias("count"))
+
+
+def shingle_counts(tokens: DataFrame, column: str = "tokens", low: int = 1, high: int = 3) -> DataFrame:
+    """``(term, documents, n)``: the shingles of :func:`text.shingles`, counted in Arrow batches.
+
+    Each row of ``tokens`` is a document. Shingles are told apart as numbers, and their strings
+    are made once a block of documents, not once a document; a term comes once a block, so the
+    rows are to be added up.
+    """
+    return tokens.select(column).mapInArrow(shingle_counter(low, high), "term string, documents long, n long")
 
 
 def upper_keys(counts: DataFrame, *group: str) -> DataFrame:

@@ -6,6 +6,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.functions import text as tx
+from corpusloom.functions.shingles import shingle_counter
 from corpusloom.operators import language as lg
 from corpusloom.operators import words as ops
 
@@ -199,3 +201,27 @@ def test_one_document_with_most_tokens(spark):
     terms = ops.doc_terms(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
     stats = {r.term: (r.documents, r["count"]) for r in ops.corpus_word_stats(ops.word_count_by_doc(terms)).collect()}
     assert stats == {"tiny": (50, 50), "word": (51, 51), "huge": (1, 50_000)}
+
+
+def test_shingles_are_counted_once_a_block(spark):
+    """The same as shingles and counts of each row, without a row for each document and shingle."""
+    texts = ["a b a b a b c", "a b", "b", "", "c a b a", None, "é ü é ü", "a b a b a b c", "a b c d e f g h i j"]
+    df = spark.createDataFrame([(t.split() if t is not None else None,) for t in texts], "tokens array<string>").coalesce(1)
+    by_row = df.select(F.explode(tx.count_terms(tx.shingles(F.col("tokens")))).alias("e")).select("e.*")
+    expected = {tuple(r) for r in ops.corpus_word_stats(by_row).collect()}
+    found = ops.shingle_counts(df)
+    rows = found.collect()
+    assert {tuple(r) for r in ops.corpus_word_stats(found, "documents").collect()} == expected
+    assert len(rows) == len({r.term for r in rows}) == len(expected)
+    assert ops.shingle_counts(df.limit(0)).collect() == []
+    # lists cut into blocks, and only the lengths asked for
+    run = shingle_counter(2, 2, 5)
+    cut = df.mapInArrow(run, "term string, documents long, n long").groupBy("term").agg(F.sum("documents"), F.sum("n"))
+    assert {tuple(r) for r in cut.collect()} == {e for e in expected if e[0].count(" ") == 1}
+
+
+def test_shingle_stats_makes_shingles_in_batches(spark, sf_dir):
+    from corpusloom.catalogue import all_queries
+
+    told = plan(all_queries()["shingle_stats"](spark, sf_dir))
+    assert "MapInArrow" in told and "sort_array" not in told
