@@ -225,3 +225,5 @@ def test_shingle_stats_makes_shingles_in_batches(spark, sf_dir):
 
     told = plan(all_queries()["shingle_stats"](spark, sf_dir))
     assert "MapInArrow" in told and "sort_array" not in told
+    # rows are dealt by term as the batches give them, and folded only then
+    assert told.count("Exchange") == 1 and told.index("partial_sum") < told.index("Exchange")
