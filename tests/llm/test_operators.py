@@ -2,6 +2,7 @@
 clashing names, on empty tables, and against plain Python."""
 
 import hashlib
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -330,6 +331,28 @@ def test_no_pair_of_passages_is_left_out(spark):
     assert got == expected
 
 
+def test_passages_write_little(spark, monkeypatch):
+    """Words that come once are not written, and a text is sent once for all its pairs."""
+    written, keep = {}, Staging.keep
+
+    def counted(self, df, label):
+        table = keep(self, df, label)
+        sizes = [os.path.getsize(f.removeprefix("file://")) for f in table.inputFiles()]
+        written.setdefault(label, (sum(sizes), table.count()))
+        return table
+
+    monkeypatch.setattr(Staging, "keep", counted)
+    rng = random.Random(41)
+    fresh = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    shared = fresh(60)
+    rows = [(i, f"{fresh(500)} {shared} {fresh(500)}" if i < 40 else fresh(1000)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = {r.doc_id: r.n_links for r in substring_dedup.repeated(docs).collect()}
+    assert got == {i: 39 * (i < 40) for i in range(400)}
+    assert sum(size for size, _ in written.values()) < sum(len(t) for _, t in rows) / 4
+    assert written["pairs"][1] == 40 * 39 // 2 and written["sent"][1] == 40
+
+
 def test_passages_are_as_similar_as_they_say():
     """Insertions, deletions and substitutions, and stretches just below the similarity."""
     rng = random.Random(3)
