@@ -353,6 +353,20 @@ def test_passages_write_little(spark, monkeypatch):
     assert written["pairs"][1] == 40 * 39 // 2 and written["sent"][1] == 40
 
 
+def test_passages_of_many_rounds(spark, monkeypatch):
+    """Texts that go to their tiles in rounds meet the same partners."""
+    rng = random.Random(42)
+    fresh = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    shared = [fresh(60) for _ in range(6)]
+    rows = [(i, f"{fresh(20)} {shared[i % 6]} {fresh(20)} {shared[i // 5 % 6]}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    monkeypatch.setattr(substring_dedup, "GROUP_WORDS", 1000)
+    monkeypatch.setattr(substring_dedup, "ROUND", 1)
+    got = {r.doc_id: set(r.partners) for r in substring_dedup.repeated(docs).collect()}
+    has = {i: {i % 6, i // 5 % 6} for i, _ in rows}
+    assert got == {i: {j for j in has if j != i and has[i] & has[j]} for i in has}
+
+
 def test_passages_are_as_similar_as_they_say():
     """Insertions, deletions and substitutions, and stretches just below the similarity."""
     rng = random.Random(3)
