@@ -331,6 +331,35 @@ def test_no_pair_of_passages_is_left_out(spark):
     assert got == expected
 
 
+def test_passages_of_words_that_come_again(spark, monkeypatch):
+    """All copies of a passage, one amid pieces of itself, and all words of a repeated one."""
+    rng = random.Random(24)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    copied, whole = fresh(60), fresh(60)
+    pieces = lambda: [x for k in range(52, -1, -4) for x in whole[k : k + 8] + fresh(20)]
+    edited = [w if i % 9 != 4 else "x" + w for i, w in enumerate(copied[:30] + copied[33:])]
+    before = pieces()
+    rows = [
+        (1, fresh(40) + copied + fresh(40)),
+        (2, fresh(20) + copied + fresh(30) + edited + fresh(33) + copied + fresh(5)),
+        (3, fresh(15) + whole + fresh(15)),
+        (4, before + whole + fresh(3) + pieces()),
+        (5, fresh(30) + ["spam"] * 60 + fresh(30)),
+        (6, fresh(10) + ["spam"] * 200 + fresh(10)),
+    ]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.partners, r.passages) for r in substring_dedup.repeated(docs).collect()}
+    n = len(before)
+    assert got == {
+        1: ([2], "40:100"), 2: ([1], "20:80,110:167,200:260"), 3: ([4], "15:75"), 4: ([3], f"{n}:{n + 60}"),
+        5: ([6], "30:90"), 6: ([5], "10:210"),
+    }
+    hashed = [(h >> np.uint64(32)).astype(np.uint32).view(np.int32) for h in flat.words([" ".join(w) for _, w in rows])]
+    found = [sorted(substring_dedup.passages(hashed[k], hashed[k + 1], 50, 0.8)) for k in (0, 2, 4)]
+    monkeypatch.setattr(substring_dedup, "MATCHES", 500)
+    assert found == [sorted(substring_dedup.passages(hashed[k], hashed[k + 1], 50, 0.8)) for k in (0, 2, 4)]
+
+
 def test_passages_write_little(spark, monkeypatch):
     """Words that come once are not written, and a text is sent once for all its pairs."""
     written, keep = {}, Staging.keep
