@@ -13,7 +13,7 @@ from corpusloom.catalogue import words as wd
 from corpusloom.operators import index as ix
 from corpusloom.operators import records as rec
 from corpusloom.operators import words as ops
-from corpusloom.session import stage, work_path
+from corpusloom.session import discard, stage, work_path
 from corpusloom.sources import files as io
 from corpusloom.sources import rolling
 from corpusloom.streaming import changing, flows, metrics
@@ -68,7 +68,9 @@ def tsv_roundtrip(spark, sf_dir):
     vocab = ops.vocabulary_with_total(terms)
     path = work_path(spark, "matrix")
     matrix = ops.dense_lines(terms, vocab, digits=6).select("line")
-    io.write_lines(ops.header_line(vocab).unionByName(matrix), path)
+    # a line has a cell for every word of the vocabulary, nearly all of them zero
+    io.write_lines(ops.header_line(vocab).unionByName(matrix), path, compression="gzip")
+    discard(terms)
     back = io.scan_tsv(spark, path)
     tabs = F.length("cells") - F.length(F.replace("cells", F.lit("\t"), F.lit("")))
     return back.select(

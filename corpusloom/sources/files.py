@@ -105,11 +105,12 @@ def scan_cluster_column(spark: SparkSession, path: str, column: str = "cluster")
     )
 
 
-def write_lines(lines: DataFrame, path: str, one_file: bool = False) -> None:
+def write_lines(lines: DataFrame, path: str, one_file: bool = False, compression: str | None = None) -> None:
     """Text lines from column ``line``. ``one_file`` gathers them into one file;
-    leave it off for anything large."""
+    leave it off for anything large. With a ``compression`` such as ``gzip`` the files
+    get its ending, by which every Spark reader knows it."""
     out = lines.select("line")
-    (out.coalesce(1) if one_file else out).write.text(path)
+    (out.coalesce(1) if one_file else out).write.text(path, compression=compression)
 
 
 def corpus_stats_json(stats: DataFrame, total: DataFrame) -> DataFrame:

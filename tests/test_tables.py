@@ -7,6 +7,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.catalogue import files
 from corpusloom.operators import clusters as cl
 from corpusloom.operators import index as ix
 from corpusloom.operators import words as ops
@@ -301,6 +302,21 @@ def test_cluster_column_and_matrix(spark, tmp_path):
     assert [tuple(r) for r in io.scan_tsv(spark, str(tmp_path / "m.tsv")).collect()] == [("d1", "0.0\t1.0")]
 
 
+def test_matrix_takes_little_disk(spark, tmp_path, monkeypatch):
+    """The matrix that is read back is whole, and its many equal cells are not written out."""
+    rows = [(i, " ".join(f"word{'abcdefghij'[j // 10]}{'abcdefghij'[j % 10]}" for j in range(i % 90, i % 90 + 10)), "en") for i in range(200)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    matrix, kept = str(tmp_path / "matrix"), []
+    monkeypatch.setattr(files, "work_path", lambda session, label: matrix)
+    monkeypatch.setattr(files.ops, "shared", lambda terms, shared=ops.shared: kept.append(shared(terms)) or kept[0])
+    got = files.tsv_roundtrip(spark, str(tmp_path)).collect()
+    lines = [r.value for r in spark.read.text(matrix).collect()]
+    assert len(got) == 200 and len(lines) == 201
+    assert {r.cells for r in got} == {len(line.split("\t")) for line in lines} and got[0].cells > 50
+    assert sum(os.path.getsize(f) for f in glob.glob(f"{matrix}/part-*")) < sum(map(len, lines)) / 5
+    assert not any(os.path.exists(f.removeprefix("file://")) for f in kept[0].inputFiles())
+
+
 def test_stream_restart_neither_loses_nor_doubles(spark, tmp_path):
     source, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
     schema = "doc_id bigint, text string, lang string"
